@@ -5,7 +5,10 @@ its own size. A source's rate, target over size, is each of its documents'
 expected number of copies. Along the documents of a source, the expected copies
 are summed up; one random offset is added, and a document is emitted once for
 each integer that its stretch of the sum crosses. Documents lie in order of
-size, so that the copies taken are a systematic sample of every size.
+size, so that the copies taken are a systematic sample of every size. The
+offset of a source is the one of a few random draws whose sample has most
+nearly the target's words (restricted randomisation): it matters only where a
+source has few documents, one of which may hold a large part of its words.
 
 The sum is cut into bands of a source (a size class and a hash): band totals
 are summed over the few bands, and each band is summed by itself. A hot source
@@ -14,12 +17,14 @@ thus spreads over all its bands.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, n_words
 
-WEIGHTS, CAP, SPREAD = (5, 2, 1), 3, 64
+WEIGHTS, CAP, SPREAD, DRAWS = (5, 2, 1), 3, 64, 16
 
 
 def _fraction(*parts: Column) -> Column:
@@ -72,14 +77,12 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
     )
     bands = cut(rows.groupBy("_source", "_class", "_hash").agg(F.count("*").alias("_n"), F.sum("size").alias("_words")))
     sizes = bands.groupBy("_source").agg(F.sum("_words").alias("source_size"), F.sum("_n").alias("n_docs"))
-    shared = targets(sizes, weights, cap).withColumn(
-        "_offset", _fraction(F.lit(f"offset{seed}"), F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("null")))
-    )
+    shared = targets(sizes, weights, cap).withColumnRenamed("_source", "_named")
     along = Window.partitionBy("_source").orderBy("_class", "_hash")  # bands, of which a source has a bounded number
     starts = (
         bands.withColumn("_start", F.sum("_n").over(along) - F.col("_n"))
-        .join(F.broadcast(shared), bands["_source"].eqNullSafe(shared["_source"]))  # one row per source
-        .select(bands["_source"], "_class", "_hash", "_start", "source_size", "target", "_offset")
+        .join(F.broadcast(shared), F.col("_source").eqNullSafe(F.col("_named")))  # one row per source
+        .select("_source", "_class", "_hash", "_start", "source_size", "target")
     )
     within = Window.partitionBy("_source", "_class", "_hash").orderBy("size", "_id")
     placed = rows.withColumn("_place", F.row_number().over(within)).alias("r").join(
@@ -89,11 +92,27 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
     # All documents of a source expect the same copies, so the prefix sum at a
     # place is the place times the rate; that is exact at any length.
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    place = F.col("_start") + F.col("_place")
-    crossed = F.floor(place * rate + F.col("_offset")) - F.floor((place - 1) * rate + F.col("_offset"))
-    return placed.select(
-        F.col("_id").alias(id), "size", "source_size", "target", F.least(crossed, F.lit(cap)).cast("long").alias("copies")
-    ).withColumn("taken", F.col("copies") * F.col("size"))
+    placed = cut(placed.select(
+        "_id", F.col("r._source").alias("_source"), "size", "source_size", "target",
+        rate.alias("_rate"), (F.col("_start") + F.col("_place")).alias("_at"),
+    ))
+
+    def crossed(offset: Column) -> Column:
+        n = F.floor(F.col("_at") * F.col("_rate") + offset) - F.floor((F.col("_at") - 1) * F.col("_rate") + offset)
+        return F.least(n, F.lit(cap)).cast("long")
+
+    draws = [int(hashlib.sha256(f"{seed}|{k}".encode()).hexdigest()[:8], 16) / 2**32 for k in range(DRAWS)]
+    tried = placed.groupBy("_source").agg(
+        F.max("target").alias("_target"),
+        *(F.sum(crossed(F.lit(u)) * F.col("size")).alias(f"_t{k}") for k, u in enumerate(draws)),
+    )
+    off = F.array(*(F.struct(F.abs(F.col(f"_t{k}") - F.col("_target")).alias("off"), F.lit(k), F.lit(u).alias("u")) for k, u in enumerate(draws)))
+    best = tried.select(F.col("_source").alias("_named"), F.array_min(off)["u"].alias("_offset"))
+    return (
+        placed.join(F.broadcast(best), F.col("_source").eqNullSafe(F.col("_named")))  # one row per source
+        .select(F.col("_id").alias(id), "size", "source_size", "target", crossed(F.col("_offset")).alias("copies"))
+        .withColumn("taken", F.col("copies") * F.col("size"))
+    )
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
