@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding, token_count
+from . import bpe, line_dedup, mixing, sharding, simhash, token_count
 from .common import documents
 
 
@@ -14,10 +15,35 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(documents(spark, sf_dir))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), shards=16)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(documents(spark, sf_dir), digest=True)
+
+
+#: A-Z in lower case, and the white space that is stripped, for any SQL engine.
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP5_SQL = f"""
+WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS k FROM parts),
+keyed AS (SELECT *, translate(trim(line, {_BLANK}), {_LOWER}) AS key FROM lines),
+often AS (SELECT key, max(doc_id) AS holder FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+told AS (SELECT keyed.*, often.key IS NOT NULL AND holder <> doc_id AS gone FROM keyed LEFT JOIN often USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+FROM told GROUP BY doc_id
+"""
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,7 +60,9 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_simhash": op2_simhash,
         "op4_sharding": op4_sharding,
+        "op5_line_dedup": op5_line_dedup,
         "op6_bpe": op6_bpe,
         "op7_mixing": op7_mixing,
         "op10_token_count": op10_token_count,
@@ -42,4 +70,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_line_dedup": OP5_SQL,
+    }
