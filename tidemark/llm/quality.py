@@ -21,7 +21,7 @@ from .common import SPACE, SPACE_CHARS, cut, let, words
 WINDOW, ROUNDS, THRESHOLD = 5, 30, 0.5
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word of running text: letters or digits, inner marks, and at most one mark on either side.
-_PLAIN = r"^[(\[\"'«„“¿¡]?[\p{L}\p{M}\p{N}]+(?:['’.@:/+，。、；：！？·…-]+[\p{L}\p{M}\p{N}]+)*[.,;:!?)\]\"'»“”…。，、；：！？]?$"
+_PLAIN = r"^[(\[\"'«„“¿¡]?[\p{L}\p{M}\p{N}]++(?:['’.@:/+，。、；：！？·…-]++[\p{L}\p{M}\p{N}]++)*+[.,;:!?)\]\"'»“”…。，、；：！？]?$"
 #: Least and most log-odds that a vote can carry: bad, abstained, good.
 LIMITS = ((-8.0, -2.0), (-0.5, 0.5), (0.0, 2.0))
 

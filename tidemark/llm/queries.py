@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, quality, sharding, simhash, token_count
+from . import bpe, line_dedup, mixing, pii, quality, sharding, simhash, token_count
 from .common import documents
 
 
@@ -58,6 +58,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(documents(spark, sf_dir))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = [k.name for k in pii.KINDS if k.base]
+    return pii.find(documents(spark, sf_dir)).select(
+        "doc_id",
+        *(F.size(k).cast("long").alias(f"n_{k}") for k in base),
+        F.sha2(pii.listed(F.concat(*base)), 256).alias("base_sha256"),
+        pii.listed(F.concat(*(k.name for k in pii.KINDS))).alias("spans"),
+    )
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
@@ -70,6 +80,7 @@ def queries() -> dict:
         "op5_line_dedup": op5_line_dedup,
         "op6_bpe": op6_bpe,
         "op7_mixing": op7_mixing,
+        "op8_pii": op8_pii,
         "op10_token_count": op10_token_count,
     }
 
