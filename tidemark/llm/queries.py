@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, pii, quality, sharding, simhash, token_count
+from . import bpe, hamming, line_dedup, mixing, pii, quality, sharding, simhash, token_count
 from .common import documents
 
 
@@ -24,6 +24,22 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hamming.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), bits=64)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
+OP3_SQL = """
+WITH codes AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS code FROM embeddings),
+pairs AS (
+  SELECT q.vec_id AS query_id, x.vec_id,
+         list_sum(list_transform(list_zip(q.code, x.code), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END))::INTEGER AS distance
+  FROM codes q JOIN codes x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM pairs)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), shards=16)
 
@@ -76,6 +92,7 @@ def queries() -> dict:
     return {
         "op1_quality": op1_quality,
         "op2_simhash": op2_simhash,
+        "op3_hamming_top_k": op3_hamming_top_k,
         "op4_sharding": op4_sharding,
         "op5_line_dedup": op5_line_dedup,
         "op6_bpe": op6_bpe,
@@ -87,5 +104,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_hamming_top_k": OP3_SQL,
         "op5_line_dedup": OP5_SQL,
     }
