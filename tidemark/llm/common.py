@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import ship_package
+
 #: ASCII white space that separates words: space and the code points 9 to 13.
 SPACE = "\\x20\\x09-\\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -62,5 +64,10 @@ def n_words(text: Column) -> Column:
     ).cast("long")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hamming, line_dedup, mixing, pii, quality, sharding, simhash, token_count
-from .common import documents
+from . import bpe, hamming, line_dedup, lm, mixing, pii, quality, sharding, simhash, token_count
+from .common import documents, table
 
 
 def _tokenizer(name: str) -> str:
@@ -25,7 +25,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hamming.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), bits=64)
+    found = hamming.top_k(table(spark, sf_dir, "embeddings"), bits=64)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
 
 
@@ -84,6 +84,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
@@ -98,6 +102,7 @@ def queries() -> dict:
         "op6_bpe": op6_bpe,
         "op7_mixing": op7_mixing,
         "op8_pii": op8_pii,
+        "op9_context_mixing": op9_context_mixing,
         "op10_token_count": op10_token_count,
     }
 
