@@ -48,7 +48,7 @@ class ByteBPE:
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word, by one replay of the merges over all words."""
         line = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum([len(w) for w in words])
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
         n = len(line)
         symbol: list[int] = self.id_of_byte[line].tolist()  # at a position; -1 once merged into its left neighbour
         after, before = np.arange(1, n + 1), np.arange(-1, n - 1)

@@ -58,15 +58,20 @@ def top_k(rows: DataFrame, bits: int, queries: DataFrame | None = None, k: int =
 
     queries are rows of the same table (by default those whose id is divisible
     by EVERY) and never meet their own id. Rows without an id or a vector are
-    neither found nor searched. Repeated rows are found each for itself. With
-    fewer than k other rows there are as many ranks as those.
+    neither found nor searched; missing and NaN values give no set bits. Rows
+    with one id are one row, that of the least code. With fewer than k other
+    rows there are as many ranks as those.
     """
     words = range(-(-bits // 64))
     names = [f"c{w}" for w in words]
-    of = lambda df: df.where(F.col(id).isNotNull() & F.col(vector).isNotNull()).select(F.col(id).cast("long").alias("id"), *sign_code(F.col(vector), bits))
+
+    def of(df: DataFrame) -> DataFrame:
+        codes = df.where(F.col(id).isNotNull() & F.col(vector).isNotNull()).select(F.col(id).cast("long").alias("id"), *sign_code(F.col(vector), bits))
+        return codes.groupBy("id").agg(F.min(F.struct(*names)).alias("code")).select("id", "code.*")
+
     if queries is None:
         queries = rows.where(F.col(id) % EVERY == 0)
-    wanted = cut(of(queries).distinct())
+    wanted = cut(of(queries))
     coded = cut(of(rows))
     within = Window.partitionBy(*names).orderBy("id")
     some = coded.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= k + 1)

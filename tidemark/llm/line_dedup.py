@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.parquet as pq
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,11 @@ def line_hash(line: str, min_chars: int) -> bytes | None:
     return xxhash.xxh3_128_digest(key.encode().lower()) if len(key) >= min_chars else None
 
 
+def text_length(text: str = "text") -> Column:
+    """Code points of a text; null for a null text."""
+    return F.length(text).cast("long")
+
+
 def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     x = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
     return x[:, 0].copy(), x[:, 1].copy()

@@ -118,10 +118,10 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: rows of docs, each as often as it is taken.
 
-    Repeated rows under one id are told apart by nothing, so ids should be
-    unique; a null id takes part like any other value.
+    Rows that share an id, also a null one, are taken equally often: as often
+    as the most taken of them. Columns of any name are kept.
     """
     id = options.get("id", "doc_id")
-    taken = copies(docs, **options).where("copies > 0").select(F.col(id).alias("_id"), "copies")
-    out = docs.join(taken, docs[id].eqNullSafe(taken["_id"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(docs[c] for c in docs.columns))
+    taken = copies(docs, **options).groupBy(F.col(id).alias("_taken")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    out = docs.join(taken, docs[id].eqNullSafe(taken["_taken"]))
+    return out.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
