@@ -35,13 +35,13 @@ from .common import cut
 
 FOLDS, HELD_OUT, TUNED_ON = 5, 1, 4
 #: Context bytes at most and at least; predictors; slots of each as a power of two; slots of a table in one piece.
-LONG, SHORT, INPUTS, SLOT_BITS, PIECE_BITS = 6, 3, 6, 22, 18
+LONG, SHORT, INPUTS, SLOT_BITS, PIECE_BITS = 6, 3, 6, 21, 18
 ROUNDS, RATE, CALM, BATCH = 3, 2.0, 100.0, 8192
 SURE, GATES, BUCKETS = 16, INPUTS, 33
 #: Word counts that are sent to workers at most; strings whose cost a worker remembers, as a power of two.
 FREQUENT, MEMORY_BITS = 1 << 19, 21
-#: Bytes of text handled at once.
-BLOCK = 8 << 20
+#: Bytes of text handled at once; strings spread at once.
+BLOCK, CHUNK = 1 << 20, 1 << 17
 EDGE = 0xFF  # never in UTF-8: stands before and after a text
 
 
@@ -102,6 +102,19 @@ def _slots(keys: np.ndarray):
         yield (last >> i) & 1, node, slots
 
 
+def _chunks(batches):
+    """Strings and their counts, CHUNK or more at once as long as there are."""
+    held, n = [], 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.float64)))
+        n += batch.num_rows
+        if n >= CHUNK:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 def string_counts(rows: DataFrame) -> DataFrame:
     """Rows (key, n, tuned): strings of training texts with counts in all and in the tuning fold."""
 
@@ -127,13 +140,11 @@ def context_tables(counts: DataFrame, n: Column) -> np.ndarray:
     """
 
     def spread(batches):
-        for batch in batches:
-            keys, times = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.float64)
+        for keys, times in _chunks(batches):
             for bit, _, slots in _slots(keys):
-                slot = np.concatenate(slots)
-                two = 2 * slot + np.tile(bit, len(slots))
-                own, at = np.unique(two, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(at, np.tile(times, len(slots))))], ["cell", "n"])
+                for slot in slots:
+                    own, at = np.unique(2 * slot + bit, return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(at, times))], ["cell", "n"])
 
     cells = counts.select("key", n.alias("n")).where("n > 0").mapInArrow(spread, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n"))
     pieces = cells.withColumn("piece", F.shiftright("cell", PIECE_BITS + 1))
@@ -182,8 +193,7 @@ def learn_weights(counts: DataFrame, table) -> np.ndarray:
 
         def run(batches, start=start):
             w, mass = start.copy(), np.zeros(len(start))
-            for batch in batches:
-                keys, times = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.float64)
+            for keys, times in _chunks(batches):
                 order = np.argsort(xxhash_order(keys))
                 for at in range(0, len(keys), BATCH):
                     some = order[at : at + BATCH]
@@ -217,8 +227,7 @@ def learn_maps(counts: DataFrame, table, weights: np.ndarray) -> np.ndarray:
 
     def run(batches):
         sums = np.zeros((2, 256 * BUCKETS))
-        for batch in batches:
-            keys, times = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.float64)
+        for keys, times in ((k[i : i + BATCH], t[i : i + BATCH]) for k, t in _chunks(batches) for i in range(0, len(k), BATCH)):
             for bit, node, slots in _slots(keys):
                 stretch, cell = _inputs(table.value, slots)
                 _, at = _refined(sums[0], node, (weights[cell] * stretch).sum(axis=0))
