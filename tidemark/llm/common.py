@@ -2,47 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import ship_package
+from tidemark.session import cut, scratch, shared_dir, ship_package  # noqa: F401
 
 #: ASCII white space that separates words: space and the code points 9 to 13.
 SPACE = "\\x20\\x09-\\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's spark.checkpoint.dir; only where that is unset (a
-    local test session) a temporary folder is made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext._jsc.sc()
-    if not path:
-        if context.getCheckpointDir().isDefined():
-            return context.getCheckpointDir().get()
-        path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    if not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and go on from the files."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def let(value: Column, body) -> Column:
     """body(value), with value computed once per row."""
     return F.element_at(F.transform(F.array(value), body), 1)

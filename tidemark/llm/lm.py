@@ -22,6 +22,7 @@ for the most frequent ones, a bounded number, which are sent to the workers.
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -42,6 +43,8 @@ SURE, GATES, BUCKETS = 16, INPUTS, 33
 FREQUENT, MEMORY_BITS = 1 << 19, 21
 #: Bytes of text handled at once; strings spread at once.
 BLOCK, CHUNK = 1 << 20, 1 << 17
+#: Strings, and words, whose counts a task holds before it gives them out.
+HELD, HELD_WORDS = 1 << 21, 1 << 18
 EDGE = 0xFF  # never in UTF-8: stands before and after a text
 
 
@@ -115,18 +118,38 @@ def _chunks(batches):
         yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
 
+def _added(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, n, tuned = map(np.concatenate, zip(*held, strict=True))
+    own, at = np.unique(keys, return_inverse=True)
+    return own, np.bincount(at, n, len(own)).astype(np.int64), np.bincount(at, tuned, len(own)).astype(np.int64)
+
+
+def _sent(sums: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(sums[0].view(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["key", "n", "tuned"])
+
+
 def string_counts(rows: DataFrame) -> DataFrame:
     """Rows (key, n, tuned): strings of training texts with counts in all and in the tuning fold."""
 
     def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
         for whole in batches:
             for batch, texts in _blocks(whole, 0):
                 keys, sizes = _strings(texts)
                 tuned = np.repeat(batch.column(1).to_numpy() == TUNED_ON, sizes)
-                for part, flag in ((keys[~tuned], False), (keys[tuned], True)):
-                    if len(part):
-                        k, n = np.unique(part, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n), pa.array(n * flag)], ["key", "n", "tuned"])
+                for part, flag in ((keys[~tuned], 0), (keys[tuned], 1)):
+                    k, n = np.unique(part, return_counts=True)
+                    held.append((k, n, n * flag))
+                    size += len(k)
+                if size > HELD:  # sums of what has come so far; given out when they grow too large
+                    held = [_added(held)]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield _sent(held[0])
+                        held, size = [], 0
+        if held:
+            yield _sent(_added(held))
 
     counted = rows.select("_text", "_fold").mapInArrow(run, "key long, n long, tuned long")
     return counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("tuned").alias("tuned"))
@@ -280,6 +303,18 @@ class Model:
         return np.add.reduceat(costs, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
 
 
+_MODELS: dict[str, Model] = {}
+
+
+def _model(sent) -> Model:
+    """A worker's model, the same from task to task, so that costs are found once."""
+    name, *parts = sent.value
+    if name not in _MODELS:
+        _MODELS.clear()
+        _MODELS[name] = Model(*parts)
+    return _MODELS[name]
+
+
 def train(rows: DataFrame) -> tuple:
     """Table, weights and maps from rows (_text, _fold), without the held-out fold."""
     context = rows.sparkSession.sparkContext
@@ -301,13 +336,20 @@ def _word_hashes(words) -> np.ndarray:
 def word_counts(rows: DataFrame) -> DataFrame:
     """Rows (h, c): hashes of the training texts' words, and of their ends, with counts."""
 
+    def sent(n: Counter) -> pa.RecordBatch:
+        c = np.fromiter(n.values(), np.int64, len(n))
+        return pa.RecordBatch.from_arrays([pa.array(_word_hashes(n).view(np.int64)), pa.array(c)], ["h", "c"])
+
     def run(batches):
+        n: Counter = Counter()
         for whole in batches:
             for batch, texts in _blocks(whole, 0):
-                n = Counter(itertools.chain.from_iterable(t.split() for t in texts))
-                h = np.append(_word_hashes(n), np.uint64(END))
-                c = np.append(np.fromiter(n.values(), np.int64, len(n)), batch.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+                n.update(itertools.chain.from_iterable(t.split() for t in texts))
+                n[b""] += batch.num_rows  # the ends
+                if len(n) > HELD_WORDS:
+                    yield sent(n)
+                    n = Counter()
+        yield sent(n)
 
     return rows.select("_text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -342,13 +384,13 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     table = common.toArrow()  # FREQUENT rows at most
     order = np.argsort(table.column("h").to_numpy())
     sent_words = spark.sparkContext.broadcast((table.column("h").to_numpy()[order], table.column("c").to_numpy()[order]))
-    sent_model = spark.sparkContext.broadcast(train(rows))
+    sent_model = spark.sparkContext.broadcast((uuid.uuid4().hex, *train(rows)))
     scale = n + 0.5 * (v + 1)
 
     def run(batches):
-        model = Model(*sent_model.value)
+        model = _model(sent_model)
         hashes, counts = sent_words.value
-        logs = np.append(np.log10((counts + 0.5) / scale), np.nan) if scale else np.full(1, np.nan)
+        logs = np.append(np.log10((counts + 0.5) / scale), 0.0) if scale else np.zeros(1)
         for whole in batches:
             for batch, texts in _blocks(whole, 1):
                 lists = [t.split() for t in texts]
@@ -357,27 +399,25 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
                 at = np.searchsorted(hashes, h)
                 at[at == len(hashes)] = 0
                 known = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
-                value = logs[np.where(known, at, -1)]
+                value = np.where(known, logs[np.where(known, at, -1)], 0.0)  # the rest is added by a join
                 found = dict(zip(words, value[:-1].tolist(), strict=True))
                 rare = dict(zip((w for w, k in zip(words, known, strict=False) if not k), h[:-1][~known[:-1]].tolist(), strict=True))
                 sums, n_known, left, times = [], [], [], []
                 for ws in lists:
-                    if rare:
-                        own = Counter(filter(rare.__contains__, ws))
-                        left.append([rare[w] for w in own])
-                        times.append(list(own.values()))
-                        here = [found[w] for w in ws if w not in own]
-                    else:
-                        left.append([])
-                        times.append([])
-                        here = list(map(found.__getitem__, ws))
+                    own = Counter(filter(rare.__contains__, ws)) if rare else {}
+                    asked = [rare[w] for w in own]
+                    each = list(own.values())
+                    total, n_own = sum(map(found.__getitem__, ws)), sum(each)
                     if known[-1]:
-                        here.append(value[-1])
+                        total += value[-1]
                     else:
-                        left[-1].append(h[-1])
-                        times[-1].append(1)
-                    sums.append(sum(here))
-                    n_known.append(len(here))
+                        asked.append(h[-1])
+                        each.append(1)
+                        n_own += 1
+                    sums.append(total)
+                    n_known.append(len(ws) + 1 - n_own)
+                    left.append(asked)
+                    times.append(each)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0), batch.column(2), pa.array([len(ws) + 1 for ws in lists], pa.int64()), pa.array(n_known, pa.int64()),
