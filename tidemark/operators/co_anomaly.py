@@ -64,15 +64,15 @@ def cross_host_groups(events: DataFrame) -> DataFrame:
     """Minutes in which point events of two hosts or more started together."""
     outside = F.filter("co_anomalies", lambda o: ~o["same_host"])
     e = events.where(F.size(outside) > 0).select(
-        F.date_format("start_ts", "yyyy-MM-dd HH:mm").alias("at"), F.col("event_id"),
+        F.date_format("start_ts", "yyyy-MM-dd HH:mm").alias("started"), F.col("event_id"),
         F.concat(F.array("host"), F.transform(outside, lambda o: o["host"])).alias("hosts"), F.concat(F.array("metric"), F.transform(outside, lambda o: o["metric"])).alias("metrics"),
     )
-    groups = e.groupBy("at").agg(
+    groups = e.groupBy("started").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hosts")))).alias("hosts"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("metrics")))).alias("metrics"),
         F.count("*").alias("n_events"),
     )
-    return groups.where(F.size("hosts") >= 2).orderBy(F.desc("n_events"), F.desc(F.size("hosts")), "at")
+    return groups.where(F.size("hosts") >= 2).orderBy(F.desc("n_events"), F.desc(F.size("hosts")), "started")
 
 
 def cause_rules(config: Config) -> tuple[tuple[str, str, str, Column, str], ...]:
