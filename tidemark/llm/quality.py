@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, SPACE_CHARS, cut, let, words
 
 WINDOW, ROUNDS, THRESHOLD = 5, 30, 0.5
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word of running text: letters or digits, inner marks, and at most one mark on either side.
 _PLAIN = r"^[(\[\"'«„“¿¡]?[\p{L}\p{M}\p{N}]++(?:['’.@:/+，。、；：！？·…-]++[\p{L}\p{M}\p{N}]++)*+[.,;:!?)\]\"'»“”…。，、；：！？]?$"
@@ -155,6 +156,19 @@ def fit(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return one.select(F.col("p.pattern").alias("pattern"), posterior(F.col("p"), F.col("model.prior"), F.col("model.ratio")).alias("posterior"))
 
 
+def _judged(docs: DataFrame, id: str, text: str, threshold: float) -> DataFrame:
+    """A narrow row for each of docs: _id, _hash (of the text), the figures, base_failed, kept and posterior."""
+    f = F.col("_f")
+    rows = cut(
+        docs.select(docs[id].alias("_id"), F.xxhash64(docs[text]).alias("_hash"), features(docs, text).alias("_f")).select(
+            "_id", "_hash", *(f[c].alias(c) for c in BASE), base_failed(f).alias("base_failed"), pattern(f).alias("pattern")
+        )
+    )
+    known = fit(rows)
+    kept = ~F.col("base_failed") & (F.col("posterior") >= threshold)
+    return rows.join(F.broadcast(known), "pattern").withColumn("kept", kept)  # at most 3^rules rows
+
+
 def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per row of docs: id, the base figures, base_failed, kept and posterior.
 
@@ -162,28 +176,15 @@ def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: fl
     are judged one by one and count as often in the estimate. An empty table
     gives no rows.
     """
-    f = F.col("_f")
-    rows = cut(
-        docs.select(docs[id].alias("_id"), features(docs, text).alias("_f")).select(
-            "_id", *(f[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
-            base_failed(f).alias("base_failed"), pattern(f).alias("pattern"),
-        )
-    )
-    known = fit(rows)
-    return rows.join(F.broadcast(known), "pattern").select(  # at most 3^rules rows
-        F.col("_id").alias(id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.col("posterior") >= threshold)).alias("kept"), "posterior",
-    )
+    return _judged(docs, id, text, threshold).select(F.col("_id").alias(id), *BASE, "base_failed", "kept", "posterior")
 
 
-def keep_good(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that pass the base rules and are good with at least the threshold's probability.
 
-    Rows are judged where they are, by their own text; a column of docs named
-    _pattern would clash and is not expected.
+    The figures are found once; rows are told by id and a hash of the text, so
+    that rows which share an id are judged each by its own text. Null ids take
+    part. All columns are kept, whatever their names.
     """
-    seen = docs.withColumn("_figures", features(docs, text))
-    seen = seen.withColumn("_pattern", pattern(F.col("_figures"))).withColumn("_failed", base_failed(F.col("_figures")))
-    known = cut(fit(seen.select(F.col("_pattern").alias("pattern")))).withColumnRenamed("pattern", "_known")
-    good = known.where(F.col("posterior") >= threshold).select("_known")
-    return seen.where(~F.col("_failed")).join(F.broadcast(good), F.col("_pattern") == F.col("_known"), "left_semi").select(*docs.columns)
+    good = _judged(docs, id, text, threshold).where("kept").select("_id", "_hash").distinct()
+    return docs.join(good, docs[id].eqNullSafe(good["_id"]) & (F.xxhash64(docs[text]) == good["_hash"]), "left_semi")
