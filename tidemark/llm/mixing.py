@@ -61,6 +61,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = C
     return shared.select("_source", "source_size", "n_docs", F.least(F.col("_cap"), F.coalesce(F.col("_w") * F.col("_level"), F.col("_cap"))).alias("target"))
 
 
+def offsets(seed: int) -> list[float]:
+    return [int(hashlib.sha256(f"{seed}|{k}".encode()).hexdigest()[:8], 16) / 2**32 for k in range(DRAWS)]
+
+
 def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 7, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Per document: id, size, source_size, target, taken and copies.
 
@@ -101,7 +105,7 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
         n = F.floor(F.col("_at") * F.col("_rate") + offset) - F.floor((F.col("_at") - 1) * F.col("_rate") + offset)
         return F.least(n, F.lit(cap)).cast("long")
 
-    draws = [int(hashlib.sha256(f"{seed}|{k}".encode()).hexdigest()[:8], 16) / 2**32 for k in range(DRAWS)]
+    draws = offsets(seed)
     tried = placed.groupBy("_source").agg(
         F.max("target").alias("_target"),
         *(F.sum(crossed(F.lit(u)) * F.col("size")).alias(f"_t{k}") for k, u in enumerate(draws)),
