@@ -138,6 +138,10 @@ def test_sar(spark, tmp_path):
     assert {r.host for r in got.tables["sar"].select("host").distinct().collect()} == {"web-1"}
     name = "sa-web-1-20260601.csv"
     assert rejects == {(name, REJECT_NUMBER): 1, (name, REJECT_DATE): 1, (name, REJECT_COLUMNS): 1, ("sa-x-20260601.csv", REJECT_HEADER): 1}
+    assert len([w for w in got.warnings if "strange" in w]) == 1 and not any("times are marked" in w for w in got.warnings)
+    config = Config()
+    config.values["timezone.sar"] = "Asia/Tokyo"
+    assert any("times are marked UTC" in w for w in read(spark, tmp_path, {}, config)[0].warnings)
     config = Config()
     config.values["sar.activities"] = "disk"
     only, _ = read(spark, tmp_path, {}, config)

@@ -14,6 +14,7 @@ from ..functions.windows import SERIES, seasonal_difference, trailing
 from ..operators import co_anomaly, detectors, events, metrics, rollups
 from ..schema import ALGORITHMS, SHAPES
 from ..session import cut
+from ..sources import files, parsers
 from . import adapters
 from .adapters import table
 
@@ -212,6 +213,141 @@ def sigma_and_score(spark, sf_dir):
     return i.select("l_orderkey", "l_linenumber", r6(scalars.effective_sigma(F.col("l_discount") * 10, F.col("l_extendedprice"), CONFIG), "sigma"), r6(scalars.graded(F.col("l_quantity"), 20, 40), "score"))
 
 
+# --- sources: log lines made from the tables, in SQL parsed by plain functions ------------------
+
+_NAMES = """f AS (SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'DBConnection_2026' || lpad((c_custkey % 1000)::VARCHAR, 4, '0') || '.csv' WHEN 1 THEN 'bqueues_' || replace(c_name, '#', '_') || '_20260601.txt'
+WHEN 2 THEN 'sa-' || replace(c_name, '#', '-') || '-20260602.csv' WHEN 3 THEN 'app_gc_x_gc_h' || c_custkey || '_20260603.txt' WHEN 4 THEN 'app_gc_h_2026.txt' WHEN 5 THEN 'notes.txt' ELSE 'DBConnection_1.csv' END AS name FROM customer)"""
+
+
+@query(f"""WITH {_NAMES}, k AS (SELECT *, CASE WHEN regexp_full_match(name, 'DBConnection_\\d{{8}}\\.csv') THEN 'db_connection' WHEN regexp_full_match(name, 'bqueues_.+_\\d{{8}}\\.txt') THEN 'lsf_queue'
+WHEN regexp_full_match(name, 'sa-.+-\\d{{8}}\\.csv') THEN 'sar' WHEN regexp_full_match(name, '.+_gc_.+_\\d{{8}}\\.txt') THEN 'jvm_gc' END AS kind FROM f)
+SELECT c_custkey, kind, CASE WHEN kind IS NOT NULL THEN regexp_extract(name, '(\\d{{8}})\\.(csv|txt)$', 1) END AS file_date,
+CASE kind WHEN 'lsf_queue' THEN regexp_extract(name, '^bqueues_(.+)_\\d{{8}}', 1) WHEN 'sar' THEN regexp_extract(name, '^sa-(.+)-\\d{{8}}', 1) WHEN 'jvm_gc' THEN regexp_extract(name, '^.+_gc_(.+)_\\d{{8}}', 1) END AS host,
+CASE kind WHEN 'jvm_gc' THEN regexp_extract(name, '^(.+)_gc_.+_\\d{{8}}', 1) END AS container FROM k""")
+def file_classify(spark, sf_dir):
+    k, n = F.col("c_custkey"), F.col("c_name")
+    put = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    name = (
+        F.when(k % 7 == 0, put("DBConnection_2026", F.lpad((k % 1000).cast("string"), 4, "0"), ".csv"))
+        .when(k % 7 == 1, put("bqueues_", F.replace(n, F.lit("#"), F.lit("_")), "_20260601.txt"))
+        .when(k % 7 == 2, put("sa-", F.replace(n, F.lit("#"), F.lit("-")), "-20260602.csv"))
+        .when(k % 7 == 3, put("app_gc_x_gc_h", k.cast("string"), "_20260603.txt"))
+        .when(k % 7 == 4, "app_gc_h_2026.txt").when(k % 7 == 5, "notes.txt").otherwise("DBConnection_1.csv")
+    )
+    return files.classified(table(spark, sf_dir, "customer").select("c_custkey", put("/logs/", name).alias("path"))).select("c_custkey", "kind", "file_date", "host", "container")
+
+
+def _lines(rows: DataFrame, kind: str, fields: Column, line: Column | None = None) -> DataFrame:
+    """Lines of one file for each host, headed by line 0, from rows with file_path, host and line_no."""
+    return rows.select(
+        "file_path", F.lit("20260601").alias("file_date"), F.lit(kind).alias("kind"), "host", F.lit("app").alias("container"), F.col("line_no").cast("long").alias("line_no"),
+        fields.alias("fields"), (line if line is not None else F.lit("")).alias("line"),
+    )
+
+
+def _strings(*parts) -> Column:
+    return F.array(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
+_DB_LINES = """l AS (SELECT event_id, 'DB' || (user_id % 4) AS file_path, CASE event_id % 13 WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE strftime(ts, '%Y/%m/%d %H:%M:%S') END AS t, ' h' || user_id % 9 AS host,
+  CASE event_id % 17 WHEN 2 THEN 'x' WHEN 3 THEN '70.9' ELSE '7001' END AS port, event_type AS pool, CASE event_id % 19 WHEN 4 THEN '-' WHEN 5 THEN 'nan' WHEN 6 THEN '' ELSE (event_id % 50)::VARCHAR END AS n, event_id % 23 = 7 AS short FROM events),
+j AS (SELECT *, CASE WHEN short THEN '列数不一致' WHEN event_id % 13 = 1 THEN '日付書式不正' WHEN port = 'x' OR n = 'nan' THEN '数値変換不能' END AS reason FROM l)"""
+
+
+def _db_lines(spark, sf_dir):
+    k = F.col("event_id")
+    e = table(spark, sf_dir, "events").select("*", F.concat(F.lit("DB"), (F.col("user_id") % 4).cast("string")).alias("file_path"), F.lit(None).cast("string").alias("host"), (k + 1).alias("line_no"))
+    t = F.when(k % 13 == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("ts", "yyyy/MM/dd HH:mm:ss"))
+    host = F.concat(F.lit(" h"), (F.col("user_id") % 9).cast("string"))
+    port = F.when(k % 17 == 2, "x").when(k % 17 == 3, "70.9").otherwise("7001")
+    n = F.when(k % 19 == 4, "-").when(k % 19 == 5, "nan").when(k % 19 == 6, "").otherwise((k % 50).cast("string"))
+    whole = _strings(t, host, port, F.col("event_type"), n)
+    return _lines(e, "db_connection", F.when(k % 23 == 7, F.slice(whole, 1, 3)).otherwise(whole))
+
+
+@query(f"""WITH {_DB_LINES} SELECT file_path, event_id + 1 AS line_no, strptime(t, '%Y/%m/%d %H:%M:%S') AS ts, trim(host) AS host, floor(port::DOUBLE)::INTEGER AS port, pool AS datasource,
+CASE WHEN n IN ('-', '') THEN NULL ELSE n::DOUBLE END AS active FROM j WHERE reason IS NULL""")
+def parse_db_connection(spark, sf_dir):
+    rows, _ = parsers.db_connection(_db_lines(spark, sf_dir))
+    return rows.select("file_path", "line_no", "ts", "host", "port", "datasource", F.col("active_connections").cast("double").alias("active"))
+
+
+@query(f"WITH {_DB_LINES} SELECT file_path, reason, count(*) AS n FROM j WHERE reason IS NOT NULL GROUP BY ALL")
+def reject_ledger(spark, sf_dir):
+    _, rejects = parsers.db_connection(_db_lines(spark, sf_dir))
+    return rejects.groupBy("file_path", "reason").agg(F.count("*").alias("n"))
+
+
+@query("""WITH l AS (SELECT *, 'Q' || (user_id % 3) AS file_path FROM events), g AS (SELECT *, CASE WHEN event_id % 11 = 3 OR event_id % 29 = 5 OR event_id % 31 = 6 THEN 1 ELSE 0 END AS bad FROM l)
+SELECT file_path, event_id + 1 AS line_no, date_trunc('second', ts)::TIMESTAMP AS ts, q.queue, CASE q.queue WHEN 'long' THEN (event_id % 40)::DOUBLE END AS njobs, CASE q.queue WHEN 'long' THEN CASE WHEN event_id % 7 = 0 THEN NULL ELSE (user_id % 5)::DOUBLE END END AS pend,
+CASE q.queue WHEN 'long' THEN NULL ELSE floor(value)::DOUBLE END AS run FROM g, (VALUES ('long'), ('a_b')) q(queue) WHERE bad = 0""")
+def parse_lsf_queue(spark, sf_dir):
+    k = F.col("event_id")
+    e = table(spark, sf_dir, "events").select("*", F.concat(F.lit("Q"), (F.col("user_id") % 3).cast("string")).alias("file_path"), F.lit("h").alias("host"))
+    head = e.select("file_path", "host").distinct().withColumn("line_no", F.lit(0))
+    stamp = F.when(k % 11 == 3, "soon").when(k % 2 == 0, F.date_format("ts", "yyyy/MM/dd HH:mm:ss")).otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(":07")))
+    pend = F.when(k % 7 == 0, "-").otherwise((F.col("user_id") % 5).cast("string"))
+    row = _strings(stamp, F.when(k % 29 == 5, "many").otherwise((k % 40).cast("string")), pend, F.floor("value"), "note")
+    lines = _lines(head, "lsf_queue", _strings("time", "long_NJOBS", "long_PEND", "a_b_RUN", "note")).unionByName(
+        _lines(e.withColumn("line_no", k + 1), "lsf_queue", F.when(k % 31 == 6, F.slice(row, 1, 4)).otherwise(row))
+    )
+    rows, _ = parsers.lsf_queue(lines)
+    return rows.select("file_path", "line_no", "ts", "queue", *(F.col(c).cast("double").alias(c) for c in ("njobs", "pend", "run")))
+
+
+@query("""WITH l AS (SELECT *, (['g12', 'g18', 'g17'])[user_id % 3 + 1] AS file_path, ([12, 18, 17])[user_id % 3 + 1] AS layout FROM events)
+SELECT file_path, event_id + 1 AS line_no, date_trunc('second', ts)::TIMESTAMP AS ts, CASE layout WHEN 12 THEN 'gcutil' ELSE 'gc' END AS gc_format, round(value, 2) AS uptime,
+(event_id % 100 + CASE layout WHEN 12 THEN 4 ELSE 8 END)::DOUBLE AS ou, CASE layout WHEN 12 THEN NULL ELSE (event_id % 100 + 7)::DOUBLE END AS oc, CASE layout WHEN 12 THEN (event_id % 100 + 6)::DOUBLE WHEN 18 THEN (event_id % 100 + 12)::DOUBLE END AS ccsu,
+(event_id % 100 + CASE layout WHEN 12 THEN 7 WHEN 18 THEN 13 ELSE 12 END)::DOUBLE AS ygc, (event_id % 100 + layout - 1)::DOUBLE AS gct
+FROM l WHERE event_id % 37 <> 1 AND event_id % 41 <> 2""")
+def parse_jvm_gc(spark, sf_dir):
+    k = F.col("event_id")
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("user_id") % 3 + 1).cast("int"))
+    e = table(spark, sf_dir, "events").select("*", pick("g12", "g18", "g17").alias("file_path"), pick(12, 18, 17).alias("layout"), F.lit("h").alias("host"))
+    head = e.select("file_path", "host").distinct().withColumn("line_no", F.lit(0))
+    # A first row of data that has the layout, whatever the others have.
+    first = e.select("file_path", "host", "layout").distinct().withColumn("line_no", F.lit(0.5))
+    numbers = F.transform(F.sequence(F.lit(1), F.col("layout") - 1), lambda i: (k % 100 + i).cast("string"))
+    row = F.concat(_strings(F.date_format("ts", "yyyy/M/d"), F.date_format("ts", "H:m:s"), F.format_string("%.2f", "value")), numbers)
+    row = F.when(k % 37 == 1, F.slice(row, 1, 9)).when(k % 41 == 2, F.concat(F.slice(row, 1, 4), _strings("x"), F.slice(row, 6, 99))).otherwise(row)
+    lines = _lines(head, "jvm_gc", _strings("Timestamp", "S0")).unionByName(_lines(e.withColumn("line_no", k + 2), "jvm_gc", row))
+    lines = lines.unionByName(_lines(first.withColumn("line_no", F.lit(1)), "jvm_gc", F.concat(_strings("none", "none"), F.transform(F.sequence(F.lit(1), F.col("layout")), lambda i: i.cast("string")))))
+    rows, _ = parsers.jvm_gc(lines)
+    return rows.select("file_path", (F.col("line_no") - 1).alias("line_no"), "ts", "gc_format", F.col("jvm_uptime_sec").alias("uptime"), "ou", "oc", "ccsu", F.col("ygc").cast("double").alias("ygc"), "gct")
+
+
+@query("""WITH l AS (SELECT *, 'S' || (user_id % 3) AS file_path, (event_id // 10) % 3 AS block FROM events),
+m AS (SELECT file_path, event_id, ts, CASE block WHEN 0 THEN 'cpu' ELSE 'load' END AS activity, CASE WHEN block = 0 AND event_id % 4 > 0 THEN (event_id % 4)::VARCHAR ELSE '-' END AS device, u.i, u.metric, u.v, CASE WHEN event_id % 9 = 4 THEN 2 ELSE 99 END AS bad
+FROM l, (VALUES (0, 1, 'pct_user', 0), (0, 2, 'pct_system', 1), (0, 3, 'pct_iowait', 2), (0, 4, 'pct_idle', 3), (1, 1, 'runq_sz', 0), (1, 2, 'ldavg_1', 1), (1, 3, 'ldavg_5', 2)) u(b, i, metric, v) WHERE block = b AND event_id % 43 <> 3)
+SELECT file_path, date_trunc('second', ts)::TIMESTAMP AS ts, activity, device, metric, (event_id % 60 + v)::DOUBLE AS value FROM m WHERE i < bad""")
+def parse_sar(spark, sf_dir):
+    k = F.col("event_id")
+    e = table(spark, sf_dir, "events").select("*", F.concat(F.lit("S"), (F.col("user_id") % 3).cast("string")).alias("file_path"), F.lit("h").alias("host"), (F.floor(k / 10) % 3).alias("block"))
+    fixed = ("hostname", "interval", "timestamp")
+    heads = [(0, (*fixed, "CPU", "%user", "%system", "%iowait", "%idle")), (1, (*fixed, "runq-sz", "ldavg-1", "ldavg-5")), (2, (*fixed, "strange"))]
+    chosen = F.when(F.col("block") == 0, _strings(*heads[0][1])).when(F.col("block") == 1, _strings(*heads[1][1])).otherwise(_strings(*heads[2][1]))
+    turns = e.groupBy("file_path", "host", "block", F.floor(k / 10).alias("g")).agg(F.min("event_id").alias("first"))
+    head = _lines(turns.withColumn("line_no", 2 * F.col("first")), "sar", chosen, F.concat(F.lit("#"), F.array_join(chosen, ";")))
+    number = lambda i: (k % 60 + i).cast("string")
+    stamp = F.when(k % 43 == 3, "soon").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.when(k % 2 == 0, " UTC").otherwise("")))
+    second = F.when(k % 9 == 4, "bad").otherwise(number(1))
+    cpu = _strings("h", "300", stamp, F.when(k % 4 > 0, (k % 4).cast("string")).otherwise(" "), number(0), second, number(2), number(3))
+    load = _strings("h", "300", stamp, number(0), second, number(2))
+    row = F.when(F.col("block") == 0, cpu).otherwise(load)
+    lines = head.unionByName(_lines(e.withColumn("line_no", 2 * k + 1), "sar", row, F.array_join(row, ";")))
+    rows, _ = parsers.sar(lines)
+    return rows.select("file_path", "ts", "activity", "device", "metric", "value")
+
+
+@query("""SELECT event_id, CASE WHEN x IN ('', '-') THEN NULL WHEN regexp_full_match(x, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN round(x::DOUBLE, 6) END AS number, x IN ('', '-') OR regexp_full_match(x, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') AS fine,
+CASE WHEN regexp_full_match(x, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN trunc(x::DOUBLE) + 0.0 END AS whole
+FROM (SELECT event_id, CASE event_id % 9 WHEN 0 THEN '' WHEN 1 THEN '-' WHEN 2 THEN 'nan' WHEN 3 THEN '1_000' WHEN 4 THEN '-' || printf('%.2f', value) WHEN 5 THEN '.5' WHEN 6 THEN '12e1' WHEN 7 THEN 'inf' ELSE printf('%.3f', value) END AS x FROM events)""")
+def cast_helpers(spark, sf_dir):
+    k, v = F.col("event_id") % 9, F.col("value")
+    x = F.when(k == 0, "").when(k == 1, "-").when(k == 2, "nan").when(k == 3, "1_000").when(k == 4, F.concat(F.lit("-"), F.format_string("%.2f", v))).when(k == 5, ".5").when(k == 6, "12e1").when(k == 7, "inf").otherwise(F.format_string("%.3f", v))
+    return table(spark, sf_dir, "events").select("event_id", r6(parsers.number(x), "number"), parsers.is_number(x).alias("fine"), parsers.whole(x).cast("double").alias("whole"))
+
+
 # --- detectors --------------------------------------------------------------------------------
 
 _A1 = f"""{M_EVENT}, {CATALOGUE},
@@ -433,6 +569,39 @@ def event_ids(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", "host", *SERIES, "start_ts")
 
 
+_HITS = """hits AS (SELECT event_id, 'events/' || event_type AS series_id, 'value' AS metric, ts, epoch_us(ts) AS us, 1 + value / 150 AS score, CASE WHEN event_id % 2 = 0 THEN 'spike_up' ELSE 'spike_down' END AS shape, 900.0 AS interval_sec FROM events)"""
+
+
+def _hits(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return e.select(
+        "event_id", F.concat(F.lit("events/"), "event_type").alias("series_id"), F.lit("value").alias("metric"), F.lit("events").alias("source"), "ts", scalars.micros("ts").alias("us"), (1 + F.col("value") / 150).alias("score"),
+        F.when(F.col("event_id") % 2 == 0, "spike_up").otherwise("spike_down").alias("shape"), F.lit(900.0).alias("interval_sec"), F.array("value").alias("values"), F.create_map(F.lit("k"), F.col("event_id").cast("double")).alias("detail"),
+    )
+
+
+@query(f"WITH {_HITS}, {MERGED} SELECT event_id, series_id, ts, round(score, 6) AS score FROM kept")
+def persistence_rule(spark, sf_dir):
+    return detectors.persistent(_hits(spark, sf_dir)).select("event_id", "series_id", "ts", r6("score"))
+
+
+@query(f"""WITH {_HITS.replace("event_id,", "event_id, value,", 1)}, {MERGED},
+vs AS (SELECT *, lag(value) OVER (PARTITION BY series_id, run ORDER BY us) AS pv, row_number() OVER (PARTITION BY series_id, run ORDER BY us) AS rn FROM kept),
+vl AS (SELECT series_id, run, min(ts) AS start_ts, string_agg(printf('%.2f', value), '|' ORDER BY us) FILTER (rn = 1 OR value <> pv) AS vals FROM vs GROUP BY ALL)
+SELECT series_id, m.start_ts, end_ts, score, shape, n_points, vals AS joined FROM merged m JOIN vl USING (series_id, start_ts)""")
+def merge_adjacent(spark, sf_dir):
+    d = detectors.merged(detectors.persistent(_hits(spark, sf_dir)))
+    n = F.coalesce(F.try_element_at("detail", F.lit("merged_points")), F.lit(1.0)).cast("long")
+    return d.select("series_id", "start_ts", "end_ts", r6("score"), "shape", n.alias("n_points"), F.concat_ws("|", F.transform("values", lambda v: F.format_string("%.2f", v))).alias("joined"))
+
+
+@query(f"""WITH {M_DAY}, l AS (SELECT series_id, metric, list(value ORDER BY us) AS v, count(*) AS n FROM m GROUP BY ALL)
+SELECT series_id, metric, array_to_string(list_transform(CASE WHEN n <= 9 THEN v ELSE list_transform(range(9), lambda i: v[round_even(i * ((n - 1) / 8.0), 0)::INTEGER + 1]) END, lambda x: printf('%.2f', x)), '|') AS sample FROM l""")
+def sampled_values(spark, sf_dir):
+    p = metrics.searchable(adapters.m_day(spark, sf_dir), None).groupBy(*SERIES).agg(F.transform(F.sort_array(F.collect_list(F.struct("us", "value"))), lambda x: x["value"]).alias("_v"))
+    return p.select(*SERIES, F.concat_ws("|", F.transform(scalars.sampled(F.col("_v")), lambda x: F.format_string("%.2f", x))).alias("sample"))
+
+
 @query(f"WITH {DETECTIONS} SELECT series_id, metric, ({_SHAPES})[min(list_position({_SHAPES}, shape))] AS shape, count(*) AS n FROM det GROUP BY ALL")
 def shape_priority(spark, sf_dir):
     rank = F.array_position(F.array(*map(F.lit, SHAPES)), F.col("shape"))

@@ -49,7 +49,7 @@ def svg(title: str, stamps: list[pd.Timestamp], values: list[float], start, end,
 
 
 def render(events: DataFrame, points: DataFrame, config: Config, zone: str = "UTC") -> DataFrame:
-    """Rows (event_id, overlay, svg) for the chosen events; svg is null where there are too few points."""
+    """Rows (event_id, svg, raw) for the chosen events; with too few points svg is null and raw has these."""
     chosen = rollups.chart_windows(rollups.chart_choice(events, config), config)
     main = rollups.chart_points(chosen, points)
     head = chosen.select("event_id", "start_ts", "end_ts", F.concat_ws(" ", *SERIES).alias("title"), F.slice(F.coalesce("co_anomalies", F.array().cast(chosen.schema["co_anomalies"].dataType)), 1, rollups.CHART_OVERLAYS).alias("others"), "from_us", "to_us")
@@ -71,11 +71,11 @@ def render(events: DataFrame, points: DataFrame, config: Config, zone: str = "UT
             for r in batch.to_dict("records"):
                 pts = [] if r["pts"] is None else list(r["pts"])
                 if len(pts) < rollups.CHART_LEAST:
-                    out.append((r["event_id"], None))
+                    out.append((r["event_id"], None, [(x["ts"], x["value"]) for x in pts]))
                     continue
                 overlays = [] if r["lines"] is None else [(x["name"], list(x["ys"])) for x in r["lines"]]
                 stamps = [pd.Timestamp(x["ts"]) for x in pts]
-                out.append((r["event_id"], svg(r["title"], stamps, [x["value"] for x in pts], r["start_ts"], r["end_ts"], overlays, zone)))
-            yield pd.DataFrame(out, columns=["event_id", "svg"])
+                out.append((r["event_id"], svg(r["title"], stamps, [x["value"] for x in pts], r["start_ts"], r["end_ts"], overlays, zone), None))
+            yield pd.DataFrame(out, columns=["event_id", "svg", "raw"])
 
-    return rows.mapInPandas(draw, "event_id string, svg string")
+    return rows.mapInPandas(draw, "event_id string, svg string, raw array<struct<ts:timestamp_ntz,value:double>>")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime
 from pathlib import Path
@@ -123,7 +123,7 @@ def explanation(algorithm: str, d: dict[str, float]) -> str:
     return EXPLANATIONS[algorithm].format_map(words)
 
 
-def event_text(event: dict, zone: str = "UTC", chart: str | None = None) -> str:
+def event_text(event: dict, zone: str = "UTC", chart: str | None = None, raw: list[dict] | None = None) -> str:
     names = ", ".join(f"{a} {ALGORITHM_NAMES[a]}" for a in event["algorithms"])
     pad = "\n             "
     causes = [f"{c['cause']} (確度: {c['confidence']}) — {c['reason']}" for c in event["causes"] or []]
@@ -148,14 +148,18 @@ def event_text(event: dict, zone: str = "UTC", chart: str | None = None) -> str:
             lines.append("  - (同じ時間帯に検知された他のアノマリーはありません)")
     if chart:
         lines += ["", f"![{event['event_id']} {event['metric']} の推移]({chart})"]
+    if raw is not None:  # too few points for a chart: the points themselves
+        lines += ["", *table(("時刻", "値"), [(stamp(x["ts"], zone), number(x["value"])) for x in raw] or [("(データがありません)", "—")])]
     return "\n".join(lines)
 
 
 def rendered(events: DataFrame, zone: str = "UTC") -> DataFrame:
     """Rows (host, ym, place, text): each event's text, with its place in its report."""
-    e = events if "chart" in events.columns else events.withColumn("chart", F.lit(None).cast("string"))
+    e = events
+    for name, kind in (("chart", "string"), ("raw", "array<struct<ts:timestamp_ntz,value:double>>")):
+        e = e if name in e.columns else e.withColumn(name, F.lit(None).cast(kind))
     columns = ["event_id", "series_id", "source", "metric", "algorithms", "start_ts", "end_ts", "values", "shape", "severity", "detail", "causes", "co_anomalies"]
-    rows = e.select("host", rollups.month().alias("ym"), (-rank_of(F.col("severity"))).cast("int").alias("rank"), "start_us", F.struct(*columns).alias("event"), "chart")
+    rows = e.select("host", rollups.month().alias("ym"), (-rank_of(F.col("severity"))).cast("int").alias("rank"), "start_us", F.struct(*columns).alias("event"), "chart", "raw")
     schema = "host string, ym string, rank int, start_us long, event_id string, text string"
     arrow = pa.schema([("host", pa.string()), ("ym", pa.string()), ("rank", pa.int32()), ("start_us", pa.int64()), ("event_id", pa.string()), ("text", pa.string())])
 
@@ -165,7 +169,7 @@ def rendered(events: DataFrame, zone: str = "UTC") -> DataFrame:
             for r in batch.to_pylist():
                 event = r["event"]
                 event["detail"] = dict(event["detail"] or {})
-                out.append({k: r[k] for k in ("host", "ym", "rank", "start_us")} | {"event_id": event["event_id"], "text": event_text(event, zone, r["chart"])})
+                out.append({k: r[k] for k in ("host", "ym", "rank", "start_us")} | {"event_id": event["event_id"], "text": event_text(event, zone, r["chart"], r["raw"])})
             yield pa.RecordBatch.from_pylist(out, arrow)
 
     return rows.mapInArrow(run, schema)
@@ -321,9 +325,17 @@ def digest_of(events: DataFrame) -> DataFrame:
     return rollups.host_digest(events).join(names, ["host", "ym", "metric"])
 
 
-def write_reports(facts: Facts, events: DataFrame, out: str | Path) -> list[str]:
-    """All reports of a run. Reports of earlier runs stay; a summary is written even without events."""
-    Path(out).mkdir(parents=True, exist_ok=True)
+def write_reports(facts: Facts, events: DataFrame, out: str | Path, sink: Callable[[Path, str], str | None] | None = None) -> list[str]:
+    """All reports of a run, each given to sink, which writes it by default.
+
+    Reports of earlier runs stay; a summary is written even without events.
+    """
+    if sink is None:
+        sink = write_text
+        try:
+            Path(out).mkdir(parents=True, exist_ok=True)
+        except OSError as e:
+            raise WriteError(f"{out}: {e}") from e
     months = rollups.host_months(events).collect()  # one row a host and month
     names = file_names(list({m.host for m in months}))
     digest: dict[tuple[str, str], list] = {}
@@ -338,7 +350,7 @@ def write_reports(facts: Facts, events: DataFrame, out: str | Path) -> list[str]
         if key is not None:
             host, ym = key
             rows = sorted(digest[key], key=lambda d: (-d.n_severe, -d.n_events, d.metric))
-            written.append(write_text(Path(out) / f"report_{names[host]}_{ym}.md", host_report(facts, host, ym, counts[key], rows, iter(texts))))
+            written.append(sink(Path(out) / f"report_{names[host]}_{ym}.md", host_report(facts, host, ym, counts[key], rows, iter(texts))))
 
     for r in ordered.toLocalIterator():  # the driver holds one report's texts
         if (r.host, r.ym) != key:
@@ -348,5 +360,5 @@ def write_reports(facts: Facts, events: DataFrame, out: str | Path) -> list[str]
     close()
     last = facts.period[1] or facts.now
     for ym in sorted({m.ym for m in months}) or [f"{last:%Y%m}"]:
-        written.append(write_text(Path(out) / f"report_summary_{ym}.md", summary_report(facts, ym, events.where(rollups.month() == ym), names)))
+        written.append(sink(Path(out) / f"report_summary_{ym}.md", summary_report(facts, ym, events.where(rollups.month() == ym), names)))
     return written

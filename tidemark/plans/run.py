@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import logging
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
@@ -11,16 +10,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import progress
 from ..config import Config
+from ..errors import WriteError
 from ..operators import co_anomaly, detectors, events, metrics, rollups
 from ..schema import DETECTIONS, RATIOS, SKIPS
 from ..session import cut
 from ..sources.ingest import Ingested, ingest
 from . import charts, report
 
-log = logging.getLogger("tidemark")
-
-
 @dataclass
 class Analysis:
     metrics: DataFrame
@@ -51,7 +49,7 @@ def analyse(frame: DataFrame, config: Config, names: tuple[str, ...] | None = me
             found, skipped = detectors.DETECTORS[algorithm](points, series, config, *extra)
             return cut(found), cut(skipped), None
         except Exception as e:  # noqa: BLE001  a detector's failure is a result
-            log.warning("%s failed: %s", algorithm, e)
+            progress.warning("S6", f"{algorithm} failed: {e}")
             return None, None, (algorithm, "*", "*", str(e).splitlines()[0])
 
     workers = int(config.param("common.detect_threads")) or 4
@@ -79,7 +77,7 @@ def write_charts(a: Analysis, config: Config, out: Path) -> DataFrame:
         report.write_text(folder / f"{chart_name(r.event_id)}.svg", r.svg)
     report.write_text(folder / "no-chart.svg", charts.NO_CHART)
     path = F.concat(F.lit("charts/"), F.regexp_replace("event_id", r'[\\/:*?"<>|]', "_"), F.lit(".svg"))
-    named = drawn.select("event_id", F.when(F.col("svg").isNotNull(), path).alias("chart"))
+    named = drawn.select("event_id", F.when(F.col("svg").isNotNull(), path).alias("chart"), "raw")
     return a.events.join(named, "event_id", "left").withColumn("chart", F.coalesce("chart", F.lit("charts/no-chart.svg")))
 
 
@@ -95,10 +93,23 @@ def facts_of(a: Analysis, read: Ingested, root: str, config: Config, now: dateti
 
 
 def run(spark: SparkSession, root: str, config: Config, out: str, now: datetime | None = None) -> tuple[Analysis, list[str]]:
-    """Read the logs below root, analyse them, and write reports and charts below out."""
+    """Read the logs below root, analyse them, and write reports and charts below out.
+
+    Where reports cannot be written, they are printed instead, and WriteError is raised.
+    """
+    progress.info("S3", f"reading {root}")
     read = ingest(spark, root, config)
-    log.info("%d files, %d ignored, %d rows", read.files, read.ignored, read.rows)
+    progress.info("S4", f"{read.files} files, {read.ignored} ignored, {read.rows} rows")
+    for w in read.warnings:
+        progress.warning("S4", w)
     a = analyse(metrics.build(read.tables), config)
-    shown = write_charts(a, config, Path(out))
-    written = report.write_reports(facts_of(a, read, root, config, now or datetime.now()), cut(shown), out)
+    facts = facts_of(a, read, root, config, now or datetime.now())
+    progress.info("S5", f"{facts.series} series, {facts.period[0]} to {facts.period[1]}")
+    try:
+        shown = cut(write_charts(a, config, Path(out)))
+        written = report.write_reports(facts, shown, out)
+    except (WriteError, OSError) as e:
+        report.write_reports(facts, a.events, out, lambda _, text: print(text))
+        raise e if isinstance(e, WriteError) else WriteError(str(e)) from e
+    progress.info("S9", f"{len(written)} reports")
     return a, written

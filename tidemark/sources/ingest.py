@@ -17,6 +17,10 @@ from . import parsers
 from .files import discover, lines_of
 
 
+#: Warnings that are shown at most.
+SHOWN = 100
+
+
 @dataclass
 class Ingested:
     tables: dict[str, DataFrame]
@@ -25,6 +29,7 @@ class Ingested:
     files: int
     ignored: int
     rows: int
+    warnings: list[str]
 
 
 def ingest(spark: SparkSession, root: str, config: Config) -> Ingested:
@@ -50,4 +55,5 @@ def ingest(spark: SparkSession, root: str, config: Config) -> Ingested:
     if n == 0:
         raise NothingReadableError(f"none of {n_files} files has a readable row")
     ledger = cut(rejects.groupBy("file_path", "reason").agg(F.count("*").alias("n")))
-    return Ingested(tables, ledger, n_files, ignored, n)
+    said = parsers.sar_warnings(lines.where("kind = 'sar'"), config.zone("sar")).orderBy("file_path", "message").limit(SHOWN).collect()
+    return Ingested(tables, ledger, n_files, ignored, n, [f"{r.message}: {r.file_path}" for r in said])

@@ -187,3 +187,18 @@ def sar(lines: DataFrame, activities: list[str] | None = None) -> Parsed:
     each = rows.where(dated).select(*ORDER, "ts", "host", "activity", "device", F.explode(kept).alias("x"))
     out = each.select(*ORDER, "ts", "host", "activity", "device", F.col("x.metric").alias("metric"), number(F.col("x.token")).alias("value"))
     return out, rejects.unionByName(headless).unionByName(_undecoded(lines))
+
+
+def sar_warnings(lines: DataFrame, zone: str) -> DataFrame:
+    """Rows (file_path, message): headers of unknown activities, and zones of times that differ from the settings."""
+    read = lines.where("line_no >= 0")
+    is_head = F.col("line").startswith("#")
+    names = F.transform(F.slice("fields", 4, F.greatest(F.size("fields") - 3, F.lit(0))), lambda x: column_name(F.trim(x)))
+    known = F.lit(False)
+    for feature, device in _FEATURES.values():
+        lead = at(F.col("fields"), 3)
+        known = known | (F.array_contains(names, feature) & ((lead == device) if device else ~lead.isin(*_DEVICES)))
+    strange = read.where(is_head & ~F.coalesce(known, F.lit(False))).select("file_path", F.concat(F.lit("unknown sar header "), F.substring("line", 1, 120)).alias("message")).distinct()
+    said = F.regexp_extract(F.get("fields", F.lit(2)), r"^\s*\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\s+(\S+)\s*$", 1)
+    other = read.where(~is_head & (said != "") & (said != zone)).select("file_path", F.concat(F.lit("times are marked "), said, F.lit(f", the settings say {zone}")).alias("message")).distinct()
+    return strange.unionByName(other)
