@@ -2,32 +2,50 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, line_dedup, mixing, quality, simhash
-from tidemark.llm.common import documents, scratch
+from tidemark.llm.common import documents, scratch, ship_package
+
+
+def stage(f):
+    """A stage that can run on executors that lack the package."""
+
+    @functools.wraps(f)
+    def ready(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return f(spark, docs, sf_dir)
+
+    return ready
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return quality.keep_good(docs)
 
 
+@stage
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in many documents stay in one; n_chars follows the text."""
     return line_dedup.dedup_lines(docs).withColumns({"n_chars": line_dedup.text_length("text")}).select(*docs.columns)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash.deduplicate(docs)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it."""
     return mixing.mix(docs)
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the text decoded from them."""
     import public_tokenizers
@@ -51,8 +69,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over all documents, each written to the shared folder and read again."""
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
+    for name, step in STAGES[:-1]:
         path = scratch(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

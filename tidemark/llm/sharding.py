@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import cut, scratch
 
 SLOTS = 4096
+#: Finishing moves for each shard at most.
+FINISH = 20
 
 
 def slot_of(docs: DataFrame, slots: int = SLOTS, keys: tuple[str, ...] = ("doc_id", "text")):
@@ -38,43 +40,51 @@ class SlotMap:
     def rebalance(self, weights: dict[int, int], shards: int | None = None) -> int:
         """Edit the map until shards weigh nearly the same; returns the number of moved slots.
 
-        Shards above the mean give up slots, the largest that fit first; these
-        go, largest first, to the lightest shard. Ties go by number, so that
-        the same weights always give the same map.
+        A shard above the mean gives up slots, the largest first, as long as it
+        stays at the mean or above. These, and the slots of shards that are no
+        more, go, largest first, to the shard that is lightest then. Single slots
+        finish the job. Ties go by
+        number, so that the same weights always give the same map.
         """
         shards = shards or self.shards[-1]
         old = self.current
         mean = sum(weights.values()) / shards
+        weight = lambda slot: weights.get(slot, 0)
         load, mine = [0] * shards, [[] for _ in range(shards)]
         free: list[int] = []
         for slot, shard in enumerate(old):
             if shard >= shards:
                 free.append(slot)
             else:
-                load[shard] += weights.get(slot, 0)
+                load[shard] += weight(slot)
                 mine[shard].append(slot)
-        for shard in range(shards):
-            for slot in sorted(mine[shard], key=lambda s: (-weights.get(s, 0), s)):
-                if load[shard] <= mean:
-                    break
-                if (w := weights.get(slot, 0)) > 0 and (load[shard] - w >= 0.98 * mean or w > mean / 8):
-                    load[shard] -= w
+        for shard, slots in enumerate(mine):
+            for slot in sorted(slots, key=lambda s: (-weight(s), s)):
+                if 0 < weight(slot) <= load[shard] - mean:
+                    load[shard] -= weight(slot)
                     free.append(slot)
-            if load[shard] > mean:  # then the smallest slots, until the shard is below the mean
-                gone = set(free)
-                for slot in sorted((s for s in mine[shard] if s not in gone), key=lambda s: (weights.get(s, 0), s)):
-                    if load[shard] <= mean:
-                        break
-                    if w := weights.get(slot, 0):
-                        load[shard] -= w
-                        free.append(slot)
         new = list(old)
         heap = [(load[s], s) for s in range(shards)]
         heapq.heapify(heap)
-        for slot in sorted(free, key=lambda s: (-weights.get(s, 0), s)):
+        for slot in sorted(free, key=lambda s: (-weight(s), s)):
             total, shard = heapq.heappop(heap)
             new[slot] = shard
-            heapq.heappush(heap, (total + weights.get(slot, 0), shard))
+            heapq.heappush(heap, (total + weight(slot), shard))
+        load, mine = [0] * shards, [set() for _ in range(shards)]
+        for slot, shard in enumerate(new):
+            load[shard] += weight(slot)
+            mine[shard].add(slot)
+        for _ in range(FINISH * shards):  # single slots from the heaviest to the lightest, while that evens them out
+            high, low = max(range(shards), key=lambda s: (load[s], -s)), min(range(shards), key=lambda s: (load[s], s))
+            gap = load[high] - load[low]
+            slot = min((s for s in mine[high] if 0 < weight(s) < gap), key=lambda s: (abs(2 * weight(s) - gap), s), default=None)
+            if slot is None:
+                break
+            mine[high].discard(slot)
+            mine[low].add(slot)
+            new[slot] = low
+            load[high] -= weight(slot)
+            load[low] += weight(slot)
         self.versions.append(new)
         self.shards.append(shards)
         return sum(a != b for a, b in zip(old, new, strict=True))
