@@ -68,7 +68,7 @@ def graded(x: str, warn: str, fatal: str) -> str:
 #: From hits (series_id, metric, us, ts, score, shape, interval_sec) to merged runs.
 MERGED = """g AS (SELECT *, CASE WHEN us - lag(us) OVER w <= greatest(2 * interval_sec, 1.0) * 1e6 THEN 0 ELSE 1 END AS brk FROM hits WINDOW w AS (PARTITION BY series_id, metric ORDER BY us)),
 r AS (SELECT *, sum(brk) OVER (PARTITION BY series_id, metric ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM g),
-kept AS (SELECT * FROM r QUALIFY count(*) OVER (PARTITION BY series_id, metric, run) >= 2 OR score >= 2),
+kept AS (SELECT * FROM r QUALIFY count(*) OVER (PARTITION BY series_id, metric, run) >= 2 OR round(score, 9) >= 2),
 merged AS (SELECT series_id, metric, min(ts) AS start_ts, max(ts) AS end_ts, round(max(score), 6) AS score,
   CASE WHEN count(*) >= 3 THEN 'sustained' ELSE arg_min(shape, us) END AS shape, count(*) AS n_points FROM kept GROUP BY series_id, metric, run)"""
 FOUND = "SELECT series_id, metric, start_ts, end_ts, score, shape, n_points FROM merged"
