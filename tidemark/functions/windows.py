@@ -82,3 +82,16 @@ def overlaps(a: DataFrame, b: DataFrame, on: tuple[str, ...], bucket_seconds: in
     later = F.floor(F.greatest("a_start_us", "b_start_us") / size)
     out = met.where(F.col(name) == later).drop(name, f"{name}2")
     return out.withColumn("overlap_seconds", (F.least("a_end_us", "b_end_us") - F.greatest("a_start_us", "b_start_us")) / SECOND)
+
+
+def inside(spans: DataFrame, points: DataFrame, on: tuple[str, ...], bucket_seconds: int = 24 * 3600) -> DataFrame:
+    """Points (on, us, others) within spans (on, from_us, to_us, others), ends included.
+
+    Equality on the series alone would compare each of its spans with each of
+    its points. Spans are laid into the time buckets that they cover; a point is
+    in one bucket, so it meets a span once.
+    """
+    size = F.lit(bucket_seconds * SECOND)
+    s = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("from_us") / size), F.floor(F.col("to_us") / size))))
+    p = points.withColumn("_bucket", F.floor(F.col("us") / size))
+    return s.join(p, [*on, "_bucket"]).where(F.col("us").between(F.col("from_us"), F.col("to_us"))).drop("_bucket")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.scalars import host_of, micros
-from ..functions.windows import SECOND, SERIES, gap_clusters
+from ..functions.windows import SECOND, SERIES, gap_clusters, inside
 from ..schema import METRIC_TABLE, RATIOS, SEVERITIES, SHAPES, TREND_SHAPES
 
 TAIL = 0.1
@@ -64,9 +64,9 @@ def series_tails(metrics: DataFrame) -> DataFrame:
 def ratio_maxima(events: DataFrame, metrics: DataFrame) -> DataFrame:
     """Per event of a metric with a share of capacity: the share's maximum within the event."""
     named = F.create_map(*(F.lit(x) for pair in RATIOS.items() for x in pair))[F.col("metric")]
-    asked = events.where(F.col("metric").isin(*RATIOS)).select("event_id", F.col("series_id").alias("_s"), named.alias("_m"), F.col("start_ts").alias("_from"), F.col("end_ts").alias("_to"))
-    shares = metrics.where(F.col("metric").isin(*RATIOS.values()))
-    met = asked.join(shares, (F.col("_s") == F.col("series_id")) & (F.col("_m") == F.col("metric")) & F.col("ts").between(F.col("_from"), F.col("_to")))
+    asked = events.where(F.col("metric").isin(*RATIOS)).select("event_id", "series_id", named.alias("metric"), F.col("start_us").alias("from_us"), F.col("end_us").alias("to_us"))
+    shares = metrics.where(F.col("metric").isin(*RATIOS.values())).select(*SERIES, micros("ts").alias("us"), "value")
+    met = inside(asked, shares, SERIES)
     return met.groupBy("event_id").agg(F.max("value").alias("ratio_max"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.windows import SECOND, SERIES
+from ..functions.windows import SECOND, SERIES, inside
 from ..schema import SEVERITIES
 from .events import rank_of
 
@@ -92,9 +92,8 @@ def thinned(points: DataFrame, keys: tuple[str, ...], most: int = CHART_POINTS)
 
 
 def chart_points(chosen: DataFrame, points: DataFrame) -> DataFrame:
-    """The thinned points of each chosen event's window, by equality on the series and a range."""
-    c = chosen.select("event_id", *(F.col(k).alias(f"_{k}") for k in SERIES), "from_us", "to_us")
-    met = c.join(points, [F.col(f"_{k}") == F.col(k) for k in SERIES] + [F.col("us").between(F.col("from_us"), F.col("to_us"))])
+    """The thinned points of each chosen event's window."""
+    met = inside(chosen.select("event_id", *SERIES, "from_us", "to_us"), points.select(*SERIES, "us", "ts", "value"), SERIES)
     return thinned(met.select("event_id", "us", "ts", "value"), ("event_id",))
 
 
@@ -103,8 +102,8 @@ def locf(points: DataFrame, grid: DataFrame, keys: tuple[str, ...]) -> DataFrame
     both = points.select(*keys, "us", "value", F.lit(0).alias("_grid")).unionByName(grid.select(*keys, "us", F.lit(None).cast("double").alias("value"), F.lit(1).alias("_grid")))
     w = Window.partitionBy(*keys).orderBy("us", "_grid")
     back = F.last_value("value", True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ahead = F.first_value("value", True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return both.withColumn("value", F.coalesce(back, ahead)).where("_grid = 1").drop("_grid")
+    first = F.min_by("value", F.when(F.col("_grid") == 0, F.col("us"))).over(Window.partitionBy(*keys))
+    return both.withColumn("value", F.coalesce(back, first)).where("_grid = 1").drop("_grid")
 
 
 def normalised(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.windows import SERIES
+from ..functions.windows import SERIES, inside
 from ..operators import rollups
 
 WIDTH, HEIGHT, LEFT, TOP, GAP = 800, 240, 60, 24, 36
@@ -55,9 +55,7 @@ def render(events: DataFrame, points: DataFrame, config: Config, zone: str = "UT
     head = chosen.select("event_id", "start_ts", "end_ts", F.concat_ws(" ", *SERIES).alias("title"), F.slice(F.coalesce("co_anomalies", F.array().cast(chosen.schema["co_anomalies"].dataType)), 1, rollups.CHART_OVERLAYS).alias("others"), "from_us", "to_us")
     asked = head.select("event_id", "from_us", "to_us", F.posexplode("others").alias("k", "o")).select("event_id", "from_us", "to_us", "k", F.col("o.event_id").alias("other"))
     named = asked.join(events.select(F.col("event_id").alias("other"), *SERIES), "other")
-    n, p = named.alias("n"), points.alias("p")
-    near = n.join(p, [F.col(f"n.{c}") == F.col(f"p.{c}") for c in SERIES] + [F.col("p.us").between(F.col("n.from_us"), F.col("n.to_us"))])
-    near = near.select("event_id", "k", F.concat_ws(" ", "n.series_id", "n.metric").alias("name"), "p.us", "p.value")
+    near = inside(named, points.select(*SERIES, "us", "value"), SERIES).select("event_id", "k", F.concat_ws(" ", *SERIES).alias("name"), "us", "value")
     grid = near.select("event_id", "k", "name").distinct().join(main.select("event_id", "us"), "event_id")
     aligned = rollups.locf(near, grid, ("event_id", "k", "name"))
     lines = aligned.groupBy("event_id", "k", "name").agg(F.transform(F.sort_array(F.collect_list(F.struct("us", "value"))), lambda x: x["value"]).alias("ys"))
