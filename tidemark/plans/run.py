@@ -39,7 +39,7 @@ def analyse(frame: DataFrame, config: Config, names: tuple[str, ...] | None = me
     """
     spark = frame.sparkSession
     m = cut(frame)
-    points = cut(metrics.searchable(m, names).repartition(*detectors.SERIES))
+    points = cut(metrics.searchable(m, names))
     series = cut(metrics.catalogue(points))
     ratios = metrics.searchable(m, tuple(RATIOS.values()))
 
