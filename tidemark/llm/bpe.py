@@ -5,7 +5,7 @@ line of symbols, and an inverted index leads from each mergeable pair to the
 positions where it stands. Merges are replayed over the whole block in rank
 order: popping a rank applies it to all its positions at once and enters only
 the pairs with the touched neighbours. Texts are then put together from the
-encoded pre-tokens. Blocks have a few megabytes of text; pre-tokens are
+encoded pre-tokens. Blocks have about two megabytes of text; pre-tokens are
 remembered from block to block within a bounded memory, so a worker replays a
 frequent word once.
 """
@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Pre-tokens in each of two generations that a worker remembers, and the longest remembered.
-MEMORY, LONGEST = 120_000, 64
+MEMORY, LONGEST = 80_000, 32
 #: Words in one replay: as many as stay in a processor's cache, which is twice as fast as all at once.
 TOGETHER = 1500
 
@@ -125,7 +125,7 @@ class ByteBPE:
         words = set().union(*split)
         table = {}
         for known in (self.known, self.older):
-            found = words.intersection(known)
+            found = known.keys() & words
             table |= zip(found, map(known.__getitem__, found), strict=True)
             words -= found
         table |= self.learn(words)
@@ -140,7 +140,7 @@ def encoder(ranks: bytes, pattern: str) -> ByteBPE:
     return ByteBPE(ranks, pattern)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, block_bytes: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, block_bytes: int = 2 << 20) -> DataFrame:
     """Encode every whole text, and decode the ids again.
 
     Returns keep, n_tokens, ids_sha256 and decoded_sha256, and the ids themselves
