@@ -63,13 +63,14 @@ def _strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not len(texts):
         return np.zeros(0, np.uint64), sizes
     data = np.frombuffer(pad + pad.join(texts) + pad, np.uint8)
-    at = np.arange(len(data))
+    at = np.arange(len(data), dtype=np.int32)
     space = np.maximum.accumulate(np.where((data <= 32) | (data == EDGE), at, 0))
     kept = np.clip(at[LONG:] - space[LONG - 1 : -1], SHORT, LONG)
     wide = data.astype(np.uint64)
     keys = wide[LONG:].copy()
     for k in range(1, LONG + 1):
-        keys |= np.where(kept >= k, wide[LONG - k : len(data) - k], 0).astype(np.uint64) << np.uint64(8 * k)
+        keys |= wide[LONG - k : len(data) - k] << np.uint64(8 * k)
+    keys &= np.array([(1 << 8 * (k + 1)) - 1 for k in range(LONG + 1)], np.uint64)[kept]
     # Between texts stand LONG edges, of which the first is the end of the text before.
     starts = np.cumsum(sizes + LONG - 1) - (sizes + LONG - 1)
     scored = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
