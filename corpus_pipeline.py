@@ -51,7 +51,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode(docs, path, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))
+    # Executors still hold the workers of other stages, so this one's are kept small.
+    return bpe.encode(docs, path, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"), block_bytes=2 << 20, memory=80_000)
 
 
 STAGES = [
