@@ -384,6 +384,53 @@ def test_lm_rare_words_are_joined(spark, monkeypatch):
         assert got[i].base_score == pytest.approx(r.base_score, abs=1e-9) and got[i].n_known == r.n_known
 
 
+def test_lm_contexts_have_counts_of_their_own():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(1, 1 << 56, 300_000, dtype=np.uint64))  # 2.4 million nodes of the longest context
+    for _, _, states in lm._states(keys, np.ones(len(keys)), np.full(lm.FIRST[lm.DENSE], lm.UNSEEN, np.uint16)):
+        assert (states[-1] >> 8 == 2).all()  # seen once, all of them
+
+
+def test_lm_counts_and_costs(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 500)
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) for _ in range(200)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(30))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = df.select(df.text.alias("_text"), lm.fold(df.doc_id).alias("_fold"))
+    strings = cut(lm.string_counts(rows))
+    trained = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    table, weights, maps = lm.train(strings)
+    seen, times = np.unique(lm._strings([t.encode() for t in trained])[0], return_counts=True)
+    counts = defaultdict(lambda: [0, 0])
+    for key, n in zip(seen.tolist(), times.tolist()):
+        for k in lm.ORDERS:
+            for i in range(8):
+                counts[k, (key & (1 << 8 * (k + 1)) - 1) >> (i + 1), i][key >> i & 1] += n
+
+    def bits(key):
+        total = 0.0
+        for i in range(7, -1, -1):
+            n0, n1 = np.array([counts[k, (key & (1 << 8 * (k + 1)) - 1) >> (i + 1), i] for k in lm.ORDERS], float).T
+            stretch, cell = lm._inputs(lm._packed(n0, n1)[:, None])
+            z = (weights[cell] * stretch).sum(axis=0)
+            node = np.array([1 << (7 - i) | (key & 255) >> (i + 1)])
+            p = np.clip((lm._squash(z) + lm._refined(maps, node, z)[0]) / 2, 1e-5, 1 - 1e-5)[0]
+            total -= np.log2(p if key >> i & 1 else 1 - p)
+        return total
+
+    got = {r.key: r.cost for r in lm.string_costs(strings, spark.sparkContext.broadcast((table, weights, maps))).collect()}
+    every, _ = lm._strings([t.encode() for t in texts])
+    assert set(got) == set(every.tolist())
+    for key, cost in got.items():
+        assert cost == pytest.approx(bits(key), rel=1e-4)
+    whole = [sum(got[k] for k in lm._strings([t.encode()])[0].tolist()) for t in texts]
+    for common in (1 << 20, 40):  # all strings sent, or most of them joined
+        monkeypatch.setattr(lm, "COMMON", common)
+        for i, r in rows_of(lm.score(df)).items():
+            assert -r.score / log10(2) == pytest.approx(whole[i], rel=1e-4)
+
+
 def test_lm_costs_are_probabilities():
     table = np.full(lm.INPUTS << lm.SLOT_BITS, 128, np.uint16)
     model = lm.Model(table, np.full(lm.GATES * lm.INPUTS * lm.SURE, 0.3, np.float32), np.tile(lm._squash(np.linspace(-8, 8, lm.BUCKETS)), 256))

@@ -1,19 +1,26 @@
 """Language-model scores by online logistic context mixing.
 
-A text is predicted bit by bit, byte after byte. Hashed contexts (the last 0 to
-4 bytes, and the word so far up to 6 bytes) with the byte's bits so far each
-give a prediction from counts over the whole corpus; a mixer adds these up in
-the logistic domain with weights that are gated by how sure each context is and
-how many are known; an adaptive map refines the sum by the order-0 context. The
+A text is predicted bit by bit, byte after byte. Contexts (the last 0 to 4
+bytes, and the word so far up to 6 bytes) with the byte's bits so far each give
+a prediction from counts over the whole corpus; a mixer adds these up in the
+logistic domain with weights that are gated by how sure each context is and how
+many are known; an adaptive map refines the sum by the order-0 context. The
 contexts are nested, so a byte's cost depends on a short string only: the word
 so far, or the last 3 bytes if those are more. What the corpus gives comes down
 to counts of such strings, and a text's cost is a sum over its strings, each
-evaluated once per worker.
+evaluated once.
+
+Every context has its own counts, however many there are: nothing is hashed into
+slots. Strings with the same last 3 context bytes lie in one partition, where
+the longer contexts are counted from the strings themselves; contexts of at most
+2 bytes, a bounded number, are counted in a table that is sent. So the model is a
+table of strings and costs in the checkpoint folder that grows with the corpus.
+The most frequent strings, a bounded number, are sent to the workers with their
+costs, and the others are joined to the texts.
 
 One fold of the training texts tunes the mixer (online gradient steps, each
 partition on its own, averaged between rounds) and the refinement against counts
-of the other folds; the final counts take in all. The tables have a fixed number
-of slots, so that the model does not grow with the corpus.
+of the other folds; the final counts take in all.
 
 The base score is a unigram model of words. Counts of words are joined, except
 for the most frequent ones, a bounded number, which are sent to the workers.
@@ -26,7 +33,6 @@ import uuid
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -35,12 +41,16 @@ from pyspark.sql import functions as F
 from .common import cut
 
 FOLDS, HELD_OUT, TUNED_ON = 5, 1, 4
-#: Context bytes at most and at least; predictors; slots of each as a power of two; slots of a table in one piece.
-LONG, SHORT, INPUTS, SLOT_BITS, PIECE_BITS = 6, 3, 6, 21, 18
+#: Context bytes at most and at least; predictors; of these, how many have a table of all contexts; slots of the largest as a power of two.
+LONG, SHORT, INPUTS, DENSE, SLOT_BITS = 6, 3, 6, 3, 24
+#: Context bytes of each predictor, and where its table starts: a slot for each context and node of the bits before.
+ORDERS = (*range(INPUTS - 1), LONG)
+FIRST = tuple(sum(256 << 8 * j for j in range(k)) for k in range(DENSE + 1))
+UNSEEN = 128  # state of a context that has not been seen: even odds
 ROUNDS, RATE, CALM, BATCH = 3, 2.0, 100.0, 8192
 SURE, GATES, BUCKETS = 16, INPUTS, 33
-#: Word counts that are sent to workers at most; strings whose cost a worker remembers, as a power of two.
-FREQUENT, MEMORY_BITS = 1 << 19, 21
+#: Word counts, and costs of strings, that are sent to workers at most; places for the latter as a power of two.
+FREQUENT, COMMON, MEMORY_BITS = 1 << 19, 1 << 20, 21
 #: Bytes of text handled at once; strings spread at once.
 BLOCK, CHUNK = 1 << 20, 1 << 17
 #: Strings, and words, whose counts a task holds before it gives them out.
@@ -92,105 +102,129 @@ def _blocks(batch: pa.RecordBatch, column: int):
 
 
 def _slots(keys: np.ndarray):
-    """For each bit of the last byte: the bit, the node of the bits before it, and the slot in each order's table."""
+    """For each bit of the last byte: the bit, the node of the bits before it, and the slot in each short order's table."""
     last = (keys & np.uint64(0xFF)).astype(np.int64)
-    contexts = [(keys >> np.uint64(8)) & np.uint64((1 << (8 * k)) - 1) for k in (*range(INPUTS - 1), LONG)]
-    seeds = [(c + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9) for k, c in enumerate(contexts)]
-    seeds = [s ^ (s >> np.uint64(29)) for s in seeds]
+    contexts = [((keys >> np.uint64(8)) & np.uint64((1 << (8 * k)) - 1)).astype(np.int64) for k in ORDERS[:DENSE]]
     for i in range(7, -1, -1):
         node = (1 << (7 - i)) | (last >> (i + 1))
-        slots = []
-        for k, s in enumerate(seeds):
-            x = (s + node.astype(np.uint64) * np.uint64(0x94D049BB133111EB)) * np.uint64(0xD6E8FEB86659FD93)
-            slots.append((x >> np.uint64(64 - SLOT_BITS)).astype(np.int64) | (k << SLOT_BITS))
-        yield (last >> i) & 1, node, slots
+        yield (last >> i) & 1, node, [FIRST[k] + (c << 8 | node) for k, c in enumerate(contexts)]
 
 
-def _chunks(batches):
-    """Strings and their counts, CHUNK or more at once as long as there are."""
-    held, n = [], 0
-    for batch in batches:
-        held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.float64)))
-        n += batch.num_rows
-        if n >= CHUNK:
-            yield tuple(map(np.concatenate, zip(*held, strict=True)))
-            held, n = [], 0
-    if held:
-        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+def _packed(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """16-bit states: the stretched probability of a one, and how much was seen."""
+    stretch = np.clip(np.log((n1 + 0.2) / (n0 + 0.2)), -7.9, 7.9)
+    sure = np.minimum(SURE - 1, np.ceil(1.5 * np.log2(n0 + n1 + 1)))
+    return np.round((stretch + 8) * 16).astype(np.uint16) | (sure.astype(np.uint16) << 8)
+
+
+def _counted(keys: np.ndarray, n: np.ndarray, k: int):
+    """For each bit of the last byte: its number, the order that sorts contexts of k bytes, where each node starts in it, and their states."""
+    own = keys & np.uint64((1 << 8 * (k + 1)) - 1)
+    order = np.argsort(own)
+    own, n = own[order], n[order]
+    for i in range(7, -1, -1):
+        node = own >> np.uint64(i + 1)  # the context and the bits before
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        ones = np.add.reduceat(n * ((own >> np.uint64(i)) & np.uint64(1)), first)
+        yield i, order, first, _packed(np.add.reduceat(n, first) - ones, ones)
+
 
+def _states(keys: np.ndarray, n: np.ndarray, table: np.ndarray):
+    """For each bit of the last byte: the bit, the node before it, and the states, an order a row.
 
-def _added(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, n, tuned = map(np.concatenate, zip(*held, strict=True))
+    Long contexts are counted from the strings, which are to be all that have
+    their last SHORT context bytes.
+    """
+    deep = [_counted(keys, n, k) for k in ORDERS[DENSE:]] if len(keys) else []
+    for bit, node, slots in _slots(keys):
+        states = np.full((INPUTS, len(keys)), UNSEEN, np.uint16)
+        states[:DENSE] = table[np.stack(slots)]
+        for row, counted in zip(states[DENSE:], deep, strict=False):
+            _, order, first, known = next(counted)
+            row[order] = np.repeat(known, np.diff(np.append(first, len(keys))))
+        yield bit, node, states
+
+
+def _groups(batches):
+    """Columns of strings, whole groups of the same home, CHUNK strings or more at once as long as there are."""
+    held, size = [], 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        size += batch.num_rows
+        if size >= CHUNK:
+            columns = list(map(np.concatenate, zip(*held, strict=True)))
+            at = int(np.searchsorted(columns[0], columns[0][-1]))
+            if at:
+                yield [c[:at] for c in columns]
+            held, size = [[c[at:] for c in columns]], size - at
+    if size:
+        yield list(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _added(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    keys, *counts = map(np.concatenate, zip(*held, strict=True))
     own, at = np.unique(keys, return_inverse=True)
-    return own, np.bincount(at, n, len(own)).astype(np.int64), np.bincount(at, tuned, len(own)).astype(np.int64)
+    return own, *(np.bincount(at, n, len(own)).astype(np.int64) for n in counts)
 
 
-def _sent(sums: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(sums[0].view(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["key", "n", "tuned"])
+def _home(keys: np.ndarray) -> np.ndarray:
+    """A number for each choice of the last SHORT context bytes, mixed up one to one."""
+    size = 8 * SHORT
+    return (((keys >> np.uint64(8)) * np.uint64(0x9E3779B1)) & np.uint64((1 << size) - 1)).astype(np.int32)
 
 
 def string_counts(rows: DataFrame) -> DataFrame:
-    """Rows (key, n, tuned): strings of training texts with counts in all and in the tuning fold."""
+    """Rows (home, key, n, tuned, c): strings of all texts with counts in the training texts, the tuning fold and everything.
+
+    They are dealt and sorted by home, so that groups of one home are whole.
+    """
+
+    def sent(sums: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        arrays = [_home(sums[0]), sums[0].view(np.int64), *sums[1:]]
+        return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["home", "key", "n", "tuned", "c"])
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for whole in batches:
             for batch, texts in _blocks(whole, 0):
                 keys, sizes = _strings(texts)
-                tuned = np.repeat(batch.column(1).to_numpy() == TUNED_ON, sizes)
-                for part, flag in ((keys[~tuned], 0), (keys[tuned], 1)):
-                    k, n = np.unique(part, return_counts=True)
-                    held.append((k, n, n * flag))
+                own = np.repeat(batch.column(1).to_numpy(), sizes)
+                for f in np.unique(own):
+                    k, n = np.unique(keys[own == f], return_counts=True)
+                    held.append((k, n * (f != HELD_OUT), n * (f == TUNED_ON), n))
                     size += len(k)
                 if size > HELD:  # sums of what has come so far; given out when they grow too large
                     held = [_added(held)]
                     size = len(held[0][0])
                     if size > HELD // 2:
-                        yield _sent(held[0])
+                        yield sent(held[0])
                         held, size = [], 0
         if held:
-            yield _sent(_added(held))
-
-    counted = rows.select("_text", "_fold").mapInArrow(run, "key long, n long, tuned long")
-    return counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("tuned").alias("tuned"))
-
-
-def context_tables(counts: DataFrame, n: Column) -> np.ndarray:
-    """Per order and slot a 16-bit state: the stretched probability of a one, and how much was seen.
-
-    Counts come together by piece of a table; the number of slots bounds what
-    is sent, whatever the corpus.
-    """
-
-    def spread(batches):
-        for keys, times in _chunks(batches):
-            for bit, _, slots in _slots(keys):
-                for slot in slots:
-                    own, at = np.unique(2 * slot + bit, return_inverse=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(at, times))], ["cell", "n"])
-
-    cells = counts.select("key", n.alias("n")).where("n > 0").mapInArrow(spread, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n"))
-    pieces = cells.withColumn("piece", F.shiftright("cell", PIECE_BITS + 1))
-
-    def state(key, rows: pd.DataFrame) -> pd.DataFrame:
-        ones = np.zeros(2 << PIECE_BITS)
-        ones[rows["cell"].to_numpy() & ((2 << PIECE_BITS) - 1)] = rows["n"].to_numpy()
-        n0, n1 = ones[0::2], ones[1::2]
-        stretch = np.clip(np.log((n1 + 0.2) / (n0 + 0.2)), -7.9, 7.9)
-        sure = np.minimum(SURE - 1, np.ceil(1.5 * np.log2(n0 + n1 + 1)))
-        packed = np.round((stretch + 8) * 16).astype(np.uint16) | (sure.astype(np.uint16) << 8)
-        return pd.DataFrame({"piece": [key[0]], "data": [packed.tobytes()]})
-
-    out = np.full(INPUTS << SLOT_BITS, 128, np.uint16)  # nothing seen: even odds
-    for r in pieces.groupBy("piece").applyInPandas(state, "piece long, data binary").collect():  # two bytes a slot
-        out[r.piece << PIECE_BITS : (r.piece + 1) << PIECE_BITS] = np.frombuffer(r.data, np.uint16)
+            yield sent(_added(held))
+
+    folds = F.when(F.col("_fold").isin(HELD_OUT, TUNED_ON), F.col("_fold")).otherwise(0).alias("_fold")
+    counted = rows.select("_text", folds).mapInArrow(run, "home int, key long, n long, tuned long, c long")
+    sums = counted.repartition("home").groupBy("home", "key").agg(*(F.sum(c).alias(c) for c in ("n", "tuned", "c")))
+    return sums.sortWithinPartitions("home")
+
+
+def short_table(counts: DataFrame, n: Column) -> np.ndarray:
+    """States of the contexts of fewer than DENSE bytes; the number of slots bounds what is gathered, the contexts longer than that are in the strings."""
+    short = counts.where(n > 0).groupBy(F.col("key").bitwiseAND((1 << 8 * DENSE) - 1).alias("key")).agg(F.sum(n).alias("n"))
+    got = short.toArrow()  # a row for each DENSE bytes at most
+    keys, n = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy().astype(np.float64)
+    out = np.full(FIRST[DENSE], UNSEEN, np.uint16)
+    for k in ORDERS[:DENSE] if len(keys) else ():
+        own = keys & np.uint64((1 << 8 * (k + 1)) - 1)
+        for i, order, first, known in _counted(keys, n, k):
+            start = own[order[first]].astype(np.int64)
+            out[FIRST[k] + (start >> 8 << 8 | 1 << (7 - i) | (start & 0xFF) >> (i + 1))] = known
     return out
 
 
-def _inputs(table: np.ndarray, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _inputs(states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stretched predictions and the weights that the gate selects, an order a row."""
-    states = table[np.stack(slots)]
     sure = (states >> 8).astype(np.int64)
     gate = (sure[1:] > 0).sum(axis=0)
     stretch = (states & 0xFF).astype(np.float32) / 16 - 8
@@ -207,24 +241,33 @@ def _refined(maps: np.ndarray, node: np.ndarray, z: np.ndarray) -> tuple[np.ndar
     return maps[at], at
 
 
+def _tuned(batches, table):
+    """Strings of the tuning fold, their counts there, and for each bit what _states gives, counted over the other folds."""
+    for _, keys, n, tuned in _groups(batches):
+        keys, some = keys.view(np.uint64), np.flatnonzero(tuned)
+        if len(some):
+            steps = [(bit[some], node[some], states[:, some]) for bit, node, states in _states(keys, (n - tuned).astype(np.float64), table.value)]
+            yield keys[some], tuned[some].astype(np.float64), steps
+
+
 def learn_weights(counts: DataFrame, table) -> np.ndarray:
     """Mixer weights by online steps over the tuning fold's strings, averaged over partitions between rounds."""
     weights = np.full(GATES * INPUTS * SURE, 0.3, np.float32)
-    tuned = counts.where("tuned > 0").select("key", "tuned")
+    strings = counts.select("home", "key", "n", "tuned")
 
     for _ in range(ROUNDS):
         start = weights
 
         def run(batches, start=start):
             w, mass = start.copy(), np.zeros(len(start))
-            for keys, times in _chunks(batches):
+            for keys, times, steps in _tuned(batches, table):
                 order = np.argsort(xxhash_order(keys))
                 for at in range(0, len(keys), BATCH):
                     some = order[at : at + BATCH]
                     n = times[some]
-                    for bit, _, slots in _slots(keys[some]):
-                        stretch, cell = _inputs(table.value, slots)
-                        err = (bit - _squash((w[cell] * stretch).sum(axis=0))) * n
+                    for bit, _, states in steps:
+                        stretch, cell = _inputs(states[:, some])
+                        err = (bit[some] - _squash((w[cell] * stretch).sum(axis=0))) * n
                         flat = cell.ravel()
                         slope = np.bincount(flat, (err * stretch).ravel(), len(w))
                         curve = np.bincount(flat, (0.25 * n * stretch**2).ravel(), len(w))
@@ -234,7 +277,7 @@ def learn_weights(counts: DataFrame, table) -> np.ndarray:
             at = np.flatnonzero(mass)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at] * mass[at]), pa.array(mass[at])], ["cell", "w", "mass"])
 
-        sums = tuned.mapInArrow(run, "cell long, w double, mass double").groupBy("cell").agg(F.sum("w").alias("w"), F.sum("mass").alias("mass"))
+        sums = strings.mapInArrow(run, "cell long, w double, mass double").groupBy("cell").agg(F.sum("w").alias("w"), F.sum("mass").alias("mass"))
         weights = start.copy()
         for r in sums.collect():  # one row a weight
             weights[r.cell] = r.w / r.mass
@@ -251,16 +294,16 @@ def learn_maps(counts: DataFrame, table, weights: np.ndarray) -> np.ndarray:
 
     def run(batches):
         sums = np.zeros((2, 256 * BUCKETS))
-        for keys, times in ((k[i : i + BATCH], t[i : i + BATCH]) for k, t in _chunks(batches) for i in range(0, len(k), BATCH)):
-            for bit, node, slots in _slots(keys):
-                stretch, cell = _inputs(table.value, slots)
+        for _, times, steps in _tuned(batches, table):
+            for bit, node, states in steps:
+                stretch, cell = _inputs(states)
                 _, at = _refined(sums[0], node, (weights[cell] * stretch).sum(axis=0))
                 sums[0] += np.bincount(at, times, 256 * BUCKETS)
                 sums[1] += np.bincount(at, times * bit, 256 * BUCKETS)
         at = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0][at]), pa.array(sums[1][at])], ["cell", "n", "ones"])
 
-    sums = counts.where("tuned > 0").select("key", "tuned").mapInArrow(run, "cell long, n double, ones double")
+    sums = counts.select("home", "key", "n", "tuned").mapInArrow(run, "cell long, n double, ones double")
     maps = np.tile(_squash(np.linspace(-8, 8, BUCKETS)), 256)
     for r in sums.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).collect():  # one row a cell of the map
         prior = maps[r.cell]
@@ -269,62 +312,101 @@ def learn_maps(counts: DataFrame, table, weights: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Costs of strings, remembered within a fixed memory."""
+    """What strings cost, from a table of the short contexts, weights and maps."""
 
     def __init__(self, table: np.ndarray, weights: np.ndarray, maps: np.ndarray):
         self.table, self.weights, self.maps = table, weights, maps
-        self.keys = np.full(1 << MEMORY_BITS, 2**63, np.uint64)
-        self.costs = np.zeros(1 << MEMORY_BITS, np.float32)
 
-    def bits(self, keys: np.ndarray) -> np.ndarray:
-        """Bits that each string's last byte costs after the bytes before it."""
+    def bits(self, keys: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
+        """Bits that each string's last byte costs after the bytes before it; without counts, no long context has been seen."""
         out = np.zeros(len(keys))
-        for at in range(0, len(keys), 65536):
-            part = slice(at, at + 65536)
-            for bit, node, slots in _slots(keys[part]):
-                stretch, cell = _inputs(self.table, slots)
-                z = (self.weights[cell] * stretch).sum(axis=0)
-                p = np.clip(0.5 * (_squash(z) + _refined(self.maps, node, z)[0]), 1e-5, 1 - 1e-5)
-                out[part] -= np.log2(np.where(bit == 1, p, 1 - p))
+        for bit, node, states in _states(keys, np.zeros(len(keys)) if n is None else n, self.table):
+            stretch, cell = _inputs(states)
+            z = (self.weights[cell] * stretch).sum(axis=0)
+            p = np.clip(0.5 * (_squash(z) + _refined(self.maps, node, z)[0]), 1e-5, 1 - 1e-5)
+            out -= np.log2(np.where(bit == 1, p, 1 - p))
         return out
 
     def text_bits(self, texts: list[bytes]) -> np.ndarray:
         keys, sizes = _strings(texts)
-        home = (xxhash_order(keys) >> np.uint64(64 - MEMORY_BITS)).astype(np.int64)
-        costs = self.costs[home].astype(np.float64)
-        new = np.flatnonzero(self.keys[home] != keys)
-        if len(new):
-            own, first, at = np.unique(keys[new], return_index=True, return_inverse=True)
-            cost = self.bits(own).astype(np.float32)
-            costs[new] = cost[at]
-            place = home[new[first]]
-            self.keys[place], self.costs[place] = own, cost
-            clash = self.keys[place] != own  # two new strings with one home: the last stays, with its cost
-            self.costs[place[~clash]] = cost[~clash]
-        return np.add.reduceat(costs, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
+        own, at = np.unique(keys, return_inverse=True)
+        return np.add.reduceat(self.bits(own)[at], np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
+
+
+def string_costs(counts: DataFrame, sent) -> DataFrame:
+    """Rows (key, c, cost): the bits that each string's last byte costs by a model that is sent as its parts."""
+
+    def run(batches):
+        model = Model(*sent.value)
+        for _, keys, n, c in _groups(batches):
+            cost = model.bits(keys.view(np.uint64), n.astype(np.float64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c), pa.array(cost.astype(np.float32))], ["key", "c", "cost"])
+
+    return counts.select("home", "key", "n", "c").mapInArrow(run, "key long, c long, cost float")
+
+
+class Costs:
+    """Costs of the frequent strings: each at its place, or with those that another has taken the place of."""
+
+    def __init__(self, keys: np.ndarray, costs: np.ndarray):
+        place = self._place(keys)
+        self.keys, self.costs = np.full(1 << MEMORY_BITS, 2**63, np.uint64), np.zeros(1 << MEMORY_BITS, np.float32)
+        self.keys[place], self.costs[place] = keys, costs
+        lost = np.flatnonzero(self.keys[place] != keys)
+        lost = lost[np.argsort(keys[lost])]
+        self.lost, self.lost_costs = keys[lost], costs[lost]
+
+    @staticmethod
+    def _place(keys: np.ndarray) -> np.ndarray:
+        return (xxhash_order(keys) >> np.uint64(64 - MEMORY_BITS)).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Costs, 0 where the string is not among them, and where that is."""
+        place = self._place(keys)
+        out = self.costs[place].astype(np.float64)
+        left = np.flatnonzero(self.keys[place] != keys)
+        out[left] = 0.0
+        if len(left) and len(self.lost):
+            at = np.minimum(np.searchsorted(self.lost, keys[left]), len(self.lost) - 1)
+            found = self.lost[at] == keys[left]
+            out[left[found]] = self.lost_costs[at[found]]
+            left = left[~found]
+        return out, left
+
+    def text_bits(self, texts: list[bytes]) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """Bits of each text without its rare strings, and lists of these and of how often the text has them."""
+        keys, sizes = _strings(texts)
+        costs, left = self.of(keys)
+        starts = np.cumsum(sizes) - sizes
+        text, rare = np.searchsorted(starts, left, "right") - 1, keys[left].view(np.int64)
+        order = np.lexsort((rare, text))
+        text, rare = text[order], rare[order]
+        first = np.flatnonzero((np.diff(text, prepend=-1) != 0) | np.append(True, rare[1:] != rare[:-1])[: len(rare)])
+        times = np.diff(np.append(first, len(rare)))
+        ends = pa.array(np.searchsorted(text[first], np.arange(len(texts) + 1)), pa.int32())
+        bits = np.add.reduceat(costs, starts) if len(sizes) else np.zeros(0)
+        return bits, pa.ListArray.from_arrays(ends, pa.array(rare[first])), pa.ListArray.from_arrays(ends, pa.array(times))
 
 
-_MODELS: dict[str, Model] = {}
+_COSTS: dict[str, Costs] = {}
 
 
-def _model(sent) -> Model:
-    """A worker's model, the same from task to task, so that costs are found once."""
+def _costs(sent) -> Costs:
+    """A worker's costs, the same from task to task."""
     name, *parts = sent.value
-    if name not in _MODELS:
-        _MODELS.clear()
-        _MODELS[name] = Model(*parts)
-    return _MODELS[name]
+    if name not in _COSTS:
+        _COSTS.clear()
+        _COSTS[name] = Costs(*parts)
+    return _COSTS[name]
 
 
-def train(rows: DataFrame) -> tuple:
-    """Table, weights and maps from rows (_text, _fold), without the held-out fold."""
-    context = rows.sparkSession.sparkContext
-    counts = cut(string_counts(rows.where(F.col("_fold") != HELD_OUT)))
-    part = context.broadcast(context_tables(counts, F.col("n") - F.col("tuned")))
+def train(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Table, weights and maps from the counts of strings."""
+    part = counts.sparkSession.sparkContext.broadcast(short_table(counts, F.col("n") - F.col("tuned")))
     weights = learn_weights(counts, part)
     maps = learn_maps(counts, part, weights)
     part.destroy()
-    return context_tables(counts, F.col("n")), weights, maps
+    return short_table(counts, F.col("n")), weights, maps
 
 
 END = xxhash.xxh64_intdigest(b"")  # the end of a text; no word is empty
@@ -385,11 +467,19 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     table = common.toArrow()  # FREQUENT rows at most
     order = np.argsort(table.column("h").to_numpy())
     sent_words = spark.sparkContext.broadcast((table.column("h").to_numpy()[order], table.column("c").to_numpy()[order]))
-    sent_model = spark.sparkContext.broadcast((uuid.uuid4().hex, *train(rows)))
+    strings = cut(string_counts(rows))
+    sent_model = spark.sparkContext.broadcast(train(strings))
+    costs = cut(string_costs(strings, sent_model))
+    sent_model.destroy()
+    rare_bound, often = frequent(costs, COMMON)
+    table = often.toArrow()  # COMMON rows at most
+    order = np.argsort(table.column("c").to_numpy(), kind="stable")  # the most frequent last: they get their places
+    sent_costs = spark.sparkContext.broadcast((uuid.uuid4().hex, table.column("key").to_numpy()[order].view(np.uint64), table.column("cost").to_numpy()[order]))
+    del table, order
     scale = n + 0.5 * (v + 1)
 
     def run(batches):
-        model = _model(sent_model)
+        costs = _costs(sent_costs)
         hashes, counts = sent_words.value
         logs = np.append(np.log10((counts + 0.5) / scale), 0.0) if scale else np.zeros(1)
         for whole in batches:
@@ -419,18 +509,19 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
                     n_known.append(len(ws) + 1 - n_own)
                     left.append(asked)
                     times.append(each)
+                bits, rare_strings, string_times = costs.text_bits(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0), batch.column(2), pa.array([len(ws) + 1 for ws in lists], pa.int64()), pa.array(n_known, pa.int64()),
                         pa.array(sums, pa.float64()), pa.array(left, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64())),
-                        pa.array(model.text_bits(texts)), pa.array([len(t) + 1 for t in texts], pa.int64()),
+                        pa.array(bits), pa.array([len(t) + 1 for t in texts], pa.int64()), rare_strings, string_times,
                     ],
-                    ["id", "fold", "n_tokens", "n_known", "sum", "left", "times", "bits", "size"],
+                    ["id", "fold", "n_tokens", "n_known", "sum", "left", "times", "bits", "size", "strings", "string_times"],
                 )
 
     kind = rows.schema[0].dataType.simpleString()
     told = cut(
-        rows.mapInArrow(run, f"id {kind}, fold int, n_tokens long, n_known long, sum double, left array<long>, times array<long>, bits double, size long")
+        rows.mapInArrow(run, f"id {kind}, fold int, n_tokens long, n_known long, sum double, left array<long>, times array<long>, bits double, size long, strings array<long>, string_times array<long>")
         .withColumn("row", F.monotonically_increasing_id())
     )
     # Words that are not among the frequent ones are looked up by a join; none of them is a hot key but those never seen.
@@ -439,13 +530,18 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     looked = asked.join(rest, "h", "left")
     each = F.col("t") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(scale)))
     rare_sums = looked.groupBy("row").agg(F.sum(each).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("t")).otherwise(0)).alias("more_known"))
-    return told.join(rare_sums, "row", "left").select(
+    # So are the strings that are not among the frequent ones; each string of a text has a cost.
+    asked = told.select("row", F.explode(F.arrays_zip("strings", "string_times")).alias("x")).select("row", F.col("x.strings").alias("key"), F.col("x.string_times").alias("t"))
+    rest = costs.where(F.floor(F.log2("c") * 8) < rare_bound) if rare_bound else costs.where(F.lit(False))
+    string_sums = asked.join(rest, "key").groupBy("row").agg(F.sum(F.col("t") * F.col("cost")).alias("more_bits"))
+    bits = F.col("bits") + F.coalesce("more_bits", F.lit(0.0))
+    return told.join(rare_sums, "row", "left").join(string_sums, "row", "left").select(
         F.col("id").alias(id),
         (F.col("fold") == HELD_OUT).alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (-F.col("bits") * float(np.log10(2))).alias("score"),
-        (F.col("bits") / F.col("size")).alias("bits_per_byte"),
+        (-bits * float(np.log10(2))).alias("score"),
+        (bits / F.col("size")).alias("bits_per_byte"),
     )
