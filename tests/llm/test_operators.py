@@ -348,6 +348,25 @@ def test_pii(spark, odd, empty):
     assert pii.find(empty).count() == 0 and pii.find(odd[0]).count() == len(odd[1])
 
 
+def test_pii_ibans_end_with_their_length(spark):
+    texts = {
+        "iban AT61 1904 3002 3457 3201 BIC OPSKATWW": ["AT61 1904 3002 3457 3201"],
+        "iban BE68 5390 0754 7034 12 March": ["BE68 5390 0754 7034"],
+        "accounts BE68539007547034 BE71096123456769": ["BE68539007547034", "BE71096123456769"],
+        "iban ES91 2100 0418 4502 0005 1332 PAID": ["ES91 2100 0418 4502 0005 1332"],
+        "iban DE89 3704 0044 0532 0130 00 EUR": ["DE89 3704 0044 0532 0130 00"],
+        "iban NO9386011117947 and NL91 ABNA 0417 1643 00.": ["NO9386011117947", "NL91 ABNA 0417 1643 00"],
+        "bank ID12 2024 0001 AT611904300234573201": ["AT611904300234573201"],
+        "iban AT62 1904 3002 3457 3201 or AT61 1904 3002 3457 32019": [],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows_of(pii.find(df))
+    for i, (text, want) in enumerate(texts.items()):
+        assert [text[s.start : s.end] for s in got[i].iban] == want
+    hidden = rows_of(pii.redact(df))
+    assert hidden[2].text == "accounts [IBAN] [IBAN]"
+
+
 def test_lm(spark, odd, empty):
     rng = random.Random(8)
     vocabulary = ["".join(rng.choice("aeioustnr") for _ in range(rng.randrange(2, 7))) for _ in range(300)]

@@ -84,6 +84,24 @@ class Kind:
     base: bool = True
 
 
+#: Countries by the length of their account numbers (the IBAN registry).
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """A known country's number has its length, so that what follows it is not taken; others go on until one of a known country starts."""
+    group, known = "[A-Z0-9]{4}", "|".join(_LENGTHS.values()).replace(" ", "|")
+    fixed = lambda n: f"(?: ?{group}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    listed = "|".join(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}{fixed(n)}" for n, codes in _LENGTHS.items())
+    gap = f"(?: (?!(?:{known})[0-9]{{2}}))?+"
+    other = f"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:{gap}{group}){{2,7}}+(?:{gap}[A-Z0-9]{{1,3}}+)?+"
+    return f"(?<![A-Za-z0-9])(?:{listed}|{other})(?![A-Za-z0-9])"
+
+
 _LOCAL = "[A-Za-z0-9._%+-]"
 KINDS: tuple[Kind, ...] = (
     # A match starts where a run of local characters starts, or where the match before has ended within it.
@@ -92,7 +110,7 @@ KINDS: tuple[Kind, ...] = (
     Kind("card", r"[0-9](?:[ -]?[0-9])++", lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){15}"), _card, 0.6, True, ("card", "visa", "credit", "payment")),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda t: t.contains("+"), lambda m: F.length(_digits(m)).between(8, 15), 0.6, near=("phone", "tel", "call", "fax", "mobile")),
     Kind(
-        "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3}+)?+(?![A-Za-z0-9])", lambda t: t.rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
+        "iban", _iban(), lambda t: t.rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
         lambda m: let(F.translate(m, " ", ""), lambda c: F.length(c).between(15, 34) & mod97(c)), 0.5, True, ("iban", "account", "bank"), base=False,
     ),
     Kind(
