@@ -420,17 +420,29 @@ def test_lm_counts_and_costs(spark, monkeypatch):
     strings = cut(lm.string_counts(rows))
     trained = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
     table, weights, maps = lm.train(strings)
-    seen, times = np.unique(lm._strings([t.encode() for t in trained])[0], return_counts=True)
+
+    def contexts(string, i):  # as bytes, not as numbers and hashes
+        *before, byte = string
+        return [(k, bytes(before[len(before) - min(k, len(before)) :]), byte >> (i + 1), i) for k in (*range(5), 10**6)]
+
+    def strings_of(text):
+        whole = b"\xff" * 4 + text.encode() + b"\xff"
+        for at in range(4, len(whole)):
+            start = at
+            while start > 0 and not (start < at and whole[start] in b" \xff"):
+                start -= 1
+            yield whole[min(start, at - 4) : at + 1]
+
     counts = defaultdict(lambda: [0, 0])
-    for key, n in zip(seen.tolist(), times.tolist()):
-        for k in lm.ORDERS:
-            for i in range(8):
-                counts[k, (key & (1 << 8 * (k + 1)) - 1) >> (i + 1), i][key >> i & 1] += n
+    for string in (x for t in trained for x in strings_of(t)):
+        for i in range(8):
+            for context in contexts(string, i):
+                counts[context][string[-1] >> i & 1] += 1
 
-    def bits(key):
-        total = 0.0
+    def bits(string):
+        total, key = 0.0, string[-1]
         for i in range(7, -1, -1):
-            n0, n1 = np.array([counts[k, (key & (1 << 8 * (k + 1)) - 1) >> (i + 1), i] for k in lm.ORDERS], float).T
+            n0, n1 = np.array([counts[c] for c in contexts(string, i)], float).T
             stretch, cell = lm._inputs(lm._packed(n0, n1)[:, None])
             z = (weights[cell] * stretch).sum(axis=0)
             node = np.array([1 << (7 - i) | (key & 255) >> (i + 1)])
@@ -438,18 +450,29 @@ def test_lm_counts_and_costs(spark, monkeypatch):
             total -= np.log2(p if key >> i & 1 else 1 - p)
         return total
 
-    got = {r.key: r.cost for r in lm.string_costs(strings, spark.sparkContext.broadcast((table, weights, maps))).collect()}
-    every, _ = lm._strings([t.encode() for t in texts])
-    assert set(got) == set(every.tolist())
-    for key, cost in got.items():
-        assert cost == pytest.approx(bits(key), rel=1e-4)
-    whole = [sum(got[k] for k in lm._strings([t.encode()])[0].tolist()) for t in texts]
+    got = {r.word % 2**64: r.cost for r in lm.string_costs(strings, spark.sparkContext.broadcast((table, weights, maps))).collect()}
+    every = {}
+    for t in texts:
+        every |= dict(zip(lm._strings([t.encode()])[1].tolist(), strings_of(t), strict=True))
+    assert set(got) == set(every) and len(set(every.values())) == len(every)
+    for word, cost in got.items():
+        assert cost == pytest.approx(bits(every[word]), rel=1e-4)
+    whole = [sum(got[k] for k in lm._strings([t.encode()])[1].tolist()) for t in texts]
     for common in (1 << 20, 40):  # all strings sent, or most of them joined
         monkeypatch.setattr(lm, "COMMON", common)
         for i, r in rows_of(lm.score(df)).items():
             assert -r.score / log10(2) == pytest.approx(whole[i], rel=1e-4)
 
 
+def test_lm_contexts_have_whole_words_and_four_bytes():
+    last = lambda text: [x[-2] for x in lm._strings([text])[:2]]  # noqa: E731  of the last byte
+    assert last(b"a bcdefghijk")[1] != last(b"a xcdefghijk")[1]  # ten bytes back
+    assert last(b"uv bcdefghijk")[1] == last(b"yz bcdefghijk")[1]  # but not before the word
+    assert last(b"ab c")[0] != last(b"xb c")[0] and last(b"xab c")[0] != last(b"ab c")[0]
+    keys, words = zip(*(last(f"{w} {x}".encode()) for w in ("ab", "xb", "cab") for x in "cd"))
+    assert len(set(words)) == len(set(keys)) == 6
+
+
 def test_lm_costs_are_probabilities():
     table = np.full(lm.INPUTS << lm.SLOT_BITS, 128, np.uint16)
     model = lm.Model(table, np.full(lm.GATES * lm.INPUTS * lm.SURE, 0.3, np.float32), np.tile(lm._squash(np.linspace(-8, 8, lm.BUCKETS)), 256))

@@ -1,17 +1,17 @@
 """Language-model scores by online logistic context mixing.
 
 A text is predicted bit by bit, byte after byte. Contexts (the last 0 to 4
-bytes, and the word so far up to 6 bytes) with the byte's bits so far each give
-a prediction from counts over the whole corpus; a mixer adds these up in the
-logistic domain with weights that are gated by how sure each context is and how
-many are known; an adaptive map refines the sum by the order-0 context. The
-contexts are nested, so a byte's cost depends on a short string only: the word
-so far, or the last 3 bytes if those are more. What the corpus gives comes down
-to counts of such strings, and a text's cost is a sum over its strings, each
-evaluated once.
+bytes, and the whole word so far, or the last 4 bytes if those are more) with
+the byte's bits so far each give a prediction from counts over the whole corpus;
+a mixer adds these up in the logistic domain with weights that are gated by how
+sure each context is and how many are known; an adaptive map refines the sum by
+the order-0 context. The contexts are nested, so a byte's cost depends on the
+longest of them only. What the corpus gives comes down to counts of such
+strings, and a text's cost is a sum over its strings, each evaluated once.
+Counts, weights and map stay as they are while texts are scored.
 
 Every context has its own counts, however many there are: nothing is hashed into
-slots. Strings with the same last 3 context bytes lie in one partition, where
+slots. Words are told apart by 56-bit hashes. Strings with the same last 3 context bytes lie in one partition, where
 the longer contexts are counted from the strings themselves; contexts of at most
 2 bytes, a bounded number, are counted in a table that is sent. So the model is a
 table of strings and costs in the checkpoint folder that grows with the corpus.
@@ -41,50 +41,72 @@ from pyspark.sql import functions as F
 from .common import cut
 
 FOLDS, HELD_OUT, TUNED_ON = 5, 1, 4
-#: Context bytes at most and at least; predictors; of these, how many have a table of all contexts; slots of the largest as a power of two.
-LONG, SHORT, INPUTS, DENSE, SLOT_BITS = 6, 3, 6, 3, 24
-#: Context bytes of each predictor, and where its table starts: a slot for each context and node of the bits before.
-ORDERS = (*range(INPUTS - 1), LONG)
+#: Context bytes besides the word; predictors; of these, how many have a table of all contexts; slots of the largest as a power of two.
+SHORT, INPUTS, DENSE, SLOT_BITS = 4, 6, 3, 24
+#: Context bytes of each predictor but the word, and where its table starts: a slot for each context and node of the bits before.
+ORDERS = range(INPUTS - 1)
 FIRST = tuple(sum(256 << 8 * j for j in range(k)) for k in range(DENSE + 1))
 UNSEEN = 128  # state of a context that has not been seen: even odds
 ROUNDS, RATE, CALM, BATCH = 3, 2.0, 100.0, 8192
 SURE, GATES, BUCKETS = 16, INPUTS, 33
 #: Word counts, and costs of strings, that are sent to workers at most; places for the latter as a power of two.
 FREQUENT, COMMON, MEMORY_BITS = 1 << 19, 1 << 20, 21
-#: Bytes of text handled at once; strings spread at once.
+#: Bytes of text, and strings, handled at once.
 BLOCK, CHUNK = 1 << 20, 1 << 17
 #: Strings, and words, whose counts a task holds before it gives them out.
 HELD, HELD_WORDS = 1 << 21, 1 << 18
 EDGE = 0xFF  # never in UTF-8: stands before and after a text
+#: Words are hashed as sums of their bytes' values times powers of an odd number, whose inverse modulo 2^64 takes a word's place out.
+VALUES = np.random.default_rng(9).integers(0, 2**64, 256, np.uint64)
+POWER = 0x9E3779B97F4A7C13
 
 
 def fold(id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id.cast("string"), F.lit(""))), F.lit(FOLDS)).cast("int")
 
 
-def _strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Strings ending at each byte and at the end of each text, as numbers, and how many each text has.
+_POWERS: list[np.ndarray] = []
 
-    The last byte is the predicted one. Before it are the bytes back to the
-    white space before the word, at least SHORT and at most LONG; others are 0.
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of POWER and of its inverse, n of each at least."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = []
+        for base in (POWER, pow(POWER, -1, 1 << 64)):
+            powers = np.full(max(n, BLOCK + BLOCK // 4), base, np.uint64)
+            powers[0] = 1
+            _POWERS.append(np.multiply.accumulate(powers))
+    return _POWERS
+
+
+def _strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings ending at each byte and at the end of each text, twice, and how many each text has.
+
+    The last byte is the predicted one. As a number it has the SHORT bytes
+    before it; as a word, the hash of the bytes back to the white space before
+    the word, at least SHORT.
     """
-    pad = bytes([EDGE]) * LONG
+    pad = bytes([EDGE]) * SHORT
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     if not len(texts):
-        return np.zeros(0, np.uint64), sizes
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), sizes
     data = np.frombuffer(pad + pad.join(texts) + pad, np.uint8)
     at = np.arange(len(data), dtype=np.int32)
     space = np.maximum.accumulate(np.where((data <= 32) | (data == EDGE), at, 0))
-    kept = np.clip(at[LONG:] - space[LONG - 1 : -1], SHORT, LONG)
+    start = np.minimum(space[SHORT - 1 : -1], at[:-SHORT])
     wide = data.astype(np.uint64)
-    keys = wide[LONG:].copy()
-    for k in range(1, LONG + 1):
-        keys |= wide[LONG - k : len(data) - k] << np.uint64(8 * k)
-    keys &= np.array([(1 << 8 * (k + 1)) - 1 for k in range(LONG + 1)], np.uint64)[kept]
-    # Between texts stand LONG edges, of which the first is the end of the text before.
-    starts = np.cumsum(sizes + LONG - 1) - (sizes + LONG - 1)
+    keys = wide[SHORT:].copy()
+    for k in range(1, SHORT + 1):
+        keys |= wide[SHORT - k : len(data) - k] << np.uint64(8 * k)
+    powers, inverse = _powers(len(data))
+    sums = np.append(np.uint64(0), np.cumsum(VALUES[data] * powers[: len(data)]))
+    words = (sums[SHORT:-1] - sums[start]) * inverse[start]
+    words = (words ^ (words >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    words = (words & np.uint64(2**64 - 256)) | wide[SHORT:]
+    # Between texts stand SHORT edges, of which the first is the end of the text before.
+    starts = np.cumsum(sizes + SHORT - 1) - (sizes + SHORT - 1)
     scored = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    return keys[scored], sizes
+    return keys[scored], words[scored], sizes
 
 
 def _blocks(batch: pa.RecordBatch, column: int):
@@ -117,9 +139,13 @@ def _packed(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.round((stretch + 8) * 16).astype(np.uint16) | (sure.astype(np.uint16) << 8)
 
 
-def _counted(keys: np.ndarray, n: np.ndarray, k: int):
-    """For each bit of the last byte: its number, the order that sorts contexts of k bytes, where each node starts in it, and their states."""
-    own = keys & np.uint64((1 << 8 * (k + 1)) - 1)
+def _cut(keys: np.ndarray, k: int) -> np.ndarray:
+    """Strings with k context bytes."""
+    return keys & np.uint64((1 << 8 * (k + 1)) - 1)
+
+
+def _counted(own: np.ndarray, n: np.ndarray):
+    """For each bit of the last byte: its number, the order that sorts contexts, where each node starts in it, and their states."""
     order = np.argsort(own)
     own, n = own[order], n[order]
     for i in range(7, -1, -1):
@@ -129,13 +155,14 @@ def _counted(keys: np.ndarray, n: np.ndarray, k: int):
         yield i, order, first, _packed(np.add.reduceat(n, first) - ones, ones)
 
 
-def _states(keys: np.ndarray, n: np.ndarray, table: np.ndarray):
+def _states(keys: np.ndarray, n: np.ndarray, table: np.ndarray, words: np.ndarray | None = None):
     """For each bit of the last byte: the bit, the node before it, and the states, an order a row.
 
     Long contexts are counted from the strings, which are to be all that have
-    their last SHORT context bytes.
+    their last DENSE context bytes. Strings without words are words themselves.
     """
-    deep = [_counted(keys, n, k) for k in ORDERS[DENSE:]] if len(keys) else []
+    longer = [*(_cut(keys, k) for k in ORDERS[DENSE:]), keys if words is None else words]
+    deep = [_counted(own, n) for own in longer] if len(keys) else []
     for bit, node, slots in _slots(keys):
         states = np.full((INPUTS, len(keys)), UNSEEN, np.uint16)
         states[:DENSE] = table[np.stack(slots)]
@@ -162,38 +189,43 @@ def _groups(batches):
 
 
 def _added(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    keys, *counts = map(np.concatenate, zip(*held, strict=True))
-    own, at = np.unique(keys, return_inverse=True)
-    return own, *(np.bincount(at, n, len(own)).astype(np.int64) for n in counts)
+    columns = list(map(list, zip(*held, strict=True)))
+    held.clear()  # a column at a time, so that little is held twice
+    own, first, at = np.unique(np.concatenate(columns.pop(0)), return_index=True, return_inverse=True)
+    out = [own, np.concatenate(columns.pop(0))[first]]
+    while columns:
+        out.append(np.bincount(at, np.concatenate(columns.pop(0)), len(own)).astype(np.int64))
+    return tuple(out)
 
 
 def _home(keys: np.ndarray) -> np.ndarray:
-    """A number for each choice of the last SHORT context bytes, mixed up one to one."""
-    size = 8 * SHORT
+    """A number for each choice of the last DENSE context bytes, mixed up one to one."""
+    size = 8 * DENSE
     return (((keys >> np.uint64(8)) * np.uint64(0x9E3779B1)) & np.uint64((1 << size) - 1)).astype(np.int32)
 
 
 def string_counts(rows: DataFrame) -> DataFrame:
-    """Rows (home, key, n, tuned, c): strings of all texts with counts in the training texts, the tuning fold and everything.
+    """Rows (home, key, word, n, tuned, c): strings of all texts, told apart by their words, with counts in the training texts, the tuning fold and everything.
 
     They are dealt and sorted by home, so that groups of one home are whole.
     """
 
     def sent(sums: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        arrays = [_home(sums[0]), sums[0].view(np.int64), *sums[1:]]
-        return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["home", "key", "n", "tuned", "c"])
+        arrays = [_home(sums[1]), sums[1].view(np.int64), sums[0].view(np.int64), *sums[2:]]
+        return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["home", "key", "word", "n", "tuned", "c"])
 
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for whole in batches:
             for batch, texts in _blocks(whole, 0):
-                keys, sizes = _strings(texts)
+                keys, words, sizes = _strings(texts)
                 own = np.repeat(batch.column(1).to_numpy(), sizes)
                 for f in np.unique(own):
-                    k, n = np.unique(keys[own == f], return_counts=True)
-                    held.append((k, n * (f != HELD_OUT), n * (f == TUNED_ON), n))
-                    size += len(k)
+                    of = own == f
+                    w, first, n = np.unique(words[of], return_index=True, return_counts=True)
+                    held.append((w, keys[of][first], n * (f != HELD_OUT), n * (f == TUNED_ON), n))
+                    size += len(w)
                 if size > HELD:  # sums of what has come so far; given out when they grow too large
                     held = [_added(held)]
                     size = len(held[0][0])
@@ -204,9 +236,9 @@ def string_counts(rows: DataFrame) -> DataFrame:
             yield sent(_added(held))
 
     folds = F.when(F.col("_fold").isin(HELD_OUT, TUNED_ON), F.col("_fold")).otherwise(0).alias("_fold")
-    counted = rows.select("_text", folds).mapInArrow(run, "home int, key long, n long, tuned long, c long")
-    sums = counted.repartition("home").groupBy("home", "key").agg(*(F.sum(c).alias(c) for c in ("n", "tuned", "c")))
-    return sums.sortWithinPartitions("home")
+    counted = rows.select("_text", folds).mapInArrow(run, "home int, key long, word long, n long, tuned long, c long")
+    sums = counted.repartition("home").groupBy("home", "word").agg(F.min("key").alias("key"), *(F.sum(c).alias(c) for c in ("n", "tuned", "c")))
+    return sums.select("home", "key", "word", "n", "tuned", "c").sortWithinPartitions("home")
 
 
 def short_table(counts: DataFrame, n: Column) -> np.ndarray:
@@ -216,8 +248,8 @@ def short_table(counts: DataFrame, n: Column) -> np.ndarray:
     keys, n = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy().astype(np.float64)
     out = np.full(FIRST[DENSE], UNSEEN, np.uint16)
     for k in ORDERS[:DENSE] if len(keys) else ():
-        own = keys & np.uint64((1 << 8 * (k + 1)) - 1)
-        for i, order, first, known in _counted(keys, n, k):
+        own = _cut(keys, k)
+        for i, order, first, known in _counted(own, n):
             start = own[order[first]].astype(np.int64)
             out[FIRST[k] + (start >> 8 << 8 | 1 << (7 - i) | (start & 0xFF) >> (i + 1))] = known
     return out
@@ -243,26 +275,26 @@ def _refined(maps: np.ndarray, node: np.ndarray, z: np.ndarray) -> tuple[np.ndar
 
 def _tuned(batches, table):
     """Strings of the tuning fold, their counts there, and for each bit what _states gives, counted over the other folds."""
-    for _, keys, n, tuned in _groups(batches):
-        keys, some = keys.view(np.uint64), np.flatnonzero(tuned)
+    for _, keys, words, n, tuned in _groups(batches):
+        keys, words, some = keys.view(np.uint64), words.view(np.uint64), np.flatnonzero(tuned)
         if len(some):
-            steps = [(bit[some], node[some], states[:, some]) for bit, node, states in _states(keys, (n - tuned).astype(np.float64), table.value)]
-            yield keys[some], tuned[some].astype(np.float64), steps
+            steps = [(bit[some], node[some], states[:, some]) for bit, node, states in _states(keys, (n - tuned).astype(np.float64), table.value, words)]
+            yield words[some], tuned[some].astype(np.float64), steps
 
 
 def learn_weights(counts: DataFrame, table) -> np.ndarray:
     """Mixer weights by online steps over the tuning fold's strings, averaged over partitions between rounds."""
     weights = np.full(GATES * INPUTS * SURE, 0.3, np.float32)
-    strings = counts.select("home", "key", "n", "tuned")
+    strings = counts.select("home", "key", "word", "n", "tuned")
 
     for _ in range(ROUNDS):
         start = weights
 
         def run(batches, start=start):
             w, mass = start.copy(), np.zeros(len(start))
-            for keys, times, steps in _tuned(batches, table):
-                order = np.argsort(xxhash_order(keys))
-                for at in range(0, len(keys), BATCH):
+            for words, times, steps in _tuned(batches, table):
+                order = np.argsort(xxhash_order(words))
+                for at in range(0, len(words), BATCH):
                     some = order[at : at + BATCH]
                     n = times[some]
                     for bit, _, states in steps:
@@ -303,7 +335,7 @@ def learn_maps(counts: DataFrame, table, weights: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0][at]), pa.array(sums[1][at])], ["cell", "n", "ones"])
 
-    sums = counts.select("home", "key", "n", "tuned").mapInArrow(run, "cell long, n double, ones double")
+    sums = counts.select("home", "key", "word", "n", "tuned").mapInArrow(run, "cell long, n double, ones double")
     maps = np.tile(_squash(np.linspace(-8, 8, BUCKETS)), 256)
     for r in sums.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).collect():  # one row a cell of the map
         prior = maps[r.cell]
@@ -317,10 +349,10 @@ class Model:
     def __init__(self, table: np.ndarray, weights: np.ndarray, maps: np.ndarray):
         self.table, self.weights, self.maps = table, weights, maps
 
-    def bits(self, keys: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
+    def bits(self, keys: np.ndarray, n: np.ndarray | None = None, words: np.ndarray | None = None) -> np.ndarray:
         """Bits that each string's last byte costs after the bytes before it; without counts, no long context has been seen."""
         out = np.zeros(len(keys))
-        for bit, node, states in _states(keys, np.zeros(len(keys)) if n is None else n, self.table):
+        for bit, node, states in _states(keys, np.zeros(len(keys)) if n is None else n, self.table, words):
             stretch, cell = _inputs(states)
             z = (self.weights[cell] * stretch).sum(axis=0)
             p = np.clip(0.5 * (_squash(z) + _refined(self.maps, node, z)[0]), 1e-5, 1 - 1e-5)
@@ -328,21 +360,21 @@ class Model:
         return out
 
     def text_bits(self, texts: list[bytes]) -> np.ndarray:
-        keys, sizes = _strings(texts)
+        keys, _, sizes = _strings(texts)
         own, at = np.unique(keys, return_inverse=True)
         return np.add.reduceat(self.bits(own)[at], np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
 
 
 def string_costs(counts: DataFrame, sent) -> DataFrame:
-    """Rows (key, c, cost): the bits that each string's last byte costs by a model that is sent as its parts."""
+    """Rows (word, c, cost): the bits that each string's last byte costs by a model that is sent as its parts."""
 
     def run(batches):
         model = Model(*sent.value)
-        for _, keys, n, c in _groups(batches):
-            cost = model.bits(keys.view(np.uint64), n.astype(np.float64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c), pa.array(cost.astype(np.float32))], ["key", "c", "cost"])
+        for _, keys, words, n, c in _groups(batches):
+            cost = model.bits(keys.view(np.uint64), n.astype(np.float64), words.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(c), pa.array(cost.astype(np.float32))], ["word", "c", "cost"])
 
-    return counts.select("home", "key", "n", "c").mapInArrow(run, "key long, c long, cost float")
+    return counts.select("home", "key", "word", "n", "c").mapInArrow(run, "word long, c long, cost float")
 
 
 class Costs:
@@ -375,7 +407,7 @@ class Costs:
 
     def text_bits(self, texts: list[bytes]) -> tuple[np.ndarray, pa.Array, pa.Array]:
         """Bits of each text without its rare strings, and lists of these and of how often the text has them."""
-        keys, sizes = _strings(texts)
+        _, keys, sizes = _strings(texts)
         costs, left = self.of(keys)
         starts = np.cumsum(sizes) - sizes
         text, rare = np.searchsorted(starts, left, "right") - 1, keys[left].view(np.int64)
@@ -474,7 +506,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     rare_bound, often = frequent(costs, COMMON)
     table = often.toArrow()  # COMMON rows at most
     order = np.argsort(table.column("c").to_numpy(), kind="stable")  # the most frequent last: they get their places
-    sent_costs = spark.sparkContext.broadcast((uuid.uuid4().hex, table.column("key").to_numpy()[order].view(np.uint64), table.column("cost").to_numpy()[order]))
+    sent_costs = spark.sparkContext.broadcast((uuid.uuid4().hex, table.column("word").to_numpy()[order].view(np.uint64), table.column("cost").to_numpy()[order]))
     del table, order
     scale = n + 0.5 * (v + 1)
 
@@ -531,9 +563,9 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     each = F.col("t") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(scale)))
     rare_sums = looked.groupBy("row").agg(F.sum(each).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("t")).otherwise(0)).alias("more_known"))
     # So are the strings that are not among the frequent ones; each string of a text has a cost.
-    asked = told.select("row", F.explode(F.arrays_zip("strings", "string_times")).alias("x")).select("row", F.col("x.strings").alias("key"), F.col("x.string_times").alias("t"))
+    asked = told.select("row", F.explode(F.arrays_zip("strings", "string_times")).alias("x")).select("row", F.col("x.strings").alias("word"), F.col("x.string_times").alias("t"))
     rest = costs.where(F.floor(F.log2("c") * 8) < rare_bound) if rare_bound else costs.where(F.lit(False))
-    string_sums = asked.join(rest, "key").groupBy("row").agg(F.sum(F.col("t") * F.col("cost")).alias("more_bits"))
+    string_sums = asked.join(rest, "word").groupBy("row").agg(F.sum(F.col("t") * F.col("cost")).alias("more_bits"))
     bits = F.col("bits") + F.coalesce("more_bits", F.lit(0.0))
     return told.join(rare_sums, "row", "left").join(string_sums, "row", "left").select(
         F.col("id").alias(id),
