@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark import config as settings
 from tidemark.config import Config
 from tidemark.errors import ConfigError
+from tidemark.functions.windows import overlaps
 from tidemark.operators import co_anomaly, events, metrics, rollups
 from tidemark.schema import DETECTIONS, METRICS, TABLES
 from tidemark.session import cut
@@ -105,7 +107,9 @@ def test_overlaps_touch_and_trends_have_none(spark):
 def test_overlaps_over_many_buckets_count_once(spark):
     rows = [det(f"sar/h{i}/cpu/{j}", "pct_user", "ALG-A1", i * 50, i * 50 + 3000 * (i % 3 == 0) + 30) for i in range(30) for j in range(2)]
     e = cut(merged(spark, rows)).withColumn("severity", F.lit("WARN"))
-    got = sorted((r.a_event_id, r.b_event_id, r.overlap_seconds) for r in co_anomaly.point_pairs(e).collect())
+    spans = e.select("event_id", "start_us", "end_us")
+    met = overlaps(spans, spans, (), co_anomaly.POINT_BUCKET).where("a_event_id <> b_event_id")
+    got = sorted((r.a_event_id, r.b_event_id, r.overlap_seconds) for r in met.collect())
     every = e.collect()
     want = sorted(
         (a.event_id, b.event_id, (min(a.end_us, b.end_us) - max(a.start_us, b.start_us)) / 1e6)
@@ -116,6 +120,34 @@ def test_overlaps_over_many_buckets_count_once(spark):
     assert max(len(r.co_anomalies) for r in top) == 10
 
 
+def spans_of(spark, rows):
+    """Point events of (event_id, host, severity, start in minutes, end)."""
+    return spark.createDataFrame(
+        [(i, h, "sar", "m", s, "spike_up", int(a * 6e7), int(b * 6e7), ["ALG-A1"]) for i, h, s, a, b in rows],
+        "event_id string, host string, source string, metric string, severity string, shape string, start_us long, end_us long, algorithms array<string>",
+    )
+
+
+def test_the_foremost_overlaps_match_brute_force(spark):
+    rng = random.Random(3)
+    rank = ["INFO", "WARN", "FATAL", "SEVERE"]
+    rows = [(f"e{i:04}", f"h{rng.choice([0, 0, 0, *range(12)])}", rng.choice(["WARN", "SEVERE", "FATAL"]), a := 5 * rng.randrange(200), a + 5 * rng.randrange(6)) for i in range(500)]
+    got = {r.event_id: [(o.event_id, o.host, o.severity, o.overlap_seconds, o.same_host) for o in r.co_anomalies] for r in co_anomaly.co_anomalies(spans_of(spark, rows)).collect()}
+    for i, h, _, a, b in rows:
+        met = [(j, k, s, (min(b, d) - max(a, c)) * 60.0, k == h) for j, k, s, c, d in rows if j != i and a <= d and c <= b]
+        met.sort(key=lambda x: (not x[4], -rank.index(x[2]), -x[3], x[0]))
+        assert got[i] == met[:10]
+
+
+def test_a_storm_of_events_makes_no_pairs(spark):
+    """All hosts at once: pairs would be 10^8."""
+    rows = [(f"e{i:05}", f"h{i % 5000}", "WARN", 10 + i % 3, 12 + i % 3) for i in range(10_000)]
+    e = spans_of(spark, rows)
+    names = ["event_id", "host", "source", "metric", "severity", "shape", "start_us", "end_us"]
+    assert co_anomaly._elsewhere(e.select(*names), [F.asc("b_event_id")]).count() <= 20 * len(rows)
+    assert {len(r.co_anomalies) for r in co_anomaly.co_anomalies(e).collect()} == {10}
+
+
 def test_causes(spark):
     rules = lambda r: [c.rule_id for c in r.causes]
     got = related(spark, [det(GC, "ou", "ALG-B3", 0, 100, 1, "floor_rise"), det(GC, "fgc_delta", "ALG-B4", 10, 20, 1, "level_shift")])

@@ -25,16 +25,39 @@ def _spans(events: DataFrame) -> DataFrame:
     return events.select("event_id", "host", "source", "metric", "severity", "shape", "start_us", "end_us")
 
 
-def point_pairs(events: DataFrame) -> DataFrame:
-    """All ordered pairs of different point events that overlap, whatever their hosts."""
-    p = _spans(events.where(is_point(F.col("algorithms"))))
-    return overlaps(p, p, (), POINT_BUCKET).where("a_event_id <> b_event_id").withColumn("same_host", F.col("a_host") == F.col("b_host"))
+def _foremost(rows: DataFrame, keys: tuple[str, ...], order: list[Column]) -> DataFrame:
+    """The first rows of each key, enough for MOST of other hosts, whichever host is asking."""
+    of_host = F.row_number().over(Window.partitionBy(*keys, "b_host").orderBy(*order))
+    of_key = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    few = rows.withColumn("_n", of_host).where(F.col("_n") <= MOST)
+    return few.withColumn("_n", of_key).where(F.col("_n") <= 2 * MOST).drop("_n")
+
+
+def _elsewhere(p: DataFrame, order: list[Column]) -> DataFrame:
+    """For each event the foremost on other hosts that overlap.
+
+    In an incident all hosts have events at once, and their pairs would be the
+    square of the hosts. So pairs are made of the distinct spans of time alone;
+    a span keeps its foremost events of each severity, and a span that asks
+    keeps the foremost of all spans that it meets.
+    """
+    spans = p.select("start_us", "end_us").distinct()
+    b = p.select(*(F.col(c).alias(f"b_{c}") for c in p.columns))
+    few = _foremost(b, ("b_start_us", "b_end_us", "b_severity"), [F.asc("b_event_id")])
+    met = overlaps(spans, spans, (), POINT_BUCKET).join(few, ["b_start_us", "b_end_us"])
+    best = _foremost(met, ("a_start_us", "a_end_us"), order)
+    a = p.select(F.col("event_id").alias("a_event_id"), F.col("host").alias("a_host"), F.col("start_us").alias("a_start_us"), F.col("end_us").alias("a_end_us"))
+    return a.join(best, ["a_start_us", "a_end_us"]).where("a_host <> b_host")
 
 
 def co_anomalies(events: DataFrame) -> DataFrame:
-    """Rows (event_id, co_anomalies) of point events: the foremost that overlap, maybe none."""
-    order = [F.desc("same_host"), F.desc(rank_of(F.col("b_severity"))), F.desc("overlap_seconds"), F.asc("b_event_id")]
-    ranked = point_pairs(events).withColumn("_n", F.row_number().over(Window.partitionBy("a_event_id").orderBy(*order))).where(F.col("_n") <= MOST)
+    """Rows (event_id, co_anomalies) of point events: the foremost that overlap, those of the host first, maybe none."""
+    p = _spans(events.where(is_point(F.col("algorithms"))))
+    order = [F.desc(rank_of(F.col("b_severity"))), F.desc("overlap_seconds"), F.asc("b_event_id")]
+    mine = overlaps(p, p, ("host",), POINT_BUCKET).where("a_event_id <> b_event_id")
+    names = ["a_event_id", *(f"b_{c}" for c in ("event_id", "host", "source", "metric", "severity", "shape")), "overlap_seconds"]
+    pairs = mine.select(*names, F.lit(True).alias("same_host")).unionByName(_elsewhere(p, order).select(*names, F.lit(False).alias("same_host")))
+    ranked = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("a_event_id").orderBy(F.desc("same_host"), *order))).where(F.col("_n") <= MOST)
     other = F.struct(
         F.col("_n").alias("rank"), F.col("b_event_id").alias("event_id"), F.col("b_host").alias("host"), F.col("b_source").alias("source"), F.col("b_metric").alias("metric"),
         F.col("b_severity").alias("severity"), F.col("b_shape").alias("shape"), "overlap_seconds", "same_host",
