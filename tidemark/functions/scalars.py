@@ -44,6 +44,12 @@ def sampled(values: Column, count: int = 9) -> Column:
     return F.when(F.size(values) <= count, values).otherwise(picked)
 
 
+def in_sample(place: Column, n: Column, count: int = 9) -> Column:
+    """Whether the value at a place, counted from 0, is among those that `sampled` takes of n, so that no list of all is needed."""
+    steps = F.sequence(F.lit(0), F.lit(count - 1))
+    return (n <= count) | F.exists(steps, lambda i: F.bround(i * ((n - 1) / F.lit(float(count - 1))), 0) == place)
+
+
 def without_repeats(values: Column) -> Column:
     """Without each value that equals the one before it."""
     return F.filter(values, lambda v, i: (i == 0) | ~v.eqNullSafe(F.get(values, i - 1)))

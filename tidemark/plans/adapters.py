@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schema import ALGORITHMS, SHAPES
+from ..schema import ALGORITHMS, RATIOS, SHAPES
 from ..session import ship_package
 
 
@@ -47,22 +47,22 @@ def m_cumulated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections of all kinds, one for each order, over five hosts and six metrics."""
+    """Detections of all kinds, one for each order, over five hosts and nine metrics."""
     k = F.col("o_orderkey")
     host = F.concat(F.lit("host"), (F.col("o_custkey") % 5).cast("string"))
-    kind = k % 6
+    kind = k % 9
     pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
     series = (
         F.when(kind == 0, F.concat(F.lit("db_connection/"), host, F.lit(":7001/pool")))
-        .when(kind.isin(1, 2), F.concat(F.lit("jvm_gc/app@"), host))
-        .when(kind.isin(3, 4), F.concat(F.lit("lsf_queue/"), host, F.lit("/long")))
+        .when(kind.isin(1, 2, 6, 7), F.concat(F.lit("jvm_gc/app@"), host))
+        .when(kind.isin(3, 4, 8), F.concat(F.lit("lsf_queue/"), host, F.lit("/long")))
         .otherwise(F.concat(F.lit("sar/"), host, F.lit("/cpu/-1")))
     )
     start = F.timestamp_add("MINUTE", (k * 37 % 1440).cast("int"), F.col("o_orderdate").cast("timestamp_ntz"))
     return table(spark, sf_dir, "orders").select(
         series.alias("series_id"),
-        pick(("db_connection", "jvm_gc", "jvm_gc", "lsf_queue", "lsf_queue", "sar"), kind).alias("source"),
-        pick(("active_connections", "ou", "fgc_delta", "pend", "run", "pct_user"), kind).alias("metric"),
+        pick(("db_connection", "jvm_gc", "jvm_gc", "lsf_queue", "lsf_queue", "sar", "jvm_gc", "jvm_gc", "lsf_queue"), kind).alias("source"),
+        pick(("active_connections", "ou", "fgc_delta", "pend", "run", "pct_user", "eu", "mu", "susp"), kind).alias("metric"),
         pick(ALGORITHMS, F.floor(k / 7) % 11).alias("algorithm"),
         start.alias("start_ts"),
         F.timestamp_add("MINUTE", (k * 13 % 300).cast("int"), start).alias("end_ts"),
@@ -74,8 +74,8 @@ def sample_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of the same series, and shares of capacity for one of them."""
+    """Points of the same series, and shares of capacity for those that have one."""
     d = sample_detections(spark, sf_dir).withColumn("_k", F.element_at("detail", "order"))
     own = d.select("series_id", "source", "metric", F.col("start_ts").alias("ts"), F.element_at("values", 1).alias("value"), F.lit(0).alias("segment"))
-    shares = d.where("metric = 'ou'").select("series_id", "source", F.lit("ou_pct").alias("metric"), F.col("start_ts").alias("ts"), (F.col("_k") % 120).alias("value"), F.lit(0).alias("segment"))
+    shares = d.where(F.col("metric").isin(*RATIOS)).select("series_id", "source", F.concat("metric", F.lit("_pct")).alias("metric"), F.col("start_ts").alias("ts"), (F.col("_k") % 120).alias("value"), F.lit(0).alias("segment"))
     return _frame(own.unionByName(shares))

@@ -491,7 +491,8 @@ def b3_floor(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {M_HOUR}, {CATALOGUE}, {_DIFF},
-fd AS (SELECT *, min(CASE WHEN diff IS NOT NULL THEN us END) OVER (PARTITION BY series_id, metric) AS f0 FROM d),
+fd AS (SELECT *, min(CASE WHEN diff IS NOT NULL THEN us END) OVER (PARTITION BY series_id, metric) AS f0,
+  avg(value) OVER (PARTITION BY series_id, metric ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS lb, avg(value) OVER (PARTITION BY series_id, metric ORDER BY us RANGE BETWEEN CURRENT ROW AND 86400000000 FOLLOWING) AS la FROM d),
 st AS (SELECT series_id, metric, count(diff) AS n, avg(diff) AS m1, stddev_samp(diff) AS s1, count(diff) FILTER (us - f0 < 86400000000) AS n0, avg(diff) FILTER (us - f0 < 86400000000) AS m0, stddev_samp(diff) FILTER (us - f0 < 86400000000) AS s0, avg(value) AS level FROM fd GROUP BY ALL),
 x AS (SELECT d.series_id, d.metric, us, diff, CASE WHEN n0 >= 30 THEN m0 ELSE m1 END AS mu, {sigma("CASE WHEN n0 >= 30 THEN s0 ELSE s1 END", "level")} AS sg, row_number() OVER (PARTITION BY d.series_id, d.metric ORDER BY us) AS rn
   FROM d JOIN st USING (series_id, metric) JOIN s USING (series_id, metric) WHERE diff IS NOT NULL AND n >= 30 AND n_points >= 30),
@@ -499,11 +500,13 @@ c AS (SELECT series_id, metric, rn, us, sg, greatest(0, diff - mu - 0.5 * sg) AS
   UNION ALL SELECT x.series_id, x.metric, x.rn, x.us, x.sg, greatest(0, CASE WHEN c.sp > 5 * c.sg THEN 0 ELSE c.sp END + x.diff - x.mu - 0.5 * x.sg),
     CASE WHEN c.sp > 5 * c.sg OR c.sp <= 0 THEN CASE WHEN x.diff - x.mu - 0.5 * x.sg > 0 THEN x.us END ELSE c.st END
   FROM c JOIN x ON x.series_id = c.series_id AND x.metric = c.metric AND x.rn = c.rn + 1)
-SELECT series_id, metric, make_timestamp(coalesce(st, us)) AS start_ts, make_timestamp(us) AS end_ts, round(sp, 6) AS s_plus, round(sp / (5 * sg), 6) AS score FROM c WHERE sp > 5 * sg""")
+SELECT c.series_id, c.metric, make_timestamp(coalesce(c.st, c.us)) AS start_ts, make_timestamp(c.us) AS end_ts, round(sp, 6) AS s_plus, round(sp / (5 * sg), 6) AS score, round(b.lb, 6) AS level_before, round(a.la, 6) AS level_after
+FROM c JOIN fd b ON b.series_id = c.series_id AND b.metric = c.metric AND b.us = coalesce(c.st, c.us) JOIN fd a ON a.series_id = c.series_id AND a.metric = c.metric AND a.us = c.us WHERE sp > 5 * sg""")
 def b4_cusum(spark, sf_dir):
     _, p, s = _frames(spark, sf_dir)
     d = detectors.b4(p, s, CONFIG)[0]
-    return d.select(*SERIES, "start_ts", "end_ts", r6(F.element_at("detail", F.lit("s_plus")), "s_plus"), r6("score"))
+    of = lambda k: r6(F.element_at("detail", F.lit(k)), k)
+    return d.select(*SERIES, "start_ts", "end_ts", of("s_plus"), r6("score"), of("level_before"), of("level_after"))
 
 
 @query(f"""WITH {M_DAY.replace("m AS", "m0 AS", 1)}, m AS (SELECT * REPLACE (round(sum(value) OVER (PARTITION BY series_id, metric ORDER BY us ROWS UNBOUNDED PRECEDING), 2) AS value) FROM m0), {CATALOGUE},
@@ -543,9 +546,9 @@ def skip_counts(spark, sf_dir):
 # --- events -----------------------------------------------------------------------------------
 
 _ALGORITHMS, _SHAPES = ("[" + ", ".join(f"'{x}'" for x in xs) + "]" for xs in (ALGORITHMS, SHAPES))
-DETECTIONS = f"""o AS (SELECT *, 'host' || (o_custkey % 5) AS host, o_orderkey % 6 AS kind, o_orderdate::TIMESTAMP + to_minutes(((o_orderkey * 37) % 1440)::INTEGER) AS start_ts FROM orders),
-det AS (SELECT CASE WHEN kind = 0 THEN 'db_connection/' || host || ':7001/pool' WHEN kind IN (1, 2) THEN 'jvm_gc/app@' || host WHEN kind IN (3, 4) THEN 'lsf_queue/' || host || '/long' ELSE 'sar/' || host || '/cpu/-1' END AS series_id,
-  (['db_connection', 'jvm_gc', 'jvm_gc', 'lsf_queue', 'lsf_queue', 'sar'])[kind + 1] AS source, (['active_connections', 'ou', 'fgc_delta', 'pend', 'run', 'pct_user'])[kind + 1] AS metric,
+DETECTIONS = f"""o AS (SELECT *, 'host' || (o_custkey % 5) AS host, o_orderkey % 9 AS kind, o_orderdate::TIMESTAMP + to_minutes(((o_orderkey * 37) % 1440)::INTEGER) AS start_ts FROM orders),
+det AS (SELECT CASE WHEN kind = 0 THEN 'db_connection/' || host || ':7001/pool' WHEN kind IN (1, 2, 6, 7) THEN 'jvm_gc/app@' || host WHEN kind IN (3, 4, 8) THEN 'lsf_queue/' || host || '/long' ELSE 'sar/' || host || '/cpu/-1' END AS series_id,
+  (['db_connection', 'jvm_gc', 'jvm_gc', 'lsf_queue', 'lsf_queue', 'sar', 'jvm_gc', 'jvm_gc', 'lsf_queue'])[kind + 1] AS source, (['active_connections', 'ou', 'fgc_delta', 'pend', 'run', 'pct_user', 'eu', 'mu', 'susp'])[kind + 1] AS metric,
   ({_ALGORITHMS})[(o_orderkey // 7) % 11 + 1] AS algorithm, start_ts, start_ts + to_minutes(((o_orderkey * 13) % 300)::INTEGER) AS end_ts, o_totalprice AS price, 0.5 + (o_orderkey % 40) / 10.0 AS score, ({_SHAPES})[(o_orderkey // 11) % 7 + 1] AS shape, o_orderkey AS k, host FROM o)"""
 EVENTS = f"""{DETECTIONS},
 br AS (SELECT *, CASE WHEN start_ts <= max(end_ts) OVER (PARTITION BY series_id, metric ORDER BY start_ts, end_ts, algorithm ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS brk FROM det),
@@ -609,11 +612,11 @@ def shape_priority(spark, sf_dir):
 
 
 SEVERITY = f"""{EVENTS},
-pts AS (SELECT series_id, metric, start_ts AS ts, price AS value FROM det UNION ALL SELECT series_id, 'ou_pct', start_ts, (k % 120)::DOUBLE FROM det WHERE metric = 'ou'),
-rm AS (SELECT event_id, max(value) AS ratio_max FROM ev JOIN pts ON pts.series_id = ev.series_id AND pts.metric = 'ou_pct' AND ev.metric = 'ou' AND ts BETWEEN ev.start_ts AND ev.end_ts GROUP BY ALL),
+pts AS (SELECT series_id, metric, start_ts AS ts, price AS value FROM det UNION ALL SELECT series_id, metric || '_pct', start_ts, (k % 120)::DOUBLE FROM det WHERE metric IN ('ou', 'eu', 'mu')),
+rm AS (SELECT event_id, max(value) AS ratio_max FROM ev JOIN pts ON pts.series_id = ev.series_id AND pts.metric = ev.metric || '_pct' AND ev.metric IN ('ou', 'eu', 'mu') AND ts BETWEEN ev.start_ts AND ev.end_ts GROUP BY ALL),
 bd AS (SELECT series_id, metric, epoch_us(max(ts)) - (epoch_us(max(ts)) - epoch_us(min(ts))) * 0.1 AS cut FROM pts GROUP BY ALL),
 tl AS (SELECT series_id, metric, max(value) FILTER (epoch_us(ts) < cut) AS em, max(value) FILTER (epoch_us(ts) >= cut) AS tm FROM pts JOIN bd USING (series_id, metric) GROUP BY ALL),
-sv0 AS (SELECT ev.*, CASE WHEN shape IN ('floor_rise', 'trend_up', 'level_shift') AND ((ev.metric = 'ou' AND ratio_max > 90) OR (ev.metric IN ('active_connections', 'pend') AND tm > em)) THEN 3 WHEN score >= 2 THEN 2 WHEN score >= 1 THEN 1 ELSE 0 END AS sev
+sv0 AS (SELECT ev.*, CASE WHEN shape IN ('floor_rise', 'trend_up', 'level_shift') AND ((ev.metric IN ('ou', 'eu', 'mu') AND ratio_max > 90) OR (ev.metric IN ('active_connections', 'pend', 'susp') AND tm > em)) THEN 3 WHEN score >= 2 THEN 2 WHEN score >= 1 THEN 1 ELSE 0 END AS sev
   FROM ev LEFT JOIN rm USING (event_id) LEFT JOIN tl ON tl.series_id = ev.series_id AND tl.metric = ev.metric),
 sv AS (SELECT * EXCLUDE (sev), (['INFO', 'WARN', 'FATAL', 'SEVERE'])[1 + CASE WHEN metric IN ('fgc_delta', 'run') THEN least(lifted, 2) ELSE lifted END] AS severity FROM (SELECT *, least(3, sev + CASE WHEN len(algorithms) >= 3 THEN 1 ELSE 0 END) AS lifted FROM sv0))"""
 
