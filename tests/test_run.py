@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import errno
 import io
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidemark import progress
 from tidemark.__main__ import main, spark_settings
 from tidemark.config import Config
 from tidemark.errors import WriteError
+from tidemark.operators import detectors, metrics
 from tidemark.plans import report
-from tidemark.plans.run import run
+from tidemark.plans.run import isolated, run
+from tidemark.schema import METRICS
+from tidemark.session import cut
 
 from . import loggen
 
@@ -147,10 +152,42 @@ def test_exit_codes(tmp_path, monkeypatch):
     assert main([str(tmp_path / "logs")]) == 4
 
 
+@pytest.mark.parametrize(("error", "code"), [(OSError(errno.ENOSPC, "full"), 6), (RuntimeError("java.lang.OutOfMemoryError: Java heap space"), 6), (AnalysisException("x", {}), 6), (WriteError("x"), 5), (ValueError("x"), 99)])
+def test_failures_of_storage_and_of_the_engine_have_a_code(tmp_path, monkeypatch, error, code):
+    def fail(*args, **kwargs):
+        raise error
+
+    monkeypatch.setattr("tidemark.plans.run.run", fail)
+    assert main([str(tmp_path)]) == code
+
+
+def test_a_failure_loses_its_own_series_alone(spark, monkeypatch):
+    rows = [(f"db_connection/h{k}:1/p", "db_connection", "active_connections", datetime(2026, 6, 1) + timedelta(minutes=5 * i), 500.0 if i % 300 == 299 else 10.0 + i % 7, 0) for k in range(11) for i in range(600)]
+    points = cut(metrics.searchable(spark.createDataFrame(rows, METRICS)))
+    series = cut(metrics.catalogue(points))
+    whole = {(r.series_id, r.start_ts) for r in detectors.a1(points, series, Config())[0].collect()}
+    assert len({s for s, _ in whole}) == 11
+
+    def picky(points, series, config):
+        bad = F.col("series_id").isin("db_connection/h3:1/p", "db_connection/h7:1/p")
+        return detectors.a1(points.withColumn("value", F.when(bad, F.raise_error(F.lit("boom"))).otherwise(F.col("value"))), series, config)
+
+    monkeypatch.setitem(detectors.DETECTORS, "ALG-A1", picky)
+    parts, failures = isolated("ALG-A1", points, series, Config())
+    got = {(r.series_id, r.start_ts) for f, _ in parts for r in f.collect()}
+    assert got == {x for x in whole if x[0] not in ("db_connection/h3:1/p", "db_connection/h7:1/p")}
+    assert sorted(f[:3] for f in failures) == [("ALG-A1", f"db_connection/h{k}:1/p", "active_connections") for k in (3, 7)]
+    assert all("boom" in f[3] for f in failures)
+
+
+def test_hosts_as_file_names(spark):
+    events = spark.createDataFrame([("a/b",), ("a:b",), ("c",), ("a/b",), ("",)], "host string")
+    assert {r.host: r["name"] for r in report.file_names(events).collect()} == {"a/b": "a_b", "a:b": "a_b-2", "c": "c", "": "unknown"}
+
+
 def test_formats():
     assert [report.duration(s) for s in (60, 5400, 200000)] == ["1分", "1.5時間", "2.3日"]
     assert [report.overlap(s) for s in (0, 600, 7200)] == ["0 分", "10 分", "2.0 時間"]
     assert report.values_text([1.0] * 10) == "1→1→1→1→…→1→1→1→1" and report.values_text([]) == "(値なし)"
-    assert report.file_names(["a/b", "a:b", "c"]) == {"a/b": "a_b", "a:b": "a_b-2", "c": "c"}
     assert report.series_text("sar", "sar/h/disk/sda") == "host=h, activity=disk, device=sda"
     assert report.series_text("db_connection", "db_connection/h:1/p/q") == "host=h, port=1, datasource=p/q"

@@ -47,7 +47,10 @@ def main(argv: list[str] | None = None) -> int:
     except errors.EngineError as e:
         progress.error("-", str(e))
         return e.exit_code
-    except Exception:  # noqa: BLE001  anything else ends the run with one code
+    except Exception as e:  # noqa: BLE001  anything else ends the run with one code
+        if errors.is_storage(e) or errors.is_engine(e):
+            progress.error("-", f"storage or engine: {(str(e).splitlines() or [type(e).__name__])[0]}")
+            return errors.StorageError.exit_code
         progress.LOG.exception("unexpected", extra={"step": "-"})
         return 99
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import errno
+
 
 class EngineError(Exception):
     exit_code = 99
@@ -37,3 +39,19 @@ class StorageError(EngineError):
 
 class LibraryError(EngineError):
     exit_code = 7
+
+
+def is_storage(e: BaseException | None) -> bool:
+    """Whether disk or memory ran out, on the driver or on an executor."""
+    while e is not None:
+        if isinstance(e, (StorageError, MemoryError)) or (isinstance(e, OSError) and e.errno in (errno.ENOSPC, errno.EDQUOT)):
+            return True
+        if any(said in str(e) for said in ("No space left on device", "Disk quota exceeded", "OutOfMemoryError", "SparkOutOfMemory", "UNABLE_TO_ACQUIRE_MEMORY")):
+            return True
+        e = e.__cause__ or e.__context__
+    return False
+
+
+def is_engine(e: BaseException) -> bool:
+    """Whether Spark itself failed while it ran."""
+    return type(e).__module__.startswith(("pyspark.", "py4j."))

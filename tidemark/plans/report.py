@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -23,7 +24,9 @@ from ..operators import rollups
 from ..operators.co_anomaly import UPWARD, cross_host_groups
 from ..operators.events import rank_of
 from ..schema import SEVERITIES
-from .wording import ALGORITHM_NAMES, ASPECTS, EXPLANATIONS, NONE_FOUND, NOTHING, PHENOMENA, UNKNOWN, WEEKDAYS
+from .wording import (
+    ALGORITHM_NAMES, ASPECTS, EXPLANATIONS, MORE, MORE_CROSS, MORE_HOSTS, MORE_PERIODS, NO_CAUSE, NO_CROSS, NO_OTHERS, NO_POINTS, NONE_FOUND, NOTES, NOTHING, OTHER_HOST, PHENOMENA, SAME_HOST, UNKNOWN, WEEKDAYS,
+)
 
 HOST_ROWS, CROSS_ROWS, LISTED = 10, 8, 3
 _UNSAFE = '\\/:*?"<>|'
@@ -137,19 +140,19 @@ def event_text(event: dict, zone: str = "UTC", chart: str | None = None, raw: li
         f"* 終了   : {stamp(event['end_ts'], zone)}",
         f"* 現象   : {phenomenon(event, zone)}",
         f"* 説明   : {pad.join(f'{a}: {explanation(a, _figures(event, a))}' for a in event['algorithms'])}",
-        f"* 原因候補 : {pad.join(causes) or '該当する候補なし (確度: —)'}",
+        f"* 原因候補 : {pad.join(causes) or NO_CAUSE}",
     ]
     if event["co_anomalies"] is not None:
         lines.append("* 同時に発生したアノマリー :")
         for c in event["co_anomalies"]:
-            where = "同一ホスト" if c["same_host"] else "他ホスト"
+            where = SAME_HOST if c["same_host"] else OTHER_HOST
             lines.append(f"  - {c['event_id']} ({where}) {c['source']} / {c['metric']} : {c['severity']} / 重なり {overlap(c['overlap_seconds'])}")
         if not event["co_anomalies"]:
-            lines.append("  - (同じ時間帯に検知された他のアノマリーはありません)")
+            lines.append(NO_OTHERS)
     if chart:
         lines += ["", f"![{event['event_id']} {event['metric']} の推移]({chart})"]
     if raw is not None:  # too few points for a chart: the points themselves
-        lines += ["", *table(("時刻", "値"), [(stamp(x["ts"], zone), number(x["value"])) for x in raw] or [("(データがありません)", "—")])]
+        lines += ["", *table(("時刻", "値"), [(stamp(x["ts"], zone), number(x["value"])) for x in raw] or [(NO_POINTS, "—")])]
     return "\n".join(lines)
 
 
@@ -193,15 +196,14 @@ def write_text(path: str | Path, text: str) -> str:
     return str(path)
 
 
-def file_names(hosts: list[str]) -> dict[str, str]:
-    """Hosts as parts of file names; those that become equal are numbered."""
-    seen: dict[str, int] = {}
-    out = {}
-    for host in sorted(hosts):
-        safe = "".join("_" if c in _UNSAFE or ord(c) < 32 else c for c in host) or "unknown"
-        seen[safe] = seen.get(safe, 0) + 1
-        out[host] = safe if seen[safe] == 1 else f"{safe}-{seen[safe]}"
-    return out
+def file_names(events: DataFrame) -> DataFrame:
+    """Rows (host, name): hosts as parts of file names; those that become equal are numbered."""
+    unsafe = "[" + re.escape(_UNSAFE) + "\\x00-\\x1f]"
+    hosts = events.select("host").distinct()
+    safe = F.coalesce(F.nullif(F.regexp_replace("host", unsafe, "_"), F.lit("")), F.lit("unknown"))
+    number = F.row_number().over(Window.partitionBy("_safe").orderBy("host"))
+    named = hosts.withColumn("_safe", safe).withColumn("_n", number)
+    return named.select("host", F.when(F.col("_n") == 1, F.col("_safe")).otherwise(F.concat_ws("-", "_safe", "_n")).alias("name"))
 
 
 def table(head: tuple[str, ...], rows: list[tuple]) -> list[str]:
@@ -222,6 +224,8 @@ class Facts:
     skips: list[tuple]
     failures: list[tuple]
     config: Config
+    #: Rejects that are not listed.
+    more_rejects: int = 0
 
     @property
     def zone(self) -> str:
@@ -242,13 +246,11 @@ def algorithm_rows(config: Config) -> list[tuple]:
 
 def _notes(facts: Facts, chapter: int) -> list[str]:
     out = [f"## {chapter}. 実行時の注意事項", ""]
-    parts = (
-        ("読み飛ばした行", ("ファイル", "理由", "件数"), facts.rejects),
-        ("点数不足でスキップした系列", ("アルゴリズム", "理由", "スキップ系列数"), facts.skips),
-        ("失敗したアルゴリズム", ("アルゴリズム", "系列", "メトリクス", "理由"), facts.failures),
-    )
+    parts = [(*NOTES[k], rows) for k, rows in (("rejects", facts.rejects), ("skips", facts.skips), ("failures", facts.failures))]
     for i, (title, head, rows) in enumerate(parts, 1):
         out += [f"### {chapter}.{i} {title}", "", *(table(head, rows) if rows else [NOTHING]), ""]
+        if i == 1 and facts.more_rejects:
+            out += [MORE.format(n=facts.more_rejects), ""]
     return out
 
 
@@ -279,20 +281,23 @@ def _abbreviated(items: list[str]) -> str:
     return ", ".join(items[:LISTED]) + (f" ほか {len(items) - LISTED} 件" if len(items) > LISTED else "")
 
 
-def summary_report(facts: Facts, ym: str, events: DataFrame, names: dict[str, str]) -> str:
+def summary_report(facts: Facts, ym: str, events: DataFrame, names: DataFrame) -> str:
     """A month's summary, of bounded length: tables show their foremost rows only."""
-    hosts = rollups.top_metrics(events).collect()  # one row a host
+    every_host = events.select("host").distinct().count()
+    hosts = rollups.top_metrics(events).limit(HOST_ROWS)
+    name_of = {r.host: r["name"] for r in names.join(hosts.select("host"), "host", "left_semi").collect()}
+    hosts = hosts.collect()
     total = events.agg(F.count("*").alias("n_events"), *rollups._counts()).first()
     lines = [
         f"# 異常検知サマリ {ym[:4]}-{ym[4:]}", "", "## 1. 実行サマリ", "",
-        *table(("項目", "値"), [*_run_rows(facts), ("ホスト数", len(hosts)), ("系列数", facts.series), ("検知イベント数", _counts(total) if hosts else "0 (SEVERE: 0, FATAL: 0, WARN: 0, INFO: 0)")]), "",
+        *table(("項目", "値"), [*_run_rows(facts), ("ホスト数", every_host), ("系列数", facts.series), ("検知イベント数", _counts(total) if hosts else "0 (SEVERE: 0, FATAL: 0, WARN: 0, INFO: 0)")]), "",
         "## 2. ホスト別の集計", "",
     ]
     if hosts:
         head = ("ホスト", "SEVERE", "FATAL", "WARN", "計", "主なメトリクス", "レポート")
-        lines += table(head, [(h.host, h.n_severe, h.n_fatal, h.n_warn, h.n_events, ", ".join(h.metrics), f"report_{names[h.host]}_{ym}.md") for h in hosts[:HOST_ROWS]])
-        if len(hosts) > HOST_ROWS:
-            lines += ["", f"(ほか {len(hosts) - HOST_ROWS} ホスト。脅威度の高い順に上位 {HOST_ROWS} 件のみ表示。全ホストのファイルは report_*_{ym}.md にある)"]
+        lines += table(head, [(h.host, h.n_severe, h.n_fatal, h.n_warn, h.n_events, ", ".join(h.metrics), f"report_{name_of[h.host]}_{ym}.md") for h in hosts])
+        if every_host > HOST_ROWS:
+            lines += ["", MORE_HOSTS.format(n=every_host - HOST_ROWS, shown=HOST_ROWS, ym=ym)]
     else:
         lines.append(NONE_FOUND)
     days = events.select(F.to_date("start_ts")).distinct().count()
@@ -304,7 +309,7 @@ def summary_report(facts: Facts, ym: str, events: DataFrame, names: dict[str, st
         lines += table((unit, "SEVERE", "FATAL", "WARN", "計"), [(b.bucket if weekly else b.bucket[5:], b.n_severe, b.n_fatal, b.n_warn, b.n_events) for b in buckets])
         every = rollups.weekly(events).count() if weekly else days
         if every > rollups.TOP_ROWS:
-            lines += ["", f"(全 {every} {unit}中、イベント数の多い上位 {rollups.TOP_ROWS} {unit}のみ表示)"]
+            lines += ["", MORE_PERIODS.format(n=every, unit=unit, shown=rollups.TOP_ROWS)]
     else:
         lines.append(NONE_FOUND)
     lines += ["", "## 4. 複数ホストで同時に発生したアノマリー", ""]
@@ -313,9 +318,9 @@ def summary_report(facts: Facts, ym: str, events: DataFrame, names: dict[str, st
     if rows:
         lines += table(("時間帯", "ホスト数", "イベント数", "関与したホスト", "主なメトリクス"), [(g.started, len(g.hosts), g.n_events, _abbreviated(g.hosts), _abbreviated(g.metrics)) for g in rows])
         if (n := cross.count()) > CROSS_ROWS:
-            lines += ["", f"(ほか {n - CROSS_ROWS} 件。件数の多い順に上位 {CROSS_ROWS} 件のみ表示)"]
+            lines += ["", MORE_CROSS.format(n=n - CROSS_ROWS, shown=CROSS_ROWS)]
     else:
-        lines.append("複数ホストにまたがる同時発生はありません。")
+        lines.append(NO_CROSS)
     return "\n".join([*lines, "", *_notes(facts, 5)]).rstrip() + "\n"
 
 
@@ -336,29 +341,25 @@ def write_reports(facts: Facts, events: DataFrame, out: str | Path, sink: Callab
             Path(out).mkdir(parents=True, exist_ok=True)
         except OSError as e:
             raise WriteError(f"{out}: {e}") from e
-    months = rollups.host_months(events).collect()  # one row a host and month
-    names = file_names(list({m.host for m in months}))
-    digest: dict[tuple[str, str], list] = {}
-    for d in digest_of(events).collect():
-        digest.setdefault((d.host, d.ym), []).append(d)
-    written = []
-    counts = {(m.host, m.ym): m for m in months}
+    names = file_names(events)
+    figures = F.array_sort(F.collect_list(F.struct((-F.col("n_severe")).alias("a"), (-F.col("n_events")).alias("b"), "metric", "n_severe", "n_fatal", "n_warn", "n_events", "algorithms")))
+    digest = digest_of(events).groupBy("host", "ym").agg(figures.alias("digest"))  # a row a metric
+    heads = rollups.host_months(events).join(digest, ["host", "ym"]).join(names, "host").orderBy("ym", "host").toLocalIterator()
     ordered = rendered(events, facts.zone).orderBy("ym", "host", "rank", "start_us", "event_id")
-    key, texts = None, []
+    written, texts, head = [], [], None
 
     def close():
-        if key is not None:
-            host, ym = key
-            rows = sorted(digest[key], key=lambda d: (-d.n_severe, -d.n_events, d.metric))
-            written.append(sink(Path(out) / f"report_{names[host]}_{ym}.md", host_report(facts, host, ym, counts[key], rows, iter(texts))))
+        if head is not None:
+            written.append(sink(Path(out) / f"report_{head['name']}_{head.ym}.md", host_report(facts, head.host, head.ym, head, head.digest, iter(texts))))
 
     for r in ordered.toLocalIterator():  # the driver holds one report's texts
-        if (r.host, r.ym) != key:
+        if head is None or (r.host, r.ym) != (head.host, head.ym):
             close()
-            key, texts = (r.host, r.ym), []
+            head, texts = next(heads), []
         texts.append(r.text)
     close()
     last = facts.period[1] or facts.now
-    for ym in sorted({m.ym for m in months}) or [f"{last:%Y%m}"]:
+    months = [r.ym for r in events.select(rollups.month().alias("ym")).distinct().orderBy("ym").collect()]
+    for ym in months or [f"{last:%Y%m}"]:
         written.append(sink(Path(out) / f"report_summary_{ym}.md", summary_report(facts, ym, events.where(rollups.month() == ym), names)))
     return written

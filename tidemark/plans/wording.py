@@ -18,6 +18,17 @@ ALGORITHM_NAMES = {
 ASPECTS = {"A": "観点1", "B": "観点2", "C": "観点3"}
 WEEKDAYS = "月火水木金土日"
 UNKNOWN, NONE_FOUND, NOTHING = "不明", "検知された異常はありません。", "(なし)"
+NO_CAUSE, NO_OTHERS, NO_CROSS, NO_POINTS = "該当する候補なし (確度: —)", "  - (同じ時間帯に検知された他のアノマリーはありません)", "複数ホストにまたがる同時発生はありません。", "(データがありません)"
+SAME_HOST, OTHER_HOST = "同一ホスト", "他ホスト"
+MORE = "(ほか {n} 件)"
+MORE_HOSTS = "(ほか {n} ホスト。脅威度の高い順に上位 {shown} 件のみ表示。全ホストのファイルは report_*_{ym}.md にある)"
+MORE_PERIODS = "(全 {n} {unit}中、イベント数の多い上位 {shown} {unit}のみ表示)"
+MORE_CROSS = "(ほか {n} 件。件数の多い順に上位 {shown} 件のみ表示)"
+NOTES = {
+    "rejects": ("読み飛ばした行", ("ファイル", "理由", "件数")),
+    "skips": ("点数不足でスキップした系列", ("アルゴリズム", "理由", "スキップ系列数")),
+    "failures": ("失敗したアルゴリズム", ("アルゴリズム", "系列", "メトリクス", "理由")),
+}
 
 #: By algorithm, with the names of its figures.
 EXPLANATIONS = {

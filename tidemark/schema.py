@@ -64,7 +64,7 @@ class Metric:
     tail: bool = False
 
 
-#: Metrics that sar reports, by activity.
+#: Metrics that sar reports, by activity.
 SAR_ACTIVITIES = {
     "cpu": ("pct_user", "pct_system", "pct_iowait", "pct_idle"),
     "memory": ("pct_memused", "pct_commit", "kbmemfree"),

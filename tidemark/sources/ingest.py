@@ -55,5 +55,10 @@ def ingest(spark: SparkSession, root: str, config: Config) -> Ingested:
     if n == 0:
         raise NothingReadableError(f"none of {n_files} files has a readable row")
     ledger = cut(rejects.groupBy("file_path", "reason").agg(F.count("*").alias("n")))
-    said = parsers.sar_warnings(lines.where("kind = 'sar'"), config.zone("sar")).orderBy("file_path", "message").limit(SHOWN).collect()
-    return Ingested(tables, ledger, n_files, ignored, n, [f"{r.message}: {r.file_path}" for r in said])
+    warnings = cut(parsers.sar_warnings(lines.where("kind = 'sar'"), config.zone("sar")))
+    said = [f"{r.message}: {r.file_path}" for r in warnings.orderBy("file_path", "message").limit(SHOWN).collect()]
+    left = warnings.count() - len(said)
+    if left > 0:
+        kinds = warnings.groupBy("message").count().orderBy(F.desc("count"), "message").limit(SHOWN).collect()
+        said += [f"{left} more warnings like these; in all:", *(f"{r['count']} times: {r.message}" for r in kinds)]
+    return Ingested(tables, ledger, n_files, ignored, n, said)

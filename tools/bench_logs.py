@@ -33,7 +33,7 @@ _HEADS = {
 def usual(rng: np.random.Generator, n: int, base: float) -> np.ndarray:
     """A daily wave, quieter weekends, noise, and now and then a spike or a shift."""
     t = np.arange(n)
-    weekend = np.where((t // PER_DAY) % 7 >= 5, 0.55, 1.0)
+    weekend = np.where((t // PER_DAY) % 7 >= 5, 0.7, 1.0)
     x = base * (1 + 0.3 * np.sin(2 * np.pi * t / PER_DAY)) * weekend + rng.normal(0, 0.05 * base, n)
     for at in rng.integers(0, n, max(1, n // 4000)):
         x[at : at + rng.integers(1, 6)] *= 3
