@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -51,14 +53,17 @@ def session(name: str = "tidemark", master: str | None = None, **settings: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's spark.checkpoint.dir; only where that is unset (a
-    local test session) a temporary folder is made and set.
+    It is the session's spark.checkpoint.dir. Where that is unset, a session in
+    one process (local[N], as in tests) makes and sets a temporary folder; on a
+    cluster it has to be set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext._jsc.sc()
     if not path:
         if context.getCheckpointDir().isDefined():
             return context.getCheckpointDir().get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
@@ -71,6 +76,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Tables below the shared folder that go when the driver ends.
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh path for a table below the shared folder; unless it is kept, it is deleted when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        if not _SCRATCH:
+            atexit.register(_sweep)
+        _SCRATCH.append((spark, path))
+    return path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _sweep() -> None:
+    for spark, path in _SCRATCH:
+        try:
+            drop(spark, path)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            return
