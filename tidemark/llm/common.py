@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import cut, scratch, shared_dir, ship_package  # noqa: F401
+from tidemark.session import cut, drop, scratch, shared_dir, ship_package  # noqa: F401
 
 #: ASCII white space that separates words: space and the code points 9 to 13.
 SPACE = "\\x20\\x09-\\x0D"
@@ -33,6 +33,14 @@ def n_words(text: Column) -> Column:
     ).cast("long")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once below the shared folder, smaller than a checkpoint, and read again; shuffles that nothing needs any more are dropped."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # Spark deletes shuffle files when the driver finds that their plans are gone
+    return df.sparkSession.read.parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

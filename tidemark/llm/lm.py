@@ -1,26 +1,31 @@
 """Language-model scores by online logistic context mixing.
 
 A text is predicted bit by bit, byte after byte. Contexts (the last 0 to 4
-bytes, and the whole word so far, or the last 4 bytes if those are more) with
-the byte's bits so far each give a prediction from counts over the whole corpus;
-a mixer adds these up in the logistic domain with weights that are gated by how
-sure each context is and how many are known; an adaptive map refines the sum by
-the order-0 context. The contexts are nested, so a byte's cost depends on the
-longest of them only. What the corpus gives comes down to counts of such
-strings, and a text's cost is a sum over its strings, each evaluated once.
-Counts, weights and map stay as they are while texts are scored.
-
-Every context has its own counts, however many there are: nothing is hashed into
-slots. Words are told apart by 56-bit hashes. Strings with the same last 3 context bytes lie in one partition, where
-the longer contexts are counted from the strings themselves; contexts of at most
-2 bytes, a bounded number, are counted in a table that is sent. So the model is a
-table of strings and costs in the checkpoint folder that grows with the corpus.
-The most frequent strings, a bounded number, are sent to the workers with their
-costs, and the others are joined to the texts.
-
-One fold of the training texts tunes the mixer (online gradient steps, each
-partition on its own, averaged between rounds) and the refinement against counts
-of the other folds; the final counts take in all.
+bytes, and the whole word so far) with the byte's bits so far each give a
+prediction from counts over the whole corpus; a mixer adds these up in the
+logistic domain with weights that are gated by how sure each context is and how
+many are known; an adaptive map refines the sum by the order-0 context.
+
+Texts are cut into segments: a word with the white space or end after it, or 32
+bytes of a longer word, where the word's context starts anew. The first four
+bytes of a segment are predicted from the bytes before alone, the others also
+from the segment so far; so a segment's cost is that of its head, eight bytes,
+and of its tail, which does not depend on what stands before. Heads and tails
+are counted and scored once for each block of text, not once for each place.
+
+What the corpus gives are counts of strings: a context and the byte after it.
+Every context has its own counts, however many there are; contexts of words are
+told apart by 56-bit hashes. A word context's strings are at most 256 and a
+three-byte context's 65,536: those are the groups that meet in a task. So the
+model is a table of strings and costs in the shared folder that grows with the
+corpus. The most frequent strings, a bounded number, are sent to the workers
+with their costs, and the others are joined to the texts.
+
+Mixer and map learn online from all training texts, steps shrinking as evidence
+gathers; each string is predicted from counts that lack one of its occurrences.
+Partitions learn on their own and are averaged between rounds. Counts, weights
+and map stay as they are while texts are scored, so that a text's score does
+not hang on the order of texts.
 
 The base score is a unigram model of words. Counts of words are joined, except
 for the most frequent ones, a bounded number, which are sent to the workers.
@@ -30,106 +35,383 @@ from __future__ import annotations
 
 import itertools
 import uuid
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import SPACE_CHARS, cut, stored
 
-FOLDS, HELD_OUT, TUNED_ON = 5, 1, 4
-#: Context bytes besides the word; predictors; of these, how many have a table of all contexts; slots of the largest as a power of two.
-SHORT, INPUTS, DENSE, SLOT_BITS = 4, 6, 3, 24
-#: Context bytes of each predictor but the word, and where its table starts: a slot for each context and node of the bits before.
-ORDERS = range(INPUTS - 1)
+FOLDS, HELD_OUT = 5, 1
+#: Context bytes besides the word; bytes of a segment; predictors; how many of these have a table of all contexts.
+SHORT, LONGEST, INPUTS, DENSE = 4, 32, 6, 3
+#: Where the table of a short order starts: a slot for each context and node of the bits before.
 FIRST = tuple(sum(256 << 8 * j for j in range(k)) for k in range(DENSE + 1))
 UNSEEN = 128  # state of a context that has not been seen: even odds
-ROUNDS, RATE, CALM, BATCH = 3, 2.0, 100.0, 8192
+ROUNDS, RATE, CALM, BATCH, CHUNK = 1, 4.0, 100.0, 2048, 1 << 17
 SURE, GATES, BUCKETS = 16, INPUTS, 33
-#: Word counts, and costs of strings, that are sent to workers at most; places for the latter as a power of two.
-FREQUENT, COMMON, MEMORY_BITS = 1 << 19, 1 << 20, 21
-#: Bytes of text, and strings, handled at once.
-BLOCK, CHUNK = 1 << 20, 1 << 17
-#: Strings, and words, whose counts a task holds before it gives them out.
-HELD, HELD_WORDS = 1 << 21, 1 << 18
-EDGE = 0xFF  # never in UTF-8: stands before and after a text
-#: Words are hashed as sums of their bytes' values times powers of an odd number, whose inverse modulo 2^64 takes a word's place out.
+#: Word counts, costs of strings, and states of four-byte strings, that are sent to workers at most.
+FREQUENT, COMMON, KEYS = 1 << 19, 1 << 20, 1 << 20
+#: Bytes of a long text, and of texts, handled at once; strings whose counts a task holds; bytes of input for a task.
+PIECE, BLOCK, HELD, TASK_BYTES = 1 << 20, 4 << 20, 1 << 20, 16 << 20
+#: First bytes of segments that are counted together.
+TOGETHER = 6
+EDGE, MARK = b"\xff", 0xFB  # never in UTF-8: what stands before and after a text, and what lengths are added to
+#: Bytes are hashed as sums of values times powers of an odd number, whose inverse modulo 2^64 takes the place out.
 VALUES = np.random.default_rng(9).integers(0, 2**64, 256, np.uint64)
-POWER = 0x9E3779B97F4A7C13
+POWER = 0x9E3779B97F4A7C15
+END = 0  # the hash of the empty word, for the ends of texts
+#: Kinds of counted rows: strings with up to four bytes of context, strings of segments, words; and segments: whole ones and parts of long words.
+KEY, LONG, WORD, SEGMENT, PART, HEAD = range(6)
+
+_STOPS = np.isin(np.arange(256), list(SPACE_CHARS.encode()))
+_KEY_BITS = np.uint64((1 << 8 * (SHORT + 1)) - 1)
 
 
 def fold(id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id.cast("string"), F.lit(""))), F.lit(FOLDS)).cast("int")
 
 
-_POWERS: list[np.ndarray] = []
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a number below STEP, and of its STEP-th power."""
+    out = []
+    for b in (base, pow(base, STEP, 1 << 64)):
+        powers = np.full(STEP, b, np.uint64)
+        powers[0] = 1
+        out.append(np.multiply.accumulate(powers))
+    return tuple(out)
+
+
+#: Hashes of lines of up to STEP^2 bytes.
+STEP = 4096
+_FORTH, _BACK = _powers(POWER), _powers(pow(POWER, -1, 1 << 64))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers mixed up one to one; zero stays."""
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _summed(data: np.ndarray) -> np.ndarray:
+    """Up to each byte, the sum of values times powers of POWER by place."""
+    rest = -len(data) % STEP
+    out = VALUES[np.append(data, np.zeros(rest, np.uint8)) if rest else data].reshape(-1, STEP)
+    out *= _FORTH[0]
+    out *= _FORTH[1][: len(out), None]
+    return np.cumsum(out.ravel(), out=out.ravel())
+
+
+def word_hash(word: bytes) -> int:
+    """The hash that Laid gives a word, for words of any length."""
+    out = 0
+    for at in range(0, len(word), PIECE):
+        part = np.frombuffer(word, np.uint8, min(PIECE, len(word) - at), at)
+        out += int(_summed(part)[len(part) - 1]) * pow(POWER, at, 1 << 64)
+    return int(_mixed(np.array([out % 2**64], np.uint64))[0])
+
+
+def _unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct numbers in order, where each stands, and which one each of x is."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(x)]
+    at = np.empty(len(x), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], at
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of POWER and of its inverse, n of each at least."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = []
-        for base in (POWER, pow(POWER, -1, 1 << 64)):
-            powers = np.full(max(n, BLOCK + BLOCK // 4), base, np.uint64)
-            powers[0] = 1
-            _POWERS.append(np.multiply.accumulate(powers))
-    return _POWERS
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For n things of each: whose each is, and its number among them."""
+    own = np.repeat(np.arange(len(n)), n)
+    return own, np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Strings ending at each byte and at the end of each text, twice, and how many each text has.
+class Line:
+    """A line of bytes, the first of which are in no part, with hashes of its parts."""
 
-    The last byte is the predicted one. As a number it has the SHORT bytes
-    before it; as a word, the hash of the bytes back to the white space before
-    the word, at least SHORT.
+    def __init__(self, data: np.ndarray):
+        self.data, self.sums = data, _summed(data)
+        self._windows = np.lib.stride_tricks.as_strided(data, (max(0, len(data) - 7), 8), (1, 1))
+
+    def hashes(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        out = self.sums[start + length - 1] - self.sums[start - 1]
+        out *= _BACK[0][start % STEP]
+        out *= _BACK[1][start // STEP]
+        return _mixed(out)
+
+    def _window(self, at: np.ndarray) -> np.ndarray:
+        """Eight bytes as a number, the last lowest."""
+        return self._windows[at].view(">u8").ravel().astype(np.uint64)
+
+    def tails(self, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Strings of the tails of segments: whose each is, its hash (with the predicted byte lowest), its key."""
+        own, number = _spread(np.maximum(length - SHORT, 0))
+        at = start[own] + SHORT + number
+        hashes = self.hashes(start[own], SHORT + number) & np.uint64(2**64 - 256)
+        return own, hashes | self.data[at], self._window(at - 7) & _KEY_BITS
+
+    def parts(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Segments as they are, with their lengths."""
+        out = np.zeros((len(start), LONGEST + 1), np.uint8)
+        own, number = _spread(length)
+        out[own, number + 1] = self.data[start[own] + number]
+        out[:, 0] = length
+        return out.view(f"V{LONGEST + 1}").ravel()
+
+
+class Laid(Line):
+    """Texts, or pieces of them, in one line of bytes, and their segments and words.
+
+    An entry is a piece with the four bytes before it and whether the text ends
+    with it; pieces hold whole segments. A segment is whole if it is a word, or
+    none, with what ends it.
     """
-    pad = bytes([EDGE]) * SHORT
-    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    if not len(texts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), sizes
-    data = np.frombuffer(pad + pad.join(texts) + pad, np.uint8)
-    at = np.arange(len(data), dtype=np.int32)
-    space = np.maximum.accumulate(np.where((data <= 32) | (data == EDGE), at, 0))
-    start = np.minimum(space[SHORT - 1 : -1], at[:-SHORT])
-    wide = data.astype(np.uint64)
-    keys = wide[SHORT:].copy()
-    for k in range(1, SHORT + 1):
-        keys |= wide[SHORT - k : len(data) - k] << np.uint64(8 * k)
-    powers, inverse = _powers(len(data))
-    sums = np.append(np.uint64(0), np.cumsum(VALUES[data] * powers[: len(data)]))
-    words = (sums[SHORT:-1] - sums[start]) * inverse[start]
-    words = (words ^ (words >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    words = (words & np.uint64(2**64 - 256)) | wide[SHORT:]
-    # Between texts stand SHORT edges, of which the first is the end of the text before.
-    starts = np.cumsum(sizes + SHORT - 1) - (sizes + SHORT - 1)
-    scored = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    return keys[scored], words[scored], sizes
-
-
-def _blocks(batch: pa.RecordBatch, column: int):
-    """Slices of a batch with the column's texts, lower-cased, of about BLOCK bytes."""
-    at, held, size = 0, [], 0
-    for i, t in enumerate(batch.column(column)):
-        text = (t.as_py() or "").encode().lower()
-        held.append(text)
-        size += len(text)
-        if size >= BLOCK:
-            yield batch.slice(at, i + 1 - at), held
-            at, held, size = i + 1, [], 0
+
+    def __init__(self, entries: list[tuple[bytes, bytes, bool]]):
+        line = b"".join([x for before, piece, ends in entries for x in (before, piece, EDGE * ends)])
+        super().__init__(np.frombuffer(line + EDGE * 8, np.uint8))
+        size = np.fromiter((len(piece) + ends for _, piece, ends in entries), np.int64, len(entries))
+        first = np.cumsum(size + SHORT) - size
+        last = first + size - 1
+        stop = _STOPS[self.data]
+        for k in range(1, SHORT + 1):
+            stop[first - k] = False
+        stop[last] = True
+        stops = np.flatnonzero(stop)
+        closes = np.zeros(len(self.data), bool)
+        closes[last] = True
+        closes = closes[stops]
+        start = np.append(first[0], stops[:-1] + 1 + SHORT * closes[:-1])
+        length, entry = stops - start + 1, np.cumsum(closes) - closes
+        self.word_start, self.word_length, self.word_entry = start, length - 1, entry
+        self.whole = np.ones(len(start), bool)
+        if length.max() > LONGEST:
+            own, number = _spread(-(-length // LONGEST))
+            self.whole = (length <= LONGEST)[own]
+            start, entry, length = start[own] + LONGEST * number, entry[own], np.minimum(LONGEST, length[own] - LONGEST * number)
+        self.start, self.length, self.entry = start, length, entry
+
+    def heads(self) -> np.ndarray:
+        """The four bytes before and up to four of each segment; a shorter one has a mark for its length last."""
+        size = np.minimum(self.length, SHORT)
+        short = (8 * (SHORT - size)).astype(np.uint64)
+        return (self._window(self.start - SHORT) >> short) << short | np.where(size < SHORT, MARK + size, 0).astype(np.uint64)
+
+
+def head_keys(heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of heads: whose each is, and its key: the predicted byte lowest, over it the four bytes before."""
+    size = (heads & np.uint64(0xFF)).astype(np.int64) - MARK
+    size[(size < 1) | (size >= SHORT)] = SHORT
+    own, keys = [], []
+    for j in range(SHORT):
+        has = np.flatnonzero(size > j)
+        own.append(has)
+        keys.append((heads[has] >> np.uint64(8 * (SHORT - 1 - j))) & _KEY_BITS)
+    return np.concatenate(own), np.concatenate(keys)
+
+
+def _pieces(text: bytes) -> Iterator[tuple[bytes, bytes, bool]]:
+    """A text's pieces, cut after white space, or after PIECE bytes where there is none."""
+    at = 0
+    while len(text) - at > PIECE:
+        end = max(text.rfind(c, at, at + PIECE) for c in SPACE_CHARS.encode()) + 1
+        end = end if end > at else at + PIECE
+        yield (EDGE * SHORT + text[max(0, at - SHORT) : at])[-SHORT:], text[at:end], False
+        at = end
+    yield (EDGE * SHORT + text[max(0, at - SHORT) : at])[-SHORT:], text[at:], True
+
+
+def _torn(text: bytes) -> bool:
+    """Whether a piece of the text ends within a word."""
+    return len(text) > PIECE and any(not ends and not _STOPS[piece[-1]] for _, piece, ends in _pieces(text))
+
+
+def _laid(texts: list[bytes]) -> Iterator[tuple[Laid, np.ndarray]]:
+    """Texts as lines of about BLOCK bytes, each with the number of the text that each entry is of."""
+    held, owners, size = [], [], 0
+    for i, text in enumerate(texts):
+        for piece in _pieces(text):
+            held.append(piece)
+            owners.append(i)
+            size += len(piece[1])
+            if size >= BLOCK:
+                yield Laid(held), np.array(owners)
+                held, owners, size = [], [], 0
     if held:
-        yield batch.slice(at), held
+        yield Laid(held), np.array(owners)
+
+
+def _sliced(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """A batch in slices of about BLOCK bytes, with their texts in lower case."""
+    texts = batch.column(column).cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.append(np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // BLOCK)) + 1, len(sizes))
+    at = 0
+    for end in ends.tolist():
+        if end > at:
+            yield batch.slice(at, end - at), [(t or b"").lower() for t in texts.slice(at, end - at).to_pylist()]
+        at = end
+
+
+class Sums:
+    """Sums by number, added up when as much again has come."""
+
+    def __init__(self, columns: int):
+        self.columns, self.held, self.size, self.last = columns, [], 0, 1 << 16
+
+    def add(self, own: np.ndarray, *columns: np.ndarray, same: np.ndarray | None = None) -> None:
+        """same: a column that is the same wherever the number is."""
+        self.held.append((own, same, *(c.astype(np.int32) for c in columns)))  # a task's counts are below 2^31
+        self.size += len(own)
+        if self.size > 2 * self.last:
+            self.held = [self.whole()]
+            self.size = self.last = len(self.held[0][0])
+
+    def whole(self) -> tuple:
+        """Numbers in order, what is the same, and sums; nothing is held any more."""
+        if not self.held:
+            return (np.zeros(0, np.uint64), None, *(np.zeros(0, np.int32) for _ in range(self.columns)))
+        columns = [list(x) for x in zip(*self.held, strict=True)]
+        self.held, self.size = [], 0
+        if len(columns[0]) == 1 and self.last == len(columns[0][0]):
+            return tuple(x[0] for x in columns)
+        own = np.concatenate(columns.pop(0))
+        order = np.argsort(own)
+        own = own[order]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
+        own, same = own[first], columns.pop(0)  # column after column, so that little is held twice
+        same = None if same[0] is None else np.concatenate(same)[order[first]]
+        sums = []
+        while columns:
+            sums.append(np.add.reduceat(np.concatenate(columns.pop(0))[order], first) if len(first) else np.zeros(0, np.int32))
+        return (own, same, *sums)
+
+
+_TASK_COUNTS = "kind int, home long, id long, token binary, n long, c long"
+_COUNTED = "kind int, id long, n long, m long, c long, key long"
+
+
+def _batch(schema: str, *arrays) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], [f.split()[0] for f in schema.split(", ")])
+
+
+def _home(keys: np.ndarray) -> np.ndarray:
+    """Keys with the farthest of the four bytes put last, so that the contexts of three bytes lie together."""
+    return (keys & np.uint64(2**32 - 1)) << np.uint64(8) | keys >> np.uint64(32)
+
 
+def _counted_rows(kind: int, own: np.ndarray, key: np.ndarray, n: np.ndarray, m: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    return _batch(_COUNTED, np.full(len(own), kind, np.int32), (_home(own) if kind == KEY else own).view(np.int64), *(x.astype(np.int64) for x in (n, m, c)), key.view(np.int64))
 
-def _slots(keys: np.ndarray):
-    """For each bit of the last byte: the bit, the node of the bits before it, and the slot in each short order's table."""
-    last = (keys & np.uint64(0xFF)).astype(np.int64)
-    contexts = [((keys >> np.uint64(8)) & np.uint64((1 << (8 * k)) - 1)).astype(np.int64) for k in ORDERS[:DENSE]]
-    for i in range(7, -1, -1):
-        node = (1 << (7 - i)) | (last >> (i + 1))
-        yield (last >> i) & 1, node, [FIRST[k] + (c << 8 | node) for k, c in enumerate(contexts)]
+
+def _count(batches):
+    """Counts of segments, of strings in heads, and of words that are no segments, in texts with their folds.
+
+    What a task holds is summed up before it is given out.
+    """
+    kinds = {HEAD: 2, SEGMENT: 2, PART: 2, WORD: 1}
+    sums = {k: Sums(n) for k, n in kinds.items()}
+
+    def out():
+        for kind, n_sums in kinds.items():
+            own, parts, *n = sums[kind].whole()
+            sums[kind] = Sums(n_sums)
+            if not len(own):
+                continue
+            if kind == HEAD:
+                keys = Sums(n_sums)
+                for at in range(0, len(own), 1 << 16):
+                    of, found = head_keys(own[at : at + (1 << 16)])
+                    keys.add(found, *(x[at : at + (1 << 16)][of] for x in n))
+                own, _, *n = keys.whole()
+            tokens, home = pa.nulls(len(own), pa.binary()), own
+            if parts is not None:
+                table = parts.view(np.uint8).reshape(-1, LONGEST + 1)
+                size = table[:, 0].astype(np.int32)
+                data = table[:, 1:][np.arange(LONGEST) < size[:, None]]
+                tokens = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(data)])
+                home = np.ascontiguousarray(table[:, 1:9]).view("<u8").ravel() & np.uint64((1 << 8 * TOGETHER) - 1)
+            yield _batch(_TASK_COUNTS, np.full(len(own), KEY if kind == HEAD else kind, np.int32), home.view(np.int64), own.view(np.int64), tokens, *(x.astype(np.int64) for x in (n[0], n[-1])))
+            del own, parts, n, tokens
+
+    def block(laid: Laid, training: np.ndarray, torn: np.ndarray) -> None:
+        learned = training[laid.entry]
+        which, _, at = _unique(laid.heads())
+        sums[HEAD].add(which, *_both(learned, at, len(which)))
+        whole = laid.whole & ~torn[laid.entry]
+        for kind, some in ((SEGMENT, np.flatnonzero(whole)), (PART, np.flatnonzero(~whole))):
+            if len(some):
+                start, length = laid.start[some], laid.length[some]
+                which, first, at = _unique(laid.hashes(start, length))
+                sums[kind].add(which, *_both(learned[some], at, len(which)), same=laid.parts(start[first], length[first]))
+        words = np.flatnonzero((laid.word_length >= LONGEST) & (training & ~torn)[laid.word_entry])
+        if len(words):
+            sums[WORD].add(laid.hashes(laid.word_start[words], laid.word_length[words]), np.ones(len(words), np.int64))
+
+    for batch, texts in itertools.chain.from_iterable(_sliced(b, 0) for b in batches):
+        training = batch.column(1).to_numpy() != HELD_OUT
+        sums[WORD].add(np.array([END], np.uint64), np.array([training.sum()]))
+        torn = np.array([_torn(t) for t in texts], bool)
+        for i in np.flatnonzero(torn & training):
+            words = texts[i].split()
+            sums[WORD].add(np.fromiter(map(word_hash, words), np.uint64, len(words)), np.ones(len(words), np.int64))
+        for laid, owners in _laid(texts):
+            block(laid, training[owners], torn[owners])
+            del laid  # before the next is made
+            if sum(s.last for s in sums.values()) > HELD:
+                yield from out()
+    yield from out()
+
+
+def _both(learned: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each of n things comes in training texts, and in all."""
+    return np.bincount(at[learned], minlength=n), np.bincount(at, minlength=n)
+
+
+def _expand(batches):
+    """Strings and words of the segments, summed up as far as a task holds them; other rows as they are."""
+    keys, strings, words = Sums(1), Sums(2), Sums(1)
+
+    def out():
+        nonlocal keys, strings, words
+        own, _, n = keys.whole()
+        if len(own):
+            none = np.zeros(len(own), np.int64)
+            yield _counted_rows(KEY, own, own, n, none, none)
+        own, key, n, c = strings.whole()
+        if len(own):
+            yield _counted_rows(LONG, own, key, n, n, c)
+        own, _, n = words.whole()
+        if len(own):
+            yield _counted_rows(WORD, own, own, n, n, n)
+        keys, strings, words = Sums(1), Sums(2), Sums(1)
+
+    for batch in batches:
+        kind, own, n, c = (batch.column(k).to_numpy() for k in (0, 1, 3, 4))
+        for k in (KEY, WORD):
+            at = np.flatnonzero(kind == k)
+            if len(at):
+                ids = own[at].view(np.uint64)
+                yield _counted_rows(k, ids, ids, n[at], n[at], c[at])
+        at = np.flatnonzero((kind == SEGMENT) | (kind == PART))
+        if len(at):
+            tokens = batch.column(2).take(pa.array(at))
+            size = np.diff(np.frombuffer(tokens.buffers()[1], np.int32, len(at) + 1, 4 * tokens.offset)).astype(np.int64)
+            line = Line(np.frombuffer(EDGE * 8 + b"".join(tokens.to_pylist()), np.uint8))
+            start = 8 + np.cumsum(size) - size
+            of, hashes, key = line.tails(start, size)
+            strings.add(hashes, n[at][of], c[at][of], same=key)
+            keys.add(key, n[at][of])
+            word = np.flatnonzero((kind[at] == SEGMENT) & (size > 1) & (n[at] > 0))
+            words.add(line.hashes(start[word], size[word] - 1), n[at][word])
+            if strings.last + words.last + keys.last > HELD:
+                yield from out()
+    yield from out()
 
 
 def _packed(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -139,122 +421,140 @@ def _packed(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.round((stretch + 8) * 16).astype(np.uint16) | (sure.astype(np.uint16) << 8)
 
 
-def _cut(keys: np.ndarray, k: int) -> np.ndarray:
-    """Strings with k context bytes."""
-    return keys & np.uint64((1 << 8 * (k + 1)) - 1)
-
+def context_states(own: np.ndarray, n: np.ndarray, less: np.ndarray | None = None) -> np.ndarray:
+    """States for the eight bits of each string's last byte, a string a row, from counts n; less is taken out of a string's own.
 
-def _counted(own: np.ndarray, n: np.ndarray):
-    """For each bit of the last byte: its number, the order that sorts contexts, where each node starts in it, and their states."""
+    Strings are contexts with the byte lowest; whole contexts must be there.
+    """
     order = np.argsort(own)
-    own, n = own[order], n[order]
-    for i in range(7, -1, -1):
-        node = own >> np.uint64(i + 1)  # the context and the bits before
-        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-        ones = np.add.reduceat(n * ((own >> np.uint64(i)) & np.uint64(1)), first)
-        yield i, order, first, _packed(np.add.reduceat(n, first) - ones, ones)
+    own, n = own[order], n[order].astype(np.float64)
+    less = np.zeros(len(own)) if less is None else less[order]
+    out = np.empty((len(own), 8), np.uint16)
+    for k in range(8):
+        node = own >> np.uint64(8 - k)  # the context and the bits before
+        one = ((own >> np.uint64(7 - k)) & np.uint64(1)).astype(np.float64)
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))[: len(own)]
+        size = np.diff(np.append(first, len(own)))
+        total, ones = np.add.reduceat(n, first), np.add.reduceat(n * one, first)
+        out[order, k] = _packed(np.repeat(total - ones, size) - less * (1 - one), np.repeat(ones, size) - less * one)
+    return out
 
 
-def _states(keys: np.ndarray, n: np.ndarray, table: np.ndarray, words: np.ndarray | None = None):
-    """For each bit of the last byte: the bit, the node before it, and the states, an order a row.
+def _cut(keys: np.ndarray, k: int) -> np.ndarray:
+    """Keys with k context bytes."""
+    return keys & np.uint64((1 << 8 * (k + 1)) - 1)
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    """Rows of a table as binary values."""
+    x = np.ascontiguousarray(x)
+    size = x.nbytes // max(1, len(x))
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, (len(x) + 1) * size, max(size, 1), np.int32)[: len(x) + 1]), pa.py_buffer(x)])
+
+
+def _unbinary(column: pa.Array, shape: tuple[int, ...]) -> np.ndarray:
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data.view(np.uint16).reshape(len(column), *shape)
+
+
+def _state(batches):
+    """Rows sorted by id, summed up, with the states of the orders that are counted from them: with all counts, then without an own one."""
+    names = ["kind", "id", "n", "m", "c", "key", "states"]
+
+    def done(columns):
+        for kind in (KEY, LONG, WORD):
+            at = np.flatnonzero(columns[0] == kind)
+            if not len(at):
+                continue
+            own, n, m, c, key = (x[at] for x in columns[1:])
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            n, m, c = (np.add.reduceat(x, first) for x in (n, m, c))
+            own, key = own[first], key[first]
+            states = pa.nulls(len(own), pa.binary())
+            orders = {KEY: range(DENSE, SHORT + 1), LONG: (None,), WORD: ()}[kind]
+            if orders:
+                table = np.zeros((len(own), 2, len(orders), 8), np.uint16)
+                for j, order in enumerate(orders):
+                    strings = own.view(np.uint64) if order is None else _cut(key.view(np.uint64), order)
+                    table[:, 0, j], table[:, 1, j] = context_states(strings, n), context_states(strings, n, (m > 0).astype(np.float64))
+                states = _binary(table)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(own), kind, np.int32), own, n, m, c, key)] + [states], names)
 
-    Long contexts are counted from the strings, which are to be all that have
-    their last DENSE context bytes. Strings without words are words themselves.
-    """
-    longer = [*(_cut(keys, k) for k in ORDERS[DENSE:]), keys if words is None else words]
-    deep = [_counted(own, n) for own in longer] if len(keys) else []
-    for bit, node, slots in _slots(keys):
-        states = np.full((INPUTS, len(keys)), UNSEEN, np.uint16)
-        states[:DENSE] = table[np.stack(slots)]
-        for row, counted in zip(states[DENSE:], deep, strict=False):
-            _, order, first, known = next(counted)
-            row[order] = np.repeat(known, np.diff(np.append(first, len(keys))))
-        yield bit, node, states
-
-
-def _groups(batches):
-    """Columns of strings, whole groups of the same home, CHUNK strings or more at once as long as there are."""
     held, size = [], 0
     for batch in batches:
         held.append([c.to_numpy() for c in batch.columns])
         size += batch.num_rows
         if size >= CHUNK:
             columns = list(map(np.concatenate, zip(*held, strict=True)))
-            at = int(np.searchsorted(columns[0], columns[0][-1]))
+            home = columns[1] >> 16
+            at = int(np.searchsorted(home, home[-1]))  # the last context may go on
             if at:
-                yield [c[:at] for c in columns]
+                yield from done([c[:at] for c in columns])
             held, size = [[c[at:] for c in columns]], size - at
     if size:
-        yield list(map(np.concatenate, zip(*held, strict=True)))
-
-
-def _added(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    columns = list(map(list, zip(*held, strict=True)))
-    held.clear()  # a column at a time, so that little is held twice
-    own, first, at = np.unique(np.concatenate(columns.pop(0)), return_index=True, return_inverse=True)
-    out = [own, np.concatenate(columns.pop(0))[first]]
-    while columns:
-        out.append(np.bincount(at, np.concatenate(columns.pop(0)), len(own)).astype(np.int64))
-    return tuple(out)
-
-
-def _home(keys: np.ndarray) -> np.ndarray:
-    """A number for each choice of the last DENSE context bytes, mixed up one to one."""
-    size = 8 * DENSE
-    return (((keys >> np.uint64(8)) * np.uint64(0x9E3779B1)) & np.uint64((1 << size) - 1)).astype(np.int32)
+        yield from done(list(map(np.concatenate, zip(*held, strict=True))))
 
 
 def string_counts(rows: DataFrame) -> DataFrame:
-    """Rows (home, key, word, n, tuned, c): strings of all texts, told apart by their words, with counts in the training texts, the tuning fold and everything.
+    """Rows (kind, id, n, m, c, key, states) of all strings and words: counts in the training texts, of these at their own places, and in all texts.
 
-    They are dealt and sorted by home, so that groups of one home are whole.
+    Strings with up to four bytes of context (KEY) also count what lies in
+    tails, where segments give the longer context (LONG). Segments are counted
+    in tasks, then over all, where those with the same first bytes meet, since
+    they share strings; strings are counted by context, and a context's strings
+    meet in one task.
     """
+    told = rows.select("_text", "_fold").mapInArrow(_count, _TASK_COUNTS).repartition("kind", "home")
+    segments = told.groupBy("kind", "home", "id", "token").agg(*(F.sum(c).alias(c) for c in ("n", "c")))
+    counted = segments.select("kind", "id", "token", "n", "c").mapInArrow(_expand, _COUNTED)
+    whole = counted.repartition(F.shiftrightunsigned("id", 16)).sortWithinPartitions("id")
+    return stored(whole.mapInArrow(_state, "kind int, id long, n long, m long, c long, key long, states binary"), "lm-strings")
 
-    def sent(sums: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        arrays = [_home(sums[1]), sums[1].view(np.int64), sums[0].view(np.int64), *sums[2:]]
-        return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["home", "key", "word", "n", "tuned", "c"])
 
-    def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-        for whole in batches:
-            for batch, texts in _blocks(whole, 0):
-                keys, words, sizes = _strings(texts)
-                own = np.repeat(batch.column(1).to_numpy(), sizes)
-                for f in np.unique(own):
-                    of = own == f
-                    w, first, n = np.unique(words[of], return_index=True, return_counts=True)
-                    held.append((w, keys[of][first], n * (f != HELD_OUT), n * (f == TUNED_ON), n))
-                    size += len(w)
-                if size > HELD:  # sums of what has come so far; given out when they grow too large
-                    held = [_added(held)]
-                    size = len(held[0][0])
-                    if size > HELD // 2:
-                        yield sent(held[0])
-                        held, size = [], 0
-        if held:
-            yield sent(_added(held))
-
-    folds = F.when(F.col("_fold").isin(HELD_OUT, TUNED_ON), F.col("_fold")).otherwise(0).alias("_fold")
-    counted = rows.select("_text", folds).mapInArrow(run, "home int, key long, word long, n long, tuned long, c long")
-    sums = counted.repartition("home").groupBy("home", "word").agg(F.min("key").alias("key"), *(F.sum(c).alias(c) for c in ("n", "tuned", "c")))
-    return sums.select("home", "key", "word", "n", "tuned", "c").sortWithinPartitions("home")
-
-
-def short_table(counts: DataFrame, n: Column) -> np.ndarray:
-    """States of the contexts of fewer than DENSE bytes; the number of slots bounds what is gathered, the contexts longer than that are in the strings."""
-    short = counts.where(n > 0).groupBy(F.col("key").bitwiseAND((1 << 8 * DENSE) - 1).alias("key")).agg(F.sum(n).alias("n"))
+def short_table(counts: DataFrame) -> np.ndarray:
+    """States of the contexts of fewer than DENSE bytes; the number of slots bounds what is gathered."""
+    short = counts.where((F.col("kind") == KEY) & (F.col("n") > 0)).groupBy(F.col("key").bitwiseAND((1 << 8 * DENSE) - 1).alias("key")).agg(F.sum("n").alias("n"))
     got = short.toArrow()  # a row for each DENSE bytes at most
-    keys, n = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy().astype(np.float64)
+    keys, n = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy()
     out = np.full(FIRST[DENSE], UNSEEN, np.uint16)
-    for k in ORDERS[:DENSE] if len(keys) else ():
-        own = _cut(keys, k)
-        for i, order, first, known in _counted(own, n):
-            start = own[order[first]].astype(np.int64)
-            out[FIRST[k] + (start >> 8 << 8 | 1 << (7 - i) | (start & 0xFF) >> (i + 1))] = known
+    for k in range(DENSE) if len(keys) else ():
+        own, at = np.unique(_cut(keys, k), return_inverse=True)
+        states = context_states(own, np.bincount(at, n))
+        for i in range(8):
+            out[_slots(own, k, i)] = states[:, i]
     return out
 
 
+def _slots(keys: np.ndarray, k: int, i: int) -> np.ndarray:
+    """Places in the table of the contexts of k bytes and the i bits before."""
+    return FIRST[k] + (((keys >> np.uint64(8)) & np.uint64((1 << 8 * k) - 1)) << np.uint64(8) | _node(keys, i)).astype(np.int64)
+
+
+def _node(keys: np.ndarray, i: int) -> np.ndarray:
+    return np.uint64(1 << i) | (keys & np.uint64(0xFF)) >> np.uint64(8 - i)
+
+
+class Known:
+    """States of strings: of the short orders from a table, of the longer ones from rows, or else from those that have been sent."""
+
+    def __init__(self, table: np.ndarray, keys: np.ndarray | None, states: np.ndarray | None):
+        self.table, self.keys, self.states = table, keys, states
+
+    def of(self, kind: np.ndarray, keys: np.ndarray, own: np.ndarray, joined: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each bit: the bit, the node before it, and the states, an order a row. own: the states of those from segments."""
+        if joined is None:
+            joined = self.states[np.searchsorted(self.keys, keys)]
+        longer = np.concatenate((joined, joined[:, -1:]), axis=1)
+        longer[kind == LONG, -1] = own
+        for i in range(8):
+            states = np.empty((INPUTS, len(keys)), np.uint16)
+            for k in range(DENSE):
+                states[k] = self.table[_slots(keys, k, i)]
+            states[DENSE:] = longer[:, :, i].T
+            yield ((keys >> np.uint64(7 - i)) & np.uint64(1)).astype(np.int64), _node(keys, i).astype(np.int64), states
+
+
 def _inputs(states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stretched predictions and the weights that the gate selects, an order a row."""
     sure = (states >> 8).astype(np.int64)
@@ -263,222 +563,269 @@ def _inputs(states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return stretch, (gate * INPUTS + np.arange(INPUTS)[:, None]) * SURE + sure
 
 
-def _squash(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -12, 12)))
+def _products(weights: np.ndarray) -> np.ndarray:
+    """Weight times prediction by gate, order and state."""
+    state = np.arange(SURE << 8)
+    stretch = (state & 0xFF).astype(np.float32) / 16 - 8
+    return (weights.reshape(GATES * INPUTS, SURE)[:, state >> 8] * stretch).ravel()
 
 
-def _refined(maps: np.ndarray, node: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    bucket = np.round((np.clip(z, -8, 8) + 8) * (BUCKETS - 1) / 16).astype(np.int64)
-    at = node * BUCKETS + bucket
-    return maps[at], at
+def _mixes(states: np.ndarray, products: np.ndarray) -> np.ndarray:
+    """The mixed predictions in the logistic domain."""
+    at = (states[1:] > 0xFF).sum(axis=0, dtype=np.int32) * np.int32(INPUTS * (SURE << 8))
+    z = np.zeros(states.shape[1], np.float32)
+    for row in states:
+        z += products[at + row]
+        at += np.int32(SURE << 8)
+    return z
 
 
-def _tuned(batches, table):
-    """Strings of the tuning fold, their counts there, and for each bit what _states gives, counted over the other folds."""
-    for _, keys, words, n, tuned in _groups(batches):
-        keys, words, some = keys.view(np.uint64), words.view(np.uint64), np.flatnonzero(tuned)
-        if len(some):
-            steps = [(bit[some], node[some], states[:, some]) for bit, node, states in _states(keys, (n - tuned).astype(np.float64), table.value, words)]
-            yield words[some], tuned[some].astype(np.float64), steps
+def _squash(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -12, 12)))
 
 
-def learn_weights(counts: DataFrame, table) -> np.ndarray:
-    """Mixer weights by online steps over the tuning fold's strings, averaged over partitions between rounds."""
+def _refined(node: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Places in the map."""
+    return node * BUCKETS + np.round((np.clip(z, -8, 8) + 8) * (BUCKETS - 1) / 16).astype(np.int64)
+
+
+FLAT_MAP = np.tile(_squash(np.linspace(-8, 8, BUCKETS)), 256)
+
+
+class Strings:
+    """Strings of the counts with their states: if they are few enough, the keys' are sent; else rows are joined to them."""
+
+    def __init__(self, counts: DataFrame):
+        self.context = counts.sparkSession.sparkContext
+        self.keys = counts.where(F.col("kind") == KEY).select("key", "states")
+        self.rows = counts.where(F.col("kind") != WORD).select("kind", "id", "key", "m", "c", "states")
+        self.few = self.keys.count() <= KEYS  # the bound is checked
+        if self.few:
+            self.rows = self.rows.withColumn("joined", F.lit(None).cast("binary"))
+        else:
+            self.rows = stored(self.rows.join(self.keys.withColumnRenamed("states", "joined"), "key").select(*self.rows.columns, "joined"), "lm-joined")
+        self.table = short_table(counts)
+
+    def sent(self, which: int):
+        """What workers need for states with all counts (0), or without an own one (1)."""
+        own = states = None
+        if self.few:
+            got = self.keys.toArrow().combine_chunks()
+            own, states = np.zeros(0, np.uint64), np.zeros((0, 2, 8), np.uint16)
+            if len(got):
+                own = got.column("key").to_numpy().view(np.uint64)
+                order = np.argsort(own)
+                own, states = own[order], _unbinary(got.column("states").chunk(0), (2, 2, 8))[order, which]
+        return self.context.broadcast((self.table, own, states))
+
+    def map(self, f, schema: str, sent, which: int) -> DataFrame:
+        """f over chunks of the rows: columns kind, id, key, m, c and what Known.of gives for them."""
+        rows = self.rows.where(F.col("m") > 0) if which else self.rows.where(F.col("c") > 0)
+
+        def chunks(batches):
+            known, held, size = Known(*sent.value), [], 0
+
+            def whole():
+                kind, own, key, m, c = (np.concatenate([x[k] for x in held]) for k in range(5))
+                states = np.concatenate([x[5] for x in held])
+                joined = None if held[0][6] is None else np.concatenate([x[6] for x in held])
+                key = key.view(np.uint64)
+                return kind, own.view(np.uint64), key, m, c, known.of(kind, key, states, joined)
+
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                kind = batch.column(0).to_numpy()
+                long = batch.filter(pa.array(kind == LONG)).column(5)
+                states = _unbinary(long, (2, 1, 8))[:, which, 0] if len(long) else np.zeros((0, 8), np.uint16)
+                joined = None if batch.column(6).null_count else _unbinary(batch.column(6), (2, 2, 8))[:, which]
+                held.append([kind, *(batch.column(k).to_numpy() for k in range(1, 5)), states, joined])
+                size += batch.num_rows
+                if size >= CHUNK:
+                    yield whole()
+                    held, size = [], 0
+            if held:
+                yield whole()
+
+        return rows.mapInArrow(lambda batches: f(chunks(batches)), schema)
+
+
+def learn_weights(strings: Strings, sent) -> np.ndarray:
+    """Mixer weights by online steps over the training texts' strings, averaged over partitions between rounds."""
     weights = np.full(GATES * INPUTS * SURE, 0.3, np.float32)
-    strings = counts.select("home", "key", "word", "n", "tuned")
-
     for _ in range(ROUNDS):
         start = weights
 
-        def run(batches, start=start):
+        def run(chunks, start=start):
             w, mass = start.copy(), np.zeros(len(start))
-            for words, times, steps in _tuned(batches, table):
-                order = np.argsort(xxhash_order(words))
-                for at in range(0, len(words), BATCH):
-                    some = order[at : at + BATCH]
-                    n = times[some]
-                    for bit, _, states in steps:
+            for _, own, _, m, _, steps in chunks:
+                order, m = np.argsort(_mixed(own)), m.astype(np.float64)
+                parts = [order[at : at + BATCH] for at in range(0, len(order), BATCH)]
+                for bit, _, states in steps:
+                    for some in parts:
                         stretch, cell = _inputs(states[:, some])
-                        err = (bit[some] - _squash((w[cell] * stretch).sum(axis=0))) * n
+                        err = (bit[some] - _squash((w[cell] * stretch).sum(axis=0))) * m[some]
                         flat = cell.ravel()
                         slope = np.bincount(flat, (err * stretch).ravel(), len(w))
-                        curve = np.bincount(flat, (0.25 * n * stretch**2).ravel(), len(w))
+                        curve = np.bincount(flat, (0.25 * m[some] * stretch**2).ravel(), len(w))
                         mass += curve
                         seen = curve > 0
                         w[seen] += (RATE * slope[seen] / (mass[seen] + CALM)).astype(np.float32)  # steps shrink with the evidence
             at = np.flatnonzero(mass)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at] * mass[at]), pa.array(mass[at])], ["cell", "w", "mass"])
 
-        sums = strings.mapInArrow(run, "cell long, w double, mass double").groupBy("cell").agg(F.sum("w").alias("w"), F.sum("mass").alias("mass"))
+        sums = strings.map(run, "cell long, w double, mass double", sent, 1).groupBy("cell").agg(F.sum("w").alias("w"), F.sum("mass").alias("mass"))
         weights = start.copy()
         for r in sums.collect():  # one row a weight
             weights[r.cell] = r.w / r.mass
     return weights
 
 
-def xxhash_order(keys: np.ndarray) -> np.ndarray:
-    """Values in whose order keys are mixed up, always the same way."""
-    return (keys * np.uint64(0x9E3779B97F4A7C15)) ^ (keys >> np.uint64(17))
+def learn_maps(strings: Strings, sent, weights: np.ndarray) -> np.ndarray:
+    """The refinement: how often a one follows, by order-0 context and mixed prediction, in the training texts."""
 
-
-def learn_maps(counts: DataFrame, table, weights: np.ndarray) -> np.ndarray:
-    """The refinement: how often a one follows, by order-0 context and mixed prediction, on the tuning fold."""
-
-    def run(batches):
-        sums = np.zeros((2, 256 * BUCKETS))
-        for _, times, steps in _tuned(batches, table):
+    def run(chunks):
+        sums, products = np.zeros((2, 256 * BUCKETS)), _products(weights)
+        for _, _, _, m, _, steps in chunks:
             for bit, node, states in steps:
-                stretch, cell = _inputs(states)
-                _, at = _refined(sums[0], node, (weights[cell] * stretch).sum(axis=0))
-                sums[0] += np.bincount(at, times, 256 * BUCKETS)
-                sums[1] += np.bincount(at, times * bit, 256 * BUCKETS)
+                at = _refined(node, _mixes(states, products))
+                sums[0] += np.bincount(at, m, 256 * BUCKETS)
+                sums[1] += np.bincount(at, m * bit, 256 * BUCKETS)
         at = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0][at]), pa.array(sums[1][at])], ["cell", "n", "ones"])
 
-    sums = counts.select("home", "key", "word", "n", "tuned").mapInArrow(run, "cell long, n double, ones double")
-    maps = np.tile(_squash(np.linspace(-8, 8, BUCKETS)), 256)
+    sums = strings.map(run, "cell long, n double, ones double", sent, 1)
+    maps = FLAT_MAP.copy()
     for r in sums.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).collect():  # one row a cell of the map
-        prior = maps[r.cell]
-        maps[r.cell] = (r.ones + 20 * prior) / (r.n + 20)
+        maps[r.cell] = (r.ones + 20 * maps[r.cell]) / (r.n + 20)
     return maps
 
 
-class Model:
-    """What strings cost, from a table of the short contexts, weights and maps."""
+def string_bits(steps, weights: np.ndarray, maps: np.ndarray) -> np.ndarray:
+    """Bits that each string's last byte costs after the bytes before it."""
+    out, products = 0.0, _products(weights)
+    for bit, node, states in steps:
+        z = _mixes(states, products)
+        p = np.clip(0.5 * (_squash(z) + maps[_refined(node, z)]), 1e-5, 1 - 1e-5)
+        out = out - np.log2(np.where(bit == 1, p, 1 - p))
+    return out
 
-    def __init__(self, table: np.ndarray, weights: np.ndarray, maps: np.ndarray):
-        self.table, self.weights, self.maps = table, weights, maps
 
-    def bits(self, keys: np.ndarray, n: np.ndarray | None = None, words: np.ndarray | None = None) -> np.ndarray:
-        """Bits that each string's last byte costs after the bytes before it; without counts, no long context has been seen."""
-        out = np.zeros(len(keys))
-        for bit, node, states in _states(keys, np.zeros(len(keys)) if n is None else n, self.table, words):
-            stretch, cell = _inputs(states)
-            z = (self.weights[cell] * stretch).sum(axis=0)
-            p = np.clip(0.5 * (_squash(z) + _refined(self.maps, node, z)[0]), 1e-5, 1 - 1e-5)
-            out -= np.log2(np.where(bit == 1, p, 1 - p))
-        return out
+def _names(keys: np.ndarray) -> np.ndarray:
+    """Strings of heads are named by their keys mixed up one to one, since those of tails are named by hashes."""
+    return keys * np.uint64(0x9E3779B97F4A7C15)
 
-    def text_bits(self, texts: list[bytes]) -> np.ndarray:
-        keys, _, sizes = _strings(texts)
-        own, at = np.unique(keys, return_inverse=True)
-        return np.add.reduceat(self.bits(own)[at], np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
 
+def string_costs(strings: Strings, sent, weights: np.ndarray, maps: np.ndarray) -> DataFrame:
+    """Rows (word, c, cost): the bits that each string's last byte costs."""
 
-def string_costs(counts: DataFrame, sent) -> DataFrame:
-    """Rows (word, c, cost): the bits that each string's last byte costs by a model that is sent as its parts."""
+    def run(chunks):
+        for kind, own, keys, _, c, steps in chunks:
+            names = np.where(kind == KEY, _names(keys), own)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(c), pa.array(string_bits(steps, weights, maps).astype(np.float32))], ["word", "c", "cost"])
 
-    def run(batches):
-        model = Model(*sent.value)
-        for _, keys, words, n, c in _groups(batches):
-            cost = model.bits(keys.view(np.uint64), n.astype(np.float64), words.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(c), pa.array(cost.astype(np.float32))], ["word", "c", "cost"])
-
-    return counts.select("home", "key", "word", "n", "c").mapInArrow(run, "word long, c long, cost float")
-
-
-class Costs:
-    """Costs of the frequent strings: each at its place, or with those that another has taken the place of."""
-
-    def __init__(self, keys: np.ndarray, costs: np.ndarray):
-        place = self._place(keys)
-        self.keys, self.costs = np.full(1 << MEMORY_BITS, 2**63, np.uint64), np.zeros(1 << MEMORY_BITS, np.float32)
-        self.keys[place], self.costs[place] = keys, costs
-        lost = np.flatnonzero(self.keys[place] != keys)
-        lost = lost[np.argsort(keys[lost])]
-        self.lost, self.lost_costs = keys[lost], costs[lost]
-
-    @staticmethod
-    def _place(keys: np.ndarray) -> np.ndarray:
-        return (xxhash_order(keys) >> np.uint64(64 - MEMORY_BITS)).astype(np.int64)
-
-    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Costs, 0 where the string is not among them, and where that is."""
-        place = self._place(keys)
-        out = self.costs[place].astype(np.float64)
-        left = np.flatnonzero(self.keys[place] != keys)
+    return strings.map(run, "word long, c long, cost float", sent, 0)
+
+
+class Table:
+    """Values by name: each at its place, or with those that another has taken the place of."""
+
+    def __init__(self, names: np.ndarray, values: np.ndarray):
+        """The last of the names get their places."""
+        self.shift = np.uint64(63 - max(1, len(names)).bit_length())  # two to four places for a name
+        place = self._place(names)
+        size = 1 << int(64 - self.shift)
+        self.names, self.values = np.full(size, 2**63, np.uint64), np.zeros(size, values.dtype)
+        self.names[place], self.values[place] = names, values
+        lost = np.flatnonzero(self.names[place] != names)
+        lost = lost[np.argsort(names[lost])]
+        self.lost, self.lost_values = names[lost], values[lost]
+
+    def _place(self, names: np.ndarray) -> np.ndarray:
+        return ((names ^ names >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> self.shift).astype(np.int64)
+
+    def of(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, 0 where the name is not among them, and where that is."""
+        place = self._place(names)
+        out = self.values[place].astype(np.float64)
+        left = np.flatnonzero(self.names[place] != names)
         out[left] = 0.0
         if len(left) and len(self.lost):
-            at = np.minimum(np.searchsorted(self.lost, keys[left]), len(self.lost) - 1)
-            found = self.lost[at] == keys[left]
-            out[left[found]] = self.lost_costs[at[found]]
+            at = np.minimum(np.searchsorted(self.lost, names[left]), len(self.lost) - 1)
+            found = self.lost[at] == names[left]
+            out[left[found]] = self.lost_values[at[found]]
             left = left[~found]
         return out, left
 
-    def text_bits(self, texts: list[bytes]) -> tuple[np.ndarray, pa.Array, pa.Array]:
-        """Bits of each text without its rare strings, and lists of these and of how often the text has them."""
-        _, keys, sizes = _strings(texts)
-        costs, left = self.of(keys)
-        starts = np.cumsum(sizes) - sizes
-        text, rare = np.searchsorted(starts, left, "right") - 1, keys[left].view(np.int64)
-        order = np.lexsort((rare, text))
-        text, rare = text[order], rare[order]
-        first = np.flatnonzero((np.diff(text, prepend=-1) != 0) | np.append(True, rare[1:] != rare[:-1])[: len(rare)])
-        times = np.diff(np.append(first, len(rare)))
-        ends = pa.array(np.searchsorted(text[first], np.arange(len(texts) + 1)), pa.int32())
-        bits = np.add.reduceat(costs, starts) if len(sizes) else np.zeros(0)
-        return bits, pa.ListArray.from_arrays(ends, pa.array(rare[first])), pa.ListArray.from_arrays(ends, pa.array(times))
+    def by_part(self, own: np.ndarray, names: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums over names of n parts, and the names left out: whose, and which."""
+        values, left = self.of(names)
+        return np.bincount(own, values, n), own[left], names[left]
 
 
-_COSTS: dict[str, Costs] = {}
+_TABLES: dict[str, tuple[Table, Table]] = {}
 
 
-def _costs(sent) -> Costs:
-    """A worker's costs, the same from task to task."""
+def _tables(sent) -> tuple[Table, Table]:
+    """A worker's base scores of words and costs of strings, the same from task to task."""
     name, *parts = sent.value
-    if name not in _COSTS:
-        _COSTS.clear()
-        _COSTS[name] = Costs(*parts)
-    return _COSTS[name]
-
+    if name not in _TABLES:
+        _TABLES.clear()
+        _TABLES[name] = Table(*parts[:2]), Table(*parts[2:])
+    return _TABLES[name]
 
-def train(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Table, weights and maps from the counts of strings."""
-    part = counts.sparkSession.sparkContext.broadcast(short_table(counts, F.col("n") - F.col("tuned")))
-    weights = learn_weights(counts, part)
-    maps = learn_maps(counts, part, weights)
-    part.destroy()
-    return short_table(counts, F.col("n")), weights, maps
 
+def frequent(counts: DataFrame, most: int = FREQUENT) -> tuple[float, DataFrame]:
+    """A bound, and the rows with more than that count: as many as fit into `most` rows."""
+    level = F.floor(F.log2("c") * 8).cast("int")
+    bound, n = 0.0, 0
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # eight rows for each doubling
+        if n + r["count"] > most:
+            bound = r.level + 1
+            break
+        n += r["count"]
+    return bound, counts.where(level >= bound)
 
-END = xxhash.xxh64_intdigest(b"")  # the end of a text; no word is empty
 
+class Rare:
+    """Strings and words of texts that have not been sent, each with how often its text has it."""
 
-def _word_hashes(words) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def add(self, text: np.ndarray, names: np.ndarray) -> None:
+        if len(text):
+            self.held.append((text, names))
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """Rows (h, c): hashes of the training texts' words, and of their ends, with counts."""
+    def add_parts(self, which: np.ndarray, text: np.ndarray, own: np.ndarray, names: np.ndarray, n: int) -> None:
+        """names of n parts, whose they are in own, for the texts that have the parts that which names."""
+        if len(own):
+            order = np.argsort(own, kind="stable")
+            names, each = names[order], np.bincount(own, minlength=n)
+            has = np.flatnonzero(each[which] > 0)
+            parts = which[has]
+            of, number = _spread(each[parts])
+            self.add(text[has][of], names[(np.cumsum(each) - each)[parts][of] + number])
 
-    def sent(n: Counter) -> pa.RecordBatch:
-        c = np.fromiter(n.values(), np.int64, len(n))
-        return pa.RecordBatch.from_arrays([pa.array(_word_hashes(n).view(np.int64)), pa.array(c)], ["h", "c"])
+    def lists(self, n: int) -> list[pa.Array]:
+        text, names = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        order = np.lexsort((names, text))
+        text, names = text[order], names[order]
+        first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (names[1:] != names[:-1]))[: len(text)])
+        times = np.diff(np.append(first, len(text)))
+        ends = pa.array(np.searchsorted(text[first], np.arange(n + 1)), pa.int32())
+        return [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (names[first].view(np.int64), times)]
 
-    def run(batches):
-        n: Counter = Counter()
-        for whole in batches:
-            for batch, texts in _blocks(whole, 0):
-                n.update(itertools.chain.from_iterable(t.split() for t in texts))
-                n[b""] += batch.num_rows  # the ends
-                if len(n) > HELD_WORDS:
-                    yield sent(n)
-                    n = Counter()
-        yield sent(n)
 
-    return rows.select("_text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+def word_name(hashes):
+    """Words among the names of strings."""
+    return hashes ^ 0x5DEECE66D1234567
 
 
-def frequent(counts: DataFrame, most: int = FREQUENT) -> tuple[float, DataFrame]:
-    """A bound, and the words with more than that count: as many as fit into `most` rows."""
-    level = F.floor(F.log2("c") * 8).cast("int")
-    bound, n = 0.0, 0
-    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # eight rows for each doubling
-        if n + r["count"] > most:
-            bound = r.level + 1
-            break
-        n += r["count"]
-    return bound, counts.where(level >= bound)
+def dealt(docs: DataFrame) -> DataFrame:
+    """docs in fewer, larger partitions where they are small, so that a task sums up more before it sends counts; nothing is shuffled."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.coalesce(min(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), 1 << 20))
 
 
 def score(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -487,93 +834,114 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     Null and empty texts have one token, the end. Rows are scored one by one,
     repeated rows too; a null id's text counts as an empty id's. Without
     training texts every word is unknown and every bit costs one bit. Base
-    counts tell words by 64-bit hashes.
+    counts tell words by 64-bit hashes. Texts of any length are read whole, in
+    pieces of PIECE bytes; a word of over LONGEST bytes gives context only
+    within stretches of so many. Other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(docs[id].alias("_id"), docs[text].alias("_text"), fold(docs[id]).alias("_fold"))
-    training = rows.where(F.col("_fold") != HELD_OUT)
-    vocabulary = cut(word_counts(training))
+    rows = dealt(docs).select(docs[id].alias("_id"), docs[text].alias("_text"), fold(docs[id]).alias("_fold"))
+    counts = string_counts(rows)
+    vocabulary = counts.where((F.col("kind") == WORD) & (F.col("n") > 0)).select("id", F.col("n").alias("c"))
     total = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = total.n or 0, total.v
+    scale = n + 0.5 * (v + 1)
     bound, common = frequent(vocabulary)
     table = common.toArrow()  # FREQUENT rows at most
-    order = np.argsort(table.column("h").to_numpy())
-    sent_words = spark.sparkContext.broadcast((table.column("h").to_numpy()[order], table.column("c").to_numpy()[order]))
-    strings = cut(string_counts(rows))
-    sent_model = spark.sparkContext.broadcast(train(strings))
-    costs = cut(string_costs(strings, sent_model))
-    sent_model.destroy()
+    words = table.column("id").to_numpy().view(np.uint64), np.log10((table.column("c").to_numpy() + 0.5) / scale)
+    strings = Strings(counts)
+    sent = strings.sent(1)
+    weights = learn_weights(strings, sent)
+    maps = learn_maps(strings, sent, weights)
+    sent.destroy()
+    sent = strings.sent(0)
+    costs = stored(string_costs(strings, sent, weights, maps), "lm-costs")
+    sent.destroy()
     rare_bound, often = frequent(costs, COMMON)
     table = often.toArrow()  # COMMON rows at most
     order = np.argsort(table.column("c").to_numpy(), kind="stable")  # the most frequent last: they get their places
-    sent_costs = spark.sparkContext.broadcast((uuid.uuid4().hex, table.column("word").to_numpy()[order].view(np.uint64), table.column("cost").to_numpy()[order]))
-    del table, order
-    scale = n + 0.5 * (v + 1)
+    sent_tables = spark.sparkContext.broadcast((uuid.uuid4().hex, *words, table.column("word").to_numpy()[order].view(np.uint64), table.column("cost").to_numpy()[order]))
+    del table, order, words
 
     def run(batches):
-        costs = _costs(sent_costs)
-        hashes, counts = sent_words.value
-        logs = np.append(np.log10((counts + 0.5) / scale), 0.0) if scale else np.zeros(1)
-        for whole in batches:
-            for batch, texts in _blocks(whole, 1):
-                lists = [t.split() for t in texts]
-                words = list(set().union(*lists))
-                h = np.append(_word_hashes(words), np.uint64(END)).view(np.int64)
-                at = np.searchsorted(hashes, h)
-                at[at == len(hashes)] = 0
-                known = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
-                value = np.where(known, logs[np.where(known, at, -1)], 0.0)  # the rest is added by a join
-                found = dict(zip(words, value[:-1].tolist(), strict=True))
-                rare = dict(zip((w for w, k in zip(words, known, strict=False) if not k), h[:-1][~known[:-1]].tolist(), strict=True))
-                sums, n_known, left, times = [], [], [], []
-                for ws in lists:
-                    own = Counter(filter(rare.__contains__, ws)) if rare else {}
-                    asked = [rare[w] for w in own]
-                    each = list(own.values())
-                    total, n_own = sum(map(found.__getitem__, ws)), sum(each)
-                    if known[-1]:
-                        total += value[-1]
-                    else:
-                        asked.append(h[-1])
-                        each.append(1)
-                        n_own += 1
-                    sums.append(total)
-                    n_known.append(len(ws) + 1 - n_own)
-                    left.append(asked)
-                    times.append(each)
-                bits, rare_strings, string_times = costs.text_bits(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0), batch.column(2), pa.array([len(ws) + 1 for ws in lists], pa.int64()), pa.array(n_known, pa.int64()),
-                        pa.array(sums, pa.float64()), pa.array(left, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64())),
-                        pa.array(bits), pa.array([len(t) + 1 for t in texts], pa.int64()), rare_strings, string_times,
-                    ],
-                    ["id", "fold", "n_tokens", "n_known", "sum", "left", "times", "bits", "size", "strings", "string_times"],
-                )
+        words, costs = _tables(sent_tables)
+        for batch, texts in itertools.chain.from_iterable(_sliced(b, 1) for b in batches):
+            n = len(texts)
+            sums, n_known, n_tokens, bits = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n)
+            rare = Rare()
+
+            def count(text: np.ndarray, which: np.ndarray, at: np.ndarray) -> None:
+                """Words of texts: which text's, hashes of the distinct ones, and which one each is."""
+                value, left = words.of(which)
+                known = np.ones(len(which), bool)
+                known[left] = False
+                sums[:] += np.bincount(text, value[at], n)
+                n_known[:] += np.bincount(text, known[at], n)
+                n_tokens[:] += np.bincount(text, minlength=n)
+                left = np.flatnonzero(~known[at])
+                rare.add(text[left], word_name(which[at[left]]))
+
+            count(np.arange(n), np.array([END], np.uint64), np.zeros(n, np.int64))
+            torn = np.array([_torn(t) for t in texts], bool)
+            for i in np.flatnonzero(torn):
+                split = texts[i].split()
+                count(np.full(len(split), i), np.fromiter(map(word_hash, split), np.uint64, len(split)), np.arange(len(split)))
+            def block(laid: Laid, owners: np.ndarray) -> None:
+                text = owners[laid.entry]
+                which, first, at = _unique(laid.hashes(laid.start, laid.length))
+                start, length = laid.start[first], laid.length[first]
+                # Whole segments are words with what ends them; longer words are counted for themselves.
+                some = np.flatnonzero(laid.whole & (laid.length > 1) & ~torn[text])
+                has = np.flatnonzero(length > 1)
+                place = np.zeros(len(which), np.int64)
+                place[has] = np.arange(len(has))
+                count(text[some], laid.hashes(start[has], length[has] - 1), place[at[some]])
+                some = np.flatnonzero((laid.word_length >= LONGEST) & ~torn[owners][laid.word_entry])
+                if len(some):
+                    count(owners[laid.word_entry[some]], laid.hashes(laid.word_start[some], laid.word_length[some]), np.arange(len(some)))
+                own, names, _ = laid.tails(start, length)
+                cost, own, names = costs.by_part(own, names, len(which))
+                rare.add_parts(at, text, own, names, len(which))
+                tail = cost[at]
+                which, _, at = _unique(laid.heads())
+                own, keys = head_keys(which)
+                cost, own, names = costs.by_part(own, _names(keys), len(which))
+                rare.add_parts(at, text, own, names, len(which))
+                bits[:] += np.bincount(text, cost[at] + tail, n)
+
+            for laid, owners in _laid(texts):
+                block(laid, owners)
+                del laid  # before the next is made
+            columns = [batch.column(0), batch.column(2), *map(pa.array, (n_tokens, n_known.astype(np.int64), sums, bits, np.fromiter((len(t) + 1 for t in texts), np.int64, n)))]
+            yield pa.RecordBatch.from_arrays([*columns, *rare.lists(n)], ["id", "fold", "n_tokens", "n_known", "sum", "bits", "size", "names", "times"])
 
     kind = rows.schema[0].dataType.simpleString()
-    told = cut(
-        rows.mapInArrow(run, f"id {kind}, fold int, n_tokens long, n_known long, sum double, left array<long>, times array<long>, bits double, size long, strings array<long>, string_times array<long>")
-        .withColumn("row", F.monotonically_increasing_id())
-    )
-    # Words that are not among the frequent ones are looked up by a join; none of them is a hot key but those never seen.
-    asked = told.select("row", F.explode(F.arrays_zip("left", "times")).alias("x")).select("row", F.col("x.left").alias("h"), F.col("x.times").alias("t"))
-    rest = vocabulary.where(F.floor(F.log2("c") * 8) < bound) if bound else vocabulary.where(F.lit(False))
-    looked = asked.join(rest, "h", "left")
-    each = F.col("t") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(scale)))
-    rare_sums = looked.groupBy("row").agg(F.sum(each).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("t")).otherwise(0)).alias("more_known"))
-    # So are the strings that are not among the frequent ones; each string of a text has a cost.
-    asked = told.select("row", F.explode(F.arrays_zip("strings", "string_times")).alias("x")).select("row", F.col("x.strings").alias("word"), F.col("x.string_times").alias("t"))
-    rest = costs.where(F.floor(F.log2("c") * 8) < rare_bound) if rare_bound else costs.where(F.lit(False))
-    string_sums = asked.join(rest, "word").groupBy("row").agg(F.sum(F.col("t") * F.col("cost")).alias("more_bits"))
-    bits = F.col("bits") + F.coalesce("more_bits", F.lit(0.0))
-    return told.join(rare_sums, "row", "left").join(string_sums, "row", "left").select(
+    schema = f"id {kind}, fold int, n_tokens long, n_known long, sum double, bits double, size long, names array<long>, times array<long>"
+    told = cut(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    # What is not among the frequent words and strings is looked up by a join. Every string has a cost; a word without a count is unknown.
+    x = F.col("x")
+    # A name comes once in the rest, so what a task holds of it is even; nothing needs sorting.
+    asked = told.select("row", F.explode(F.arrays_zip("names", "times")).alias("x")).select("row", x["names"].alias("name"), x["times"].alias("t"))
+    level = F.floor(F.log2("c") * 8)
+    rare_words = vocabulary.where(level < bound) if bound else vocabulary.where(F.lit(False))
+    others = costs.where(level < rare_bound) if rare_bound else costs.where(F.lit(False))
+    rest = rare_words.select(F.col("id").bitwiseXOR(F.lit(word_name(0))).alias("name"), F.lit(WORD).alias("kind"), F.col("c").cast("double").alias("value")).unionByName(
+        others.select(F.col("word").alias("name"), F.lit(LONG).alias("kind"), F.col("cost").cast("double").alias("value"))
+    )
+    of, t, value = F.coalesce("kind", F.lit(WORD)) == WORD, F.col("t"), F.col("value")
+    more = asked.join(rest.hint("shuffle_hash"), "name", "left").groupBy("row").agg(
+        F.sum(F.when(of, t * F.log10((F.coalesce(value, F.lit(0.0)) + 0.5) / F.lit(float(scale))))).alias("more"),
+        F.sum(F.when(of & (value > 0), t)).alias("more_known"),
+        F.sum(F.when(~of, t * value)).alias("more_bits"),
+    )
+    none = F.lit(0.0)
+    bits = F.col("bits") + F.coalesce("more_bits", none)
+    return told.join(more, "row", "left").select(
         F.col("id").alias(id),
         (F.col("fold") == HELD_OUT).alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        (F.col("sum") + F.coalesce("more", none)).alias("base_score"),
         (-bits * float(np.log10(2))).alias("score"),
         (bits / F.col("size")).alias("bits_per_byte"),
     )
