@@ -1,39 +1,51 @@
 """Byte-level BPE by corpus-level merge replay, and decoding.
 
-The pre-tokens of a block of texts are gathered once each. Their bytes form one
-line of symbols, and an inverted index leads from each mergeable pair to the
-positions where it stands. Merges are replayed over the whole block in rank
-order: popping a rank applies it to all its positions at once and enters only
-the pairs with the touched neighbours. Texts are then put together from the
-encoded pre-tokens. Blocks have a few megabytes of text; pre-tokens are
-remembered from block to block within a bounded memory, so a worker replays a
-frequent word once.
+The corpus comes down to its distinct pre-tokens. Each block of texts asks for
+those that it has; equal ones meet in a task, and their bytes form one line of
+symbols with an inverted index that leads from each mergeable pair to the
+positions where it stands. Merges are replayed in rank order: popping a rank
+applies it to all its positions at once and enters only the pairs with the
+touched neighbours. So a pre-token is replayed once for the whole corpus. The
+answers go back to the blocks that asked, as a file for each of the input's
+partitions in the shared folder, and texts are put together from them.
+
+A block finds its answers by the order in which its pre-tokens come first. That
+an answer is the right one is seen from its bytes, which are the pre-token's; if
+the rows should come in another order the second time, the pre-tokens that have
+no answer are replayed where they are.
 """
 
 from __future__ import annotations
 
 import base64
+import collections
 import functools
 import hashlib
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute
+import pyarrow.fs
+import pyarrow.parquet as pq
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-#: Pre-tokens in each of two generations that a worker remembers, and the longest remembered.
-MEMORY, LONGEST = 120_000, 64
+from .common import scratch
+
 #: Words in one replay: as many as stay in a processor's cache, which is twice as fast as all at once.
 TOGETHER = 1500
+#: Bytes of text that ask together, and rows of answers sent at once.
+BLOCK, ROWS = 32 << 20, 10_000
 
 
 class ByteBPE:
-    def __init__(self, ranks: bytes, pattern: str, memory: int = MEMORY):
-        self.memory = memory
+    def __init__(self, ranks: bytes, pattern: str):
         self.ranks = {base64.b64decode(k): int(v) for k, v in map(bytes.split, ranks.splitlines()) if k}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
+        self.width = np.dtype(np.uint16 if max(self.bytes_of) < 1 << 16 else np.uint32)  # of an id
         self.id_of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         # The rank that a pair of tokens merges to, by both ids; and for pairs of bytes as an array.
         self.merged: dict[int, int] = {}
@@ -46,8 +58,6 @@ class ByteBPE:
             if len(k) == 2:
                 self.rank_of_bytes[k[0], k[1]] = v
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, tuple[str, bytes]] = {}
-        self.older: dict[str, tuple[str, bytes]] = {}
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word, by one replay of the merges over all words."""
@@ -101,86 +111,191 @@ class ByteBPE:
             start = end
         return out
 
-    def learn(self, words: set[str]) -> dict[str, tuple[str, bytes]]:
-        """Ids as text, and decoded bytes, of words that are not remembered: one replay over all of them."""
-        new: dict[str, tuple[str, bytes]] = {}
-        rest: list[str] = []
-        for w in words:
-            b = w.encode()
-            if (r := self.ranks.get(b)) is not None:  # a word of the vocabulary is one token
-                new[w] = (str(r), self.bytes_of[r])
-            else:
-                rest.append(w)
-        for at in range(0, len(rest), TOGETHER):
-            some = rest[at : at + TOGETHER]
-            for w, ids in zip(some, self.replay([w.encode() for w in some]), strict=True):
-                new[w] = (",".join(map(str, ids)), self.decode(ids))
-        return new
+    def encode_word(self, word: str) -> tuple[str, bytes]:
+        """Ids as text, and decoded bytes, of a word that has no answer."""
+        ids = self.replay([word.encode()])[0]
+        return ",".join(map(str, ids)), self.decode(ids)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def encode_block(self, texts: list[str | None]) -> list[list[tuple[str, bytes]]]:
-        """The encoded pre-tokens of each text of a block."""
-        split = [self.find(t) if t else [] for t in texts]
-        words = set().union(*split)
-        table = {}
-        for known in (self.known, self.older):
-            found = words.intersection(known)
-            table |= zip(found, map(known.__getitem__, found), strict=True)
-            words -= found
-        table |= self.learn(words)
-        if len(self.known) > self.memory:  # what has not come up since the last time is forgotten
-            self.known, self.older = {}, self.known
-        self.known.update((w, x) for w, x in table.items() if len(w) <= LONGEST)
-        return [list(map(table.__getitem__, ws)) for ws in split]
-
 
 @functools.lru_cache(maxsize=2)
-def encoder(ranks: bytes, pattern: str, memory: int = MEMORY) -> ByteBPE:
-    return ByteBPE(ranks, pattern, memory)
+def encoder(ranks: bytes, pattern: str) -> ByteBPE:
+    return ByteBPE(ranks, pattern)
+
+
+class Asked(dict):
+    """The pre-tokens of a block that are no token, by when they come first."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks, self.words = ranks, []
+
+    def __missing__(self, word: str) -> None:
+        if word.encode() not in self.ranks:  # a word of the vocabulary is one token
+            self.words.append(word)
+        self[word] = None
+
+
+class Answers(dict):
+    """The encoded pre-tokens of a block: ids as text, and decoded bytes."""
+
+    def __init__(self, bpe: ByteBPE, ids: list[bytes], width: np.dtype):
+        super().__init__()
+        self.bpe, self.ids, self.width, self.next = bpe, ids, width, 0
+
+    def __missing__(self, word: str) -> tuple[str, bytes]:
+        data = word.encode()
+        rank = self.bpe.ranks.get(data)
+        if rank is not None:
+            out = str(rank), data
+        else:
+            out = None
+            if self.next < len(self.ids):
+                ids = np.frombuffer(self.ids[self.next], self.width).tolist()
+                if self.bpe.decode(ids) == data:
+                    out = ",".join(map(str, ids)), data
+            self.next += 1
+            if out is None:
+                out = self.bpe.encode_word(word)
+        self[word] = out
+        return out
+
 
+def _blocks(batches, column: int, block_bytes: int) -> Iterator[tuple[bool, pa.RecordBatch, list[str | None]]]:
+    """Batches cut where blocks of texts end: whether a block starts, the rows, and their texts. Depends on the rows' order alone."""
+    size, starts = 0, True
+    for batch in batches:
+        texts, at = batch.column(column).to_pylist(), 0
+        for i, t in enumerate(texts):
+            if size >= block_bytes:
+                if i > at:
+                    yield starts, batch.slice(at, i - at), texts[at:i]
+                size, starts, at = 0, True, i
+            size += len(t) if t else 0
+        if len(texts) > at:
+            yield starts, batch.slice(at), texts[at:]
+            starts = False
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, block_bytes: int = 4 << 20, memory: int = MEMORY) -> DataFrame:
+
+def _answers(path: str, task: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Blocks of a partition and their answers in the order asked, as an executor reads them from the shared folder."""
+    fs, root = pyarrow.fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    files = fs.get_file_info(pyarrow.fs.FileSelector(f"{root}/task={task}", allow_not_found=True))
+    held: list[bytes] = []
+    block = None
+    for name in sorted(f.path for f in files if f.path.endswith(".parquet")):
+        with fs.open_input_file(name) as f:
+            for batch in pq.ParquetFile(f).iter_batches(columns=["block", "ids"]):
+                own = batch.column(0).to_numpy()
+                edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+                for a, b in zip(edges, edges[1:], strict=False):
+                    if b > a:
+                        if block is not None and own[a] != block:
+                            yield block, held
+                            held = []
+                        block = int(own[a])
+                        held += batch.column(1).slice(a, b - a).to_pylist()
+    if block is not None:
+        yield block, held
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, block_bytes: int = BLOCK) -> DataFrame:
     """Encode every whole text, and decode the ids again.
 
     Returns keep, n_tokens, ids_sha256 and decoded_sha256, and the ids themselves
     with with_ids. A null or empty text has no ids; repeated rows are encoded one
-    by one; other columns are not read. Smaller blocks and fewer remembered words
-    cost time, not results, and spare the workers' memory. One narrow pass without a shuffle: blocks
-    are independent, so a lost task is simply run again.
+    by one; other columns are not read. A text of any length is encoded whole; a
+    block ends after the text that fills it. Texts are not shuffled, only their
+    distinct pre-tokens that are no token by themselves.
     """
     with open(ranks_path, "rb") as f:
         ranks = f.read()
+    spark = docs.sparkSession
+    last = len(keep)
     rows = docs.select(*keep, docs[text].alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:last])
+    path = scratch(spark, "bpe-answers")
 
-    def blocks(batch):
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(len(keep))), 0).to_pylist()
-        at = size = 0
-        for i, n in enumerate(sizes):
-            if size and size + n > block_bytes:
-                yield batch.slice(at, i - at)
-                at, size = i, 0
-            size += n
-        yield batch.slice(at)
+    def ask(batches):
+        bpe, task, block, asked = encoder(ranks, pattern), TaskContext.get().partitionId(), -1, None
+        names = ["task", "block", "place", "word"]
 
-    def run(batches):
-        bpe = encoder(ranks, pattern, memory)
+        def sent(least: int):
+            while len(asked.words) - done[0] >= max(least, 1):
+                some = asked.words[done[0] : done[0] + ROWS]
+                place = np.arange(done[0], done[0] + len(some), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), task, np.int32)), pa.array(np.full(len(some), block, np.int32)), pa.array(place), pa.array(some)], names)
+                done[0] += len(some)
+
+        done = [0]
+        for starts, _, texts in _blocks(batches, last, block_bytes):
+            if starts:
+                if asked is not None:
+                    yield from sent(1)
+                block, asked, done[0] = block + 1, Asked(bpe.ranks), 0
+            for t in texts:
+                if t:
+                    collections.deque(map(asked.__getitem__, bpe.find(t)), 0)  # in the order in which they come
+            yield from sent(ROWS)
+        if asked is not None:
+            yield from sent(1)
+
+    def replay(batches):
+        bpe = encoder(ranks, pattern)
+        width = bpe.width
+
+        def done(held):
+            words = pa.chunked_array([b.column(3) for b in held]).combine_chunks()
+            own = words.to_pylist()
+            new = [i for i, w in enumerate(own) if not i or w != own[i - 1]]
+            lists = bpe.replay([own[i].encode() for i in new])
+            data = [np.array(x, width).tobytes() for x in lists]
+            times = np.diff([*new, len(own)])
+            ids = pa.array(data, pa.binary()).take(pa.array(np.repeat(np.arange(len(new)), times)))
+            columns = [pa.chunked_array([b.column(k) for b in held]).combine_chunks() for k in range(3)]
+            return pa.RecordBatch.from_arrays([*columns, ids], ["task", "block", "place", "ids"])
+
+        held, n = [], 0
         for whole in batches:
-            for batch in blocks(whole):
-                encoded = bpe.encode_block(batch.column(len(keep)).to_pylist())
-                texts = [",".join([x[0] for x in ws]) for ws in encoded]
-                columns = [
-                    pa.array([t.count(",") + 1 if t else 0 for t in texts], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]),
-                    pa.array([hashlib.sha256(b"".join([x[1] for x in ws])).hexdigest() for ws in encoded]),
-                ]
-                names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+            for at in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(at, TOGETHER)
+                held.append(batch)
+                n += pa.compute.count_distinct(batch.column(3)).as_py()
+                if n >= TOGETHER:
+                    yield done(held)
+                    held, n = [], 0
+        if held:
+            yield done(held)
+
+    asked = rows.mapInArrow(ask, "task int, block int, place int, word string").repartition("word").sortWithinPartitions("word")
+    answers = asked.mapInArrow(replay, "task int, block int, place int, ids binary")
+    answers.repartition("task").sortWithinPartitions("task", "block", "place").write.partitionBy("task").parquet(path)
+
+    def run(batches):
+        bpe = encoder(ranks, pattern)
+        told, block, found, table = _answers(path, TaskContext.get().partitionId()), -1, None, None
+        names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+        for starts, batch, texts in _blocks(batches, last, block_bytes):
+            if starts:
+                block += 1
+                while found is None or found[0] < block:
+                    found = next(told, (1 << 31, []))
+                table = Answers(bpe, found[1] if found[0] == block else [], bpe.width)
+            columns = [[], [], [], []]
+            for t in texts:
+                words = list(map(table.__getitem__, bpe.find(t))) if t else []
+                ids = ",".join([x[0] for x in words])
+                columns[0].append(ids.count(",") + 1 if ids else 0)
+                columns[1].append(hashlib.sha256(ids.encode()).hexdigest())
+                columns[2].append(hashlib.sha256(b"".join([x[1] for x in words])).hexdigest())
                 if with_ids:
-                    columns.append(pa.array([list(map(int, t.split(","))) if t else [] for t in texts], pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *columns], [*keep, *names])
+                    columns[3].append(list(map(int, ids.split(","))) if ids else [])
+            out = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())]
+            if with_ids:
+                out.append(pa.array(columns[3], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(last)), *out], names)
 
     return rows.mapInArrow(run, f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
