@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
-from tidemark.functions.windows import inside, overlaps
+from tidemark.functions.windows import SERIES, inside, overlaps
 from tidemark.operators import detectors, metrics
 from tidemark.plans import adapters, catalogue
-from tidemark.session import cut
+from tidemark.session import cut, dealt
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -53,6 +53,18 @@ def test_a_detector_deals_its_points_by_series_only(spark):
         assert "series_id, metric" in plain and not any(k.startswith("series_id, metric, segment") for k in plain), (name, plain)
 
 
+def test_dealt_points_are_not_exchanged_again(spark):
+    m = cut(adapters.m_hour(spark, SF))
+    p = dealt(metrics.searchable(m, None), SERIES, "points")
+    s = cut(metrics.catalogue(p))
+    plain = cut(metrics.searchable(m, None))
+    for name in ("ALG-A1", "ALG-A3", "ALG-B1", "ALG-B3", "ALG-B5"):
+        found, _ = detectors.DETECTORS[name](p, s, Config())
+        assert "Bucketed: true" in plan(found) and "Exchange hashpartitioning(series_id" not in plan(found), name
+        rows = lambda df: sorted(tuple(r)[:6] for r in df.collect())
+        assert rows(found) == rows(detectors.DETECTORS[name](plain, s, Config())[0])
+
+
 def test_no_plan_of_a_query_compares_everything(spark):
     for name in ("overlap_topk", "overlap_same_host", "severity", "seasonal_diff", "a1_detections", "b3_floor", "top_metrics"):
         p = plan(catalogue.QUERIES[name](spark, SF))

@@ -16,7 +16,7 @@ from ..errors import WriteError, is_storage
 from ..functions.windows import SERIES
 from ..operators import co_anomaly, detectors, events, metrics, rollups
 from ..schema import DETECTIONS, RATIOS, SKIPS
-from ..session import cut
+from ..session import cut, dealt
 from ..sources.ingest import Ingested, ingest
 from . import charts, report
 
@@ -81,7 +81,7 @@ def analyse(frame: DataFrame, config: Config, names: tuple[str, ...] | None = me
     """
     spark = frame.sparkSession
     m = cut(frame)
-    points = cut(metrics.searchable(m, names))
+    points = dealt(metrics.searchable(m, names), SERIES, "points")  # for all detectors
     series = cut(metrics.catalogue(points))
     ratios = metrics.searchable(m, tuple(RATIOS.values()))
 

@@ -76,6 +76,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
+    """df written once below the shared folder, in buckets by keys: joins, windows and groups by them need no exchange of it."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    table = f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def is_dealt(df: DataFrame, keys: tuple[str, ...]) -> bool:
+    """Whether df lies in partitions by keys."""
+    found = df._jdf.queryExecution().sparkPlan().outputPartitioning().toString()
+    return re.match("hashpartitioning\\(" + ", ".join(rf"{k}#\d+L?" for k in keys) + ",", found) is not None
+
+
 #: Tables below the shared folder that go when the driver ends.
 _SCRATCH: list[tuple[SparkSession, str]] = []
 

@@ -112,7 +112,8 @@ def lines_of(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for f in batch.to_pylist():
+            for k in range(batch.num_rows):  # one file's lines at a time
+                f = batch.slice(k, 1).to_pylist()[0]
                 head = {"file_path": f["path"], "file_date": f["file_date"], "kind": f["kind"], "host": f["host"], "container": f["container"]}
                 text = _text(f["content"])
                 found = [(-1, [], "")] if text is None else ((i, *r) for i, r in enumerate(_rows(f["kind"], text)))
