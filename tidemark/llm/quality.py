@@ -5,7 +5,10 @@ maximisation over the corpus estimates how often each rule votes each way on
 good and on bad documents, and the posterior probability of being good takes
 the place of a filter that all rules must pass. The votes of m rules have at
 most 3^m patterns, so the corpus comes down to a small table of pattern counts,
-and the estimation runs as one SQL expression over that. All of it is DataFrame
+and the estimation runs as one SQL expression over that. Which class is the bad
+one is told by an anchor: documents that fail the base rules are known to be bad.
+Nothing else ties a rule to a direction: one that votes at random ends without
+weight, one that is wrong ends with the opposite. All of it is DataFrame
 functions; a document's features come from its own row without a shuffle.
 """
 
@@ -23,8 +26,10 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word of running text: letters or digits, inner marks, and at most one mark on either side.
 _PLAIN = r"^[(\[\"'«„“¿¡]?[\p{L}\p{M}\p{N}]++(?:['’.@:/+，。、；：！？·…-]++[\p{L}\p{M}\p{N}]++)*+[.,;:!?)\]\"'»“”…。，、；：！？]?$"
-#: Least and most log-odds that a vote can carry: bad, abstained, good.
-LIMITS = ((-8.0, -2.0), (-0.5, 0.5), (0.0, 2.0))
+#: Documents added to each rule's counts of bad votes, abstentions and good votes, in good and in bad documents: a weak prior.
+PRIOR = ((1.0, 5.0, 10.0), (10.0, 5.0, 1.0))
+#: The log-odds that votes start with: bad ones weigh four times a good one.
+START = (-2.0, 0.0, 0.5)
 
 
 def _chars(text: Column, chars: str) -> Column:
@@ -109,48 +114,47 @@ def base_failed(f: Column) -> Column:
 
 
 def fit(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Rows (pattern, posterior) from a column of patterns, at most 3^rules of them.
+    """Rows (pattern, posterior) from columns pattern and base_failed; there are at most 3^rules patterns.
 
-    The model has a probability for each rule, class and vote, smoothed by one
-    document of each. Rules are taken to be better than chance: a vote's log-odds
-    stay within LIMITS, which also settles what class is which. It starts from
-    a count of votes in which bad ones weigh four times a good one's.
+    The model has a probability for each rule, class and vote, with the weak
+    PRIOR. Documents that fail the base rules count as bad throughout.
     """
     m = len(RULES)
-    counts = patterns.groupBy("pattern").agg(F.count("*").cast("double").alias("n"))
+    counts = patterns.groupBy("pattern").agg(*(F.sum(F.when(F.col("base_failed") == x, 1.0).otherwise(0.0)).alias(c) for c, x in (("n", False), ("failed", True))))
     votes = F.array(*((F.floor(F.col("pattern") / 3 ** (m - 1 - j)) % 3 + 3 * j).cast("int").alias(f"v{j}") for j in range(m)))
-    table = counts.select(F.struct("pattern", "n", votes.alias("votes")).alias("p")).agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    table = counts.select(F.struct("pattern", "n", "failed", votes.alias("votes")).alias("p")).agg(F.sort_array(F.collect_list("p")).alias("ps"))
 
     def posterior(p: Column, prior: Column, ratio: Column) -> Column:
         z = F.aggregate(p["votes"], prior, lambda a, v: a + F.get(ratio, v))
         return 1 / (1 + F.exp(-z))
 
-    def within(x: Column, i: Column) -> Column:
-        least, most = (F.element_at(F.array(*(F.lit(v[k]) for v in LIMITS)), (i % 3 + 1).cast("int")) for k in (0, 1))
-        return F.least(F.greatest(x, least), most)
+    def both(good: Column, bad: Column) -> Column:
+        return F.struct(good.cast("double").alias("good"), bad.cast("double").alias("bad"))
+
+    def summed(ws: Column, start: Column) -> Column:
+        return F.aggregate(ws, start, lambda a, x: both(a["good"] + x["n"] * x["q"], a["bad"] + x["n"] * (1 - x["q"]) + x["failed"]))
+
+    pseudo = F.array(*(both(F.lit(PRIOR[0][v]), F.lit(PRIOR[1][v])) for v in range(3)))
 
     def learn(state: Column, ps: Column) -> Column:
-        weighed = F.transform(ps, lambda p: F.struct(p["votes"].alias("votes"), p["n"].alias("n"), posterior(p, state["prior"], state["ratio"]).alias("q")))
+        weighed = F.transform(ps, lambda p: F.struct(p["votes"].alias("votes"), p["n"].alias("n"), p["failed"].alias("failed"), posterior(p, state["prior"], state["ratio"]).alias("q")))
 
         def step(ws: Column) -> Column:
-            zero = F.struct(F.lit(1.0).alias("good"), F.lit(1.0).alias("bad"))
-            whole = F.aggregate(ws, zero, lambda a, x: F.struct((a["good"] + x["n"] * x["q"]).alias("good"), (a["bad"] + x["n"] * (1 - x["q"])).alias("bad")))
-
             def ratio(s: Column) -> Column:
-                each = lambda i: F.aggregate(
-                    F.filter(ws, lambda x: F.array_contains(x["votes"], i)), zero,
-                    lambda a, x: F.struct((a["good"] + x["n"] * x["q"]).alias("good"), (a["bad"] + x["n"] * (1 - x["q"])).alias("bad")),
-                )
+                each = lambda i: summed(F.filter(ws, lambda x: F.array_contains(x["votes"], i)), F.get(pseudo, i % 3))
                 return F.struct(
-                    F.log(s["good"] / s["bad"]).alias("prior"),
-                    F.transform(F.sequence(F.lit(0), F.lit(3 * m - 1)), lambda i: let(each(i), lambda e: within(F.log((e["good"] / (s["good"] + 2)) / (e["bad"] / (s["bad"] + 2))), i))).alias("ratio"),
+                    F.log((s["good"] + 1) / (s["bad"] + 1)).alias("prior"),
+                    F.transform(
+                        F.sequence(F.lit(0), F.lit(3 * m - 1)),
+                        lambda i: let(each(i), lambda e: F.log((e["good"] / (s["good"] + sum(PRIOR[0]))) / (e["bad"] / (s["bad"] + sum(PRIOR[1]))))),
+                    ).alias("ratio"),
                 )
 
-            return let(whole, ratio)
+            return let(summed(ws, both(F.lit(0.0), F.lit(0.0))), ratio)
 
         return let(weighed, step)
 
-    start = F.struct(F.lit(0.0).alias("prior"), F.array(*(F.lit(x) for _ in range(m) for x in (-2.0, 0.0, 0.5))).alias("ratio"))
+    start = F.struct(F.lit(0.0).alias("prior"), F.array(*(F.lit(x) for _ in range(m) for x in START)).alias("ratio"))
     model = table.select("ps", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda s, _: learn(s, F.col("ps"))).alias("model"))
     one = model.select(F.explode("ps").alias("p"), "model")
     return one.select(F.col("p.pattern").alias("pattern"), posterior(F.col("p"), F.col("model.prior"), F.col("model.ratio")).alias("posterior"))
@@ -173,8 +177,10 @@ def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: fl
     """Per row of docs: id, the base figures, base_failed, kept and posterior.
 
     Null and empty texts have no words and fail the base rules. Repeated rows
-    are judged one by one and count as often in the estimate. An empty table
-    gives no rows.
+    are judged one by one and count as often in the estimate. A posterior at the
+    threshold is kept. Texts of any length are read whole, in time that grows
+    with their length (that of sorting their words). An empty table gives no
+    rows.
     """
     return _judged(docs, id, text, threshold).select(F.col("_id").alias(id), *BASE, "base_failed", "kept", "posterior")
 
