@@ -3,9 +3,11 @@
 Lines are hashed to 128 bits and counted over documents. What is found often
 enough goes, by shard of its hash, into compact arrays (64-bit fingerprint,
 count, holder) that a minimal perfect hash over the low half indexes. Documents
-stay where they are and probe the arrays: neither texts nor lines are joined or
-shuffled. Small tables are broadcast after a check of their size; larger ones
-are read shard by shard from the shared folder, one shard in memory at a time.
+probe the arrays. Small arrays are broadcast after a check of their size, and
+documents stay where they are. Larger ones stay in the shared folder: line
+hashes go to the shard that they are of, salted so that a line of many documents
+spreads, a task reads its shard's arrays once, and the lines that are to go come
+back to their documents.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .mph import LineTable
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Lines of a shard, about; bytes of arrays up to which they are broadcast; bytes of text probed at once.
 SHARD_LINES, BROADCAST_BYTES, BLOCK = 100_000, 32 << 20, 16 << 20
+#: Tasks among which a shard's probes are spread.
+SALTS = 16
 #: Stands for a null id among holders.
 NO_ID = -(2**63)
 
@@ -53,7 +57,7 @@ def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (lo, hi, n, holder): documents with a line, each counted once, and the largest of their ids."""
+    """Rows (lo, hi, n, holder): how many ids a line is found under, and the largest of them."""
     rows = docs.select(docs[id].cast("long").alias("_id"), docs[text].alias("_text")).where(F.length("_text") >= min_chars)
 
     def run(batches):
@@ -68,7 +72,7 @@ def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS, id: str = "doc_id",
             yield pa.RecordBatch.from_arrays([ids, pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64))], ["id", "lo", "hi"])
 
     lines = rows.mapInArrow(run, "id long, lo long, hi long")
-    return lines.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.max("id").alias("holder"))
+    return lines.groupBy("lo", "hi").agg(F.countDistinct("id").alias("n"), F.max("id").alias("holder"))
 
 
 def _shard(lo: np.ndarray, shards: int) -> np.ndarray:
@@ -109,19 +113,76 @@ def _reader(path: str) -> Callable[[int], list[LineTable]]:
     return read
 
 
+def _hashed_lines(texts: list[str | None], min_chars: int) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of texts; of those with a key: whose each is, its number, and its hash's halves."""
+    lines = [(t or "").split("\n") for t in texts]
+    digests, where = [], []
+    for d, ls in enumerate(lines):
+        for k, line in enumerate(ls):
+            if h := line_hash(line, min_chars):
+                digests.append(h)
+                where.append((d, k))
+    doc, number = np.array(where, np.int64).reshape(-1, 2).T
+    return lines, doc, number, *_halves(digests)
+
+
+def lines_to_go(docs: DataFrame, path: str, shards: int, min_chars: int, min_docs: int, id: str, text: str) -> DataFrame:
+    """Rows (_id, _hash, _gone): for ids and hashes of texts, the numbers of the lines that go, found at the shards."""
+    rows = docs.select(docs[id].cast("long").alias("_id"), F.xxhash64(docs[text]).alias("_hash"), docs[text].alias("_text"))
+
+    def ask(batches):
+        for whole in batches:
+            for batch in _sliced(whole, 2):
+                _, doc, number, lo, hi = _hashed_lines(batch.column(2).to_pylist(), min_chars)
+                own = pa.array(doc)
+                columns = [pa.array(_shard(lo, shards).astype(np.int32)), batch.column(0).take(own), batch.column(1).take(own), pa.array(number), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "_id", "_hash", "line", "lo", "hi"])
+
+    def probe(batches):
+        read, held = _reader(path), (-1, [])
+        for batch in batches:
+            shard, lo, hi = batch.column(0).to_numpy(), *(batch.column(k).to_numpy().view(np.uint64) for k in (4, 5))
+            ids = pc.fill_null(batch.column(1), NO_ID).to_numpy(zero_copy_only=False)
+            go = np.zeros(len(shard), bool)
+            for part in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1):
+                if len(part):
+                    if held[0] != shard[part[0]]:
+                        held = (shard[part[0]], read(int(shard[part[0]])))
+                    for table in held[1]:
+                        found, n, holder = table.probe(lo[part], hi[part])
+                        go[part] |= found & (n >= min_docs) & (holder != ids[part])
+            yield batch.filter(pa.array(go)).select(["_id", "_hash", "line"])
+
+    asked = rows.mapInArrow(ask, "shard int, _id long, _hash long, line long, lo long, hi long")
+    salted = asked.withColumn("salt", F.pmod("_hash", F.lit(SALTS)))
+    at_home = salted.repartition("shard", "salt").sortWithinPartitions("shard").select("shard", "_id", "_hash", "line", "lo", "hi")
+    found = at_home.mapInArrow(probe, "_id long, _hash long, line long")
+    return found.groupBy("_id", "_hash").agg(F.collect_set("line").alias("_gone"))  # a document's own lines
+
+
+def _sliced(batch: pa.RecordBatch, column: int):
+    """Slices of a batch of about BLOCK bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes) // BLOCK
+    starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+    for a, b in zip(starts, starts[1:], strict=False):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
 def dedup_lines(
     docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id: str = "doc_id", text: str = "text",
     digest: bool = False, shard_lines: int = SHARD_LINES, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """docs with its text cut down to the lines that stay, and n_lines and n_dropped.
 
-    A line key of at least min_chars code points that is found in at least
-    min_docs rows loses its lines but in rows of the largest id that holds it,
-    where all of them stay. A null text stays null and has one empty line, as
-    an empty one has. A null id is less than any other. Repeated rows count as
-    documents of their own. With digest, only id, n_lines, n_dropped and
-    kept_sha256 are returned. Ids are whole numbers. Columns named n_lines or
-    n_dropped in docs are replaced.
+    A line key of at least min_chars code points that is found under at least
+    min_docs ids loses its lines but in rows of the largest id that holds it,
+    where all of them stay; so rows that share an id count once. A null text
+    stays null and has one empty line, as an empty one has. A null id counts as
+    no document and keeps no line. With digest, only id, n_lines, n_dropped and
+    kept_sha256 are returned. Ids are whole numbers. Texts of any length are
+    read whole. Columns named n_lines or n_dropped in docs are replaced.
     """
     spark = docs.sparkSession
     path = scratch(spark, "line-tables")
@@ -129,67 +190,52 @@ def dedup_lines(
     shards = build_tables(frequent, path, shard_lines)
     tables = spark.read.schema("layer int, data binary, lines long, shard int").parquet(path)
     size = tables.agg(F.sum(F.length("data"))).first()[0] or 0
-    sent = None
-    if size <= broadcast_bytes:  # the bound is checked; beyond it executors read shards from the folder
+    own = docs.select(docs[id].alias(id), docs[text].alias(text)) if digest else docs.drop("n_lines", "n_dropped")
+    added = "n_lines long, n_dropped long" + ", kept_sha256 string" * digest
+    schema = T.StructType([*([own.schema[id]] if digest else own.schema), *T._parse_datatype_string(added)])
+    names = own.columns
+    id_at, text_at = names.index(id), names.index(text)
+    if size <= broadcast_bytes:  # the bound is checked
         held: dict[int, list[bytes]] = {}
         for r in tables.select("shard", "data").collect():
             held.setdefault(r.shard, []).append(bytes(r.data))
-        sent = spark.sparkContext.broadcast(held)
-
-    if digest:
-        rows = docs.select(docs[id].alias(id), docs[text].alias(text))
-        added = "n_lines long, n_dropped long, kept_sha256 string"
+        sent, rows = spark.sparkContext.broadcast(held), own
     else:
-        rows = docs.drop("n_lines", "n_dropped")
-        added = "n_lines long, n_dropped long"
-    schema = T.StructType([*([rows.schema[id]] if digest else rows.schema), *T._parse_datatype_string(added)])
-    names = rows.columns
-    id_at, text_at = names.index(id), names.index(text)
+        gone = lines_to_go(docs, path, shards, min_chars, min_docs, id, text)
+        whole = own.select(F.struct(*(own[c] for c in names)).alias("_row"), own[id].cast("long").alias("_own"), F.xxhash64(own[text]).alias("_print"))
+        joined = whole.join(gone, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_hash")), "left")
+        sent, rows = None, joined.select("_row", "_gone")
 
     def run(batches):
-        read = _reader(path)
-        held: dict[int, list[LineTable]] = {}
-        if sent is not None:
-            held = {k: [LineTable.loads(x) for x in v] for k, v in sent.value.items()}
-
-        def of(shard: int) -> list[LineTable]:
-            if sent is not None:
-                return held.get(shard, [])
-            if shard not in held:
-                held.clear()  # one shard at a time
-                held[shard] = read(shard)
-            return held[shard]
-
+        tables = {k: [LineTable.loads(x) for x in v] for k, v in sent.value.items()} if sent is not None else {}
         for whole in batches:
-            sizes = pc.fill_null(pc.binary_length(whole.column(text_at)), 0).to_numpy(zero_copy_only=False)
-            group = np.cumsum(sizes) // BLOCK
-            starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
-            for a, b in zip(starts, starts[1:], strict=False):
-                if a < b:
-                    yield probe(whole.slice(a, b - a), of)
-
-    def probe(batch, of):
-        lines = [(t.as_py() or "").split("\n") for t in batch.column(text_at)]
+            known = None
+            if sent is None:
+                known = whole.column(1)
+                whole = pa.RecordBatch.from_arrays(whole.column(0).flatten(), names)
+            at = 0
+            for batch in _sliced(whole, text_at):
+                yield cut_down(batch, known.slice(at, batch.num_rows).to_pylist() if known is not None else probed(batch, tables))
+                at += batch.num_rows
+
+    def probed(batch, tables) -> list[set[int] | None]:
+        lines, doc, number, lo, hi = _hashed_lines(batch.column(text_at).to_pylist(), min_chars)
         ids = pc.fill_null(batch.column(id_at).cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False)
-        digests, where = [], []
-        for d, ls in enumerate(lines):
-            for k, line in enumerate(ls):
-                if h := line_hash(line, min_chars):
-                    digests.append(h)
-                    where.append((d, k))
-        gone: dict[int, set[int]] = {}
-        if digests:
-            lo, hi = _halves(digests)
-            doc = np.array([d for d, _ in where])
-            shard = _shard(lo, shards)
-            order = np.argsort(shard, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                for table in of(int(shard[part[0]])):
-                    found, n, holder = table.probe(lo[part], hi[part])
-                    for i in part[found & (n >= min_docs) & (holder != ids[doc[part]])].tolist():
-                        gone.setdefault(where[i][0], set()).add(where[i][1])
-        kept = ["\n".join(ls) if d not in gone else "\n".join([x for k, x in enumerate(ls) if k not in gone[d]]) for d, ls in enumerate(lines)]
-        counts = [pa.array([len(ls) for ls in lines], pa.int64()), pa.array([len(gone.get(d, ())) for d in range(len(lines))], pa.int64())]
+        gone: list[set[int] | None] = [None] * len(lines)
+        shard = _shard(lo, shards)
+        order = np.argsort(shard, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+            for table in tables.get(int(shard[part[0]]), ()) if len(part) else ():
+                found, n, holder = table.probe(lo[part], hi[part])
+                for i in part[found & (n >= min_docs) & (holder != ids[doc[part]])].tolist():
+                    gone[doc[i]] = (gone[doc[i]] or set()) | {int(number[i])}
+        return gone
+
+    def cut_down(batch, gone):
+        lines = [(t or "").split("\n") for t in batch.column(text_at).to_pylist()]
+        gone = [set(g) if g else () for g in gone]
+        kept = ["\n".join([x for k, x in enumerate(ls) if k not in g] if g else ls) for ls, g in zip(lines, gone, strict=True)]
+        counts = [pa.array([len(ls) for ls in lines], pa.int64()), pa.array([len(g) for g in gone], pa.int64())]
         if digest:
             sums = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in kept], pa.string())
             return pa.RecordBatch.from_arrays([batch.column(id_at), *counts, sums], [id, "n_lines", "n_dropped", "kept_sha256"])
