@@ -60,7 +60,8 @@ def top_k(rows: DataFrame, bits: int, queries: DataFrame | None = None, k: int =
     by EVERY) and never meet their own id. Rows without an id or a vector are
     neither found nor searched; missing and NaN values give no set bits. Rows
     with one id are one row, that of the least code. With fewer than k other
-    rows there are as many ranks as those.
+    rows there are as many ranks as those. Values beyond the first `bits` of a
+    vector are not part of its code. Ties go by id. Other columns are not read.
     """
     words = range(-(-bits // 64))
     names = [f"c{w}" for w in words]
@@ -86,7 +87,8 @@ def top_k(rows: DataFrame, bits: int, queries: DataFrame | None = None, k: int =
     best = None
     open_ = cut(wanted.select(*(F.col(c).alias(f"q{i}") for i, c in enumerate(names))).distinct()).withColumn("kth", F.lit(None).cast("int"))
     for r in range(max(w for _, _, w in cuts) + 1):
-        probes = open_.mapInArrow(_prober(cuts, r, len(names)), ", ".join(["seg int, value long", *(f"q{w} long" for w in words), "kth int"]))
+        # The queries are few rows that become many: they are dealt out before.
+        probes = open_.repartition(rows.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(_prober(cuts, r, len(names)), ", ".join(["seg int, value long", *(f"q{w} long" for w in words), "kth int"]))
         met = probes.join(index, ["seg", "value"])
         apart = [F.col(f"q{w}").bitwiseXOR(F.col(f"c{w}")) for w in words]
         total = sum((F.bit_count(x) for x in apart[1:]), F.bit_count(apart[0]))

@@ -25,7 +25,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hamming.top_k(table(spark, sf_dir, "embeddings"), bits=64)
+    vectors = table(spark, sf_dir, "embeddings")
+    bits = vectors.agg(F.max(F.size("embedding"))).first()[0] or 64  # the whole vectors
+    found = hamming.top_k(vectors, bits=bits)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
 
 
@@ -70,9 +72,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
-_DRAWS = ", ".join(f"({k}, {u!r}::DOUBLE)" for k, u in enumerate(mixing.offsets(7)))
-
-OP7_SQL = f"""
+OP7_SQL = """
 WITH d AS (
   SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))::BIGINT AS size,
          floor(('0x' || substr(md5('band7|' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0 * 64) AS h FROM documents),
@@ -82,12 +82,11 @@ w AS (SELECT *, ([5.0, 2.0, 1.0])[(rank - 1) % 3 + 1]::DOUBLE AS w, 3.0 * source
 l AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(w) OVER (ORDER BY cap / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT source, source_size, least(cap, w * (SELECT arg_min(level, (cap / w, rank)) FROM l WHERE level <= cap / w))::DOUBLE AS target FROM l),
-p AS (SELECT r.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
-u(k, u) AS (VALUES {_DRAWS}),
-c AS (SELECT source, k, u, abs(sum(least(floor(place * rate + u) - floor((place - 1) * rate + u), 3) * size) - max(target)) AS off FROM p, u GROUP BY ALL),
-b AS (SELECT source, arg_min(u, (off, k)) AS u FROM c GROUP BY source),
-n AS (SELECT p.*, least(floor(place * rate + u) - floor((place - 1) * rate + u), 3)::BIGINT AS copies FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source)
+t AS (
+  SELECT source, source_size, least(cap, w * (SELECT arg_min(level, (cap / w, rank)) FROM l WHERE level <= cap / w))::DOUBLE AS target,
+         ('0x' || substr(md5('offset7|' || coalesce(source, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM l),
+p AS (SELECT r.*, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT *, least(floor(place * rate + u) - floor((place - 1) * rate + u), 3)::BIGINT AS copies FROM p)
 SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM n
 """
 
