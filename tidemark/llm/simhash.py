@@ -35,6 +35,8 @@ SHINGLE, RADIUS, SEED = 3, 3, 42
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 #: Sets of fingerprints up to this size are compared by sliding over the sorted rows.
 SMALL = 32
+#: Fingerprints whose variants a task makes.
+FAN_OUT = 20_000
 #: Texts are cut into words by so many bytes, rows are grouped by so many, to bound memory.
 PIECE, ROWS = 4 << 20, 1 << 20
 
@@ -220,12 +222,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     reachable over links, root the component's least fingerprint. Null, empty
     and wordless texts have the fingerprint zero and are linked like others.
     Repeated rows give repeated rows. Null ids take part, but no component is
-    named by them: component_id is null where all ids are. Empty tables give
-    no rows.
+    named by them: component_id is null where all ids are. Texts of any length
+    are read whole, piece by piece. Empty tables give no rows.
     """
     fps = cut(fingerprints(docs, id, text, size))
     distinct = cut(fps.groupBy("fp").agg(F.min(id).alias("_least")))
-    keys = distinct.select("fp").mapInArrow(_variants, "key long, fp long")
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // FAN_OUT))
+    keys = distinct.select("fp").repartition(tasks).mapInArrow(_variants, "key long, fp long")
     met = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
     roots = components(met)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "_least")
