@@ -28,11 +28,11 @@ ODD = [
     "iban DE89 3704 0044 0532 0130 00", "a b c d e f g a b c d e z", "Same text of several words here. " * 3, "Same text of several words here. " * 3,
 ]
 #: Columns whose names an operator could want for itself.
-CLASHES = "size long, fp long, node string, n_lines string, copies long, _id string, text_crc32 long, id long, key string, n long"
+CLASHES = "size long, fp long, node string, n_lines string, copies long, _id string, text_crc32 long, id long, key string, n long, component_id long, ids string, _copy long, _row string, kept boolean"
 
 
 def table(spark, texts, sources=("a", "b", None)):
-    rows = [(i if i != 3 else None, t, "en", sources[i % len(sources)], len(t) if t else None, *[1, 2, "x", "y", 3, "z", 4, 5, "k", 6]) for i, t in enumerate(texts)]
+    rows = [(i if i != 3 else None, t, "en", sources[i % len(sources)], len(t) if t else None, *[1, 2, "x", "y", 3, "z", 4, 5, "k", 6, 7, "w", 8, "v", True]) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + CLASHES)
 
 
@@ -75,33 +75,53 @@ def test_quality_base_figures(odd, empty):
     kept = {r.doc_id for r in quality.keep_good(df).collect()}
     assert kept == {i for i, r in got.items() if r.kept}
     assert quality.keep_good(df).columns == df.columns
+    assert all(r.kept == (not r.base_failed and r.posterior >= quality.THRESHOLD) for r in got.values())
 
 
-def test_quality_estimate_matches_plain_em(spark):
-    rng = random.Random(1)
+def plain_em(n, failed):
+    """Posteriors of patterns by loops, and the log-odds of rules and votes."""
     m = len(quality.RULES)
-    rows = []
-    for _ in range(4000):
-        good = rng.random() < 0.8
-        rows.append(sum((rng.choices((0, 1, 2), ((1, 3, 16) if good else (12, 6, 2))[:3])[0]) * 3 ** (m - 1 - j) for j in range(m)))
-    got = {r.pattern: r.posterior for r in quality.fit(spark.createDataFrame([(x,) for x in rows], "pattern int")).collect()}
-    n = Counter(rows)
     votes = {p: [p // 3 ** (m - 1 - j) % 3 for j in range(m)] for p in n}
-    prior, ratio = 0.0, [[-2.0, 0.0, 0.5] for _ in range(m)]
+    prior, ratio = 0.0, [list(quality.START) for _ in range(m)]
     post = lambda p: 1 / (1 + np.exp(-(prior + sum(ratio[j][v] for j, v in enumerate(votes[p])))))
     for _ in range(quality.ROUNDS):
-        q = {p: post(p) for p in n}
-        good, bad = 1 + sum(n[p] * q[p] for p in n), 1 + sum(n[p] * (1 - q[p]) for p in n)
-        ratio = [
-            [
-                min(max(np.log((1 + sum(n[p] * q[p] for p in n if votes[p][j] == v)) / (good + 2) / ((1 + sum(n[p] * (1 - q[p]) for p in n if votes[p][j] == v)) / (bad + 2))), quality.LIMITS[v][0]), quality.LIMITS[v][1])
-                for v in range(3)
-            ]
-            for j in range(m)
-        ]
-        prior = np.log(good / bad)
-    assert got.keys() == n.keys()
-    assert max(abs(got[p] - post(p)) for p in n) < 1e-6
+        good = {p: n[p] * post(p) for p in n}
+        bad = {p: n[p] - good[p] + failed[p] for p in n}
+        g, b = (sum(x.values()) for x in (good, bad))
+        share = lambda x, j, v, k, total: (quality.PRIOR[k][v] + sum(x[p] for p in n if votes[p][j] == v)) / (total + sum(quality.PRIOR[k]))
+        ratio = [[np.log(share(good, j, v, 0, g) / share(bad, j, v, 1, b)) for v in range(3)] for j in range(m)]
+        prior = np.log((g + 1) / (b + 1))
+    return {p: post(p) for p in n}, ratio
+
+
+def drawn_votes(rng, chances):
+    """(pattern, base_failed, good) of documents; chances: for each rule, of its votes on good and on bad ones."""
+    m, rows = len(quality.RULES), []
+    for _ in range(4000):
+        good = rng.random() < 0.8
+        rows.append((sum(rng.choices((0, 1, 2), chances[j][not good])[0] * 3 ** (m - 1 - j) for j in range(m)), not good and rng.random() < 0.4, good))
+    return rows
+
+
+def test_quality_estimate_matches_plain_em(spark):
+    rows = drawn_votes(random.Random(1), [((1, 3, 16), (12, 6, 2))] * len(quality.RULES))
+    got = {r.pattern: r.posterior for r in quality.fit(spark.createDataFrame([x[:2] for x in rows], "pattern int, base_failed boolean")).collect()}
+    n, failed = Counter(p for p, f, _ in rows if not f), Counter(p for p, f, _ in rows if f)
+    want, _ = plain_em(Counter({p: n[p] for p in n | failed}), failed)
+    assert got.keys() == want.keys()
+    assert max(abs(got[p] - want[p]) for p in want) < 1e-6
+
+
+def test_quality_learns_rules_that_are_random_or_wrong(spark):
+    right, chance, wrong = ((1, 3, 16), (12, 6, 2)), ((5, 5, 5), (5, 5, 5)), ((12, 6, 2), (1, 3, 16))
+    m = len(quality.RULES)
+    rows = drawn_votes(random.Random(2), [right] * (m - 2) + [chance, wrong])
+    got = {r.pattern: r.posterior for r in quality.fit(spark.createDataFrame([x[:2] for x in rows], "pattern int, base_failed boolean")).collect()}
+    assert sum((got[p] >= 0.5) == good for p, _, good in rows) > 0.97 * len(rows)
+    n, failed = Counter(p for p, f, _ in rows if not f), Counter(p for p, f, _ in rows if f)
+    _, ratio = plain_em(Counter({p: n[p] for p in n | failed}), failed)
+    assert max(map(abs, ratio[-2])) < 0.3  # no weight
+    assert ratio[-1][0] > 1 and ratio[-1][2] < -1  # its good votes tell against
 
 
 def brute_simhash(t):
@@ -161,6 +181,35 @@ def test_simhash_links_in_dense_clusters(rows, monkeypatch):
     assert dict(zip(nodes.tolist(), roots.tolist(), strict=True)) == want
 
 
+def test_simhash_keys_link_what_whole_balls_link():
+    """Keys with a block left out against the plain meeting in the middle: balls of one bit around one, of two around the other."""
+    rng = np.random.default_rng(7)
+    centre = int(rng.integers(0, 2**63))
+    fps = sorted({centre ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(250)})
+    ones = [1 << i for i in range(64)]
+    ball = [0, *ones]
+    wide = [*ball, *(a ^ b for k, a in enumerate(ones) for b in ones[:k])]
+    assert len(wide) == 2081
+    met = defaultdict(set)
+    for i, f in enumerate(fps):
+        for v in ball:
+            met[f ^ v].add(i)
+    pairs = {(min(i, j), max(i, j)) for i, f in enumerate(fps) for v in wide for j in met.get(f ^ v, ()) if i != j}
+    pairs = {(i, j) for i, j in pairs if (fps[i] ^ fps[j]).bit_count() <= 3}
+    array = np.array(fps, np.uint64)
+    a, b = (np.array([fps[p[k]] for p in sorted(pairs)], np.uint64) for k in range(2))
+    label = dict(zip(*(x.tolist() for x in simhash._forest(a, b)), strict=True))
+    assert [label.get(f, f) for f in fps] == [fps[x] for x in brute_components(fps)]
+    keys = {}
+    for block in range(3):  # each linked pair has a key of the left-out kind in common
+        rest = simhash._rest(array, block)
+        for i, r in enumerate(rest.tolist()):
+            for v in (0, *(1 << k for k in range(64 - simhash.BLOCKS[block][1]))):
+                keys.setdefault((block, r ^ v), set()).add(i)
+    shared = {(i, j) for group in keys.values() for i in group for j in group if i < j}
+    assert pairs <= shared
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -213,8 +262,50 @@ def test_sharding(spark, odd, empty, tmp_path):
     load = [sum(weights[s] for s in range(512) if slots.current[s] == k) for k in range(5)]
     assert max(load) <= 1.02 * min(load)
     assert sum(weights[s] for s in moved) <= 1.1 * sum(weights.values()) / 5
-    loaded = sharding.SlotMap.load(spark, slots.save(spark, str(tmp_path / "map")))
-    assert loaded.versions == slots.versions and loaded.shards == slots.shards
+
+
+def test_sharding_maps_survive_runs(spark, tmp_path):
+    path = str(tmp_path / "map")
+    docs = cut(spark.range(20000).selectExpr("id doc_id", "repeat('x', cast(id % 50 as int)) text"))
+    first = rows_of(sharding.shard(docs, 16, map_path=path))
+    again = rows_of(sharding.shard(docs, 16, map_path=path))
+    assert again == first  # nothing to even out
+    more = rows_of(sharding.shard(docs, 17, map_path=path))
+    assert sharding.SlotMap.load(spark, path).version == 3 and sharding.SlotMap.load(spark, path, 1).shards == 16
+    moved = sum(r["size"] for i, r in more.items() if r.shard != first[i].shard)
+    total = sum(r["size"] for r in more.values())
+    assert 0.9 * total / 17 <= moved <= 1.15 * total / 17
+    assert {more[i].shard for i in more if more[i].shard != first[i].shard} <= set(range(17))
+    few = sharding.SlotMap(4, 2)  # the last shard may be empty
+    few.current, few.version = [0, 0, 0, 0], 1
+    few.save(spark, str(tmp_path / "few"))
+    assert sharding.SlotMap.load(spark, str(tmp_path / "few")).shards == 2
+    assert sharding.SlotMap.load(spark, str(tmp_path / "none")) is None
+
+
+def test_sharding_places_by_plain_loops(spark, tmp_path):
+    """The shards and places once more, from the stored map and sorted lists."""
+    rows = [(i, None if i % 11 == 0 else "ab é"[: i % 5] * (i % 40)) for i in range(1500)] + [(7, "copy"), (7, "copy"), (None, "copy"), (None, None)]
+    docs = cut(spark.createDataFrame(rows, "doc_id long, text string"))
+    path = str(tmp_path / "map")
+    got = Counter(tuple(r) for r in sharding.shard(docs, 16, slots=256, map_path=path).collect())
+    slot = [r[0] for r in docs.select(sharding.slot_of(docs, 256)).collect()]
+    stored = {r.virtual_slot: r.shard for r in spark.read.parquet(f"{path}/version=1").collect()}
+    size = lambda t: len((t or "").encode()) + 1
+    weights = defaultdict(int)
+    for s, (_, t) in zip(slot, rows, strict=True):
+        weights[s] += size(t)
+    load = Counter()
+    for s, w in weights.items():
+        load[stored[s]] += w
+    assert max(load.values()) - min(load[k] for k in range(16)) <= max(weights.values())
+    want, filled = Counter(), Counter()
+    for s in range(256):  # virtual slots in order, in each its records in order
+        own = sorted(((i is not None, i or 0, zlib.crc32((t or "").encode()), size(t), i, t) for k, (i, t) in zip(slot, rows, strict=True) if k == s), key=lambda x: x[:4])
+        for *_, crc, n, i, _ in own:
+            want[(i, n, crc, "bytes", stored[s], filled[stored[s]], None, s)] += 1
+            filled[stored[s]] += 1
+    assert got == want
 
 
 def test_perfect_hash():
@@ -233,7 +324,20 @@ def test_perfect_hash():
         mph.PerfectHash.build(np.array([5, 5], np.uint64))
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_lines": 1}, {"broadcast_bytes": 0, "shard_lines": 1}])
+def test_line_dedup_of_repeated_ids(spark):
+    """An id that comes five times is one document, as in the SQL."""
+    import duckdb
+
+    rows = [(1, LINE)] * 5 + [(i, f"{LINE} and more") for i in (2, 2, 3, 4, 5, 6, 6)] + [(9, None)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    frame = documents.toPandas()  # noqa: F841  for the SQL
+    want = Counter(duckdb.sql(queries.OP5_SQL.replace("FROM documents", "FROM (SELECT DISTINCT * FROM frame)")).fetchall())
+    for options in ({}, {"broadcast_bytes": 0, "shard_lines": 1}):
+        got = {tuple(r) for r in line_dedup.dedup_lines(documents, digest=True, **options).collect()}
+        assert Counter(got) == want
+
+
+@pytest.mark.parametrize("options", [{}, {"shard_lines": 1}, {"broadcast_bytes": -1}, {"broadcast_bytes": 0, "shard_lines": 1}])
 def test_line_dedup(odd, empty, options):
     df, texts = odd
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").encode().lower().decode()
@@ -257,14 +361,18 @@ def test_line_dedup(odd, empty, options):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_bpe(odd, empty):
+def bpe_library():
     tiktoken = pytest.importorskip("tiktoken")
     with open(MULTI, "rb") as f:
-        data = f.read()
-    code = bpe.ByteBPE(data, public_tokenizers.PATTERN)
-    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=code.ranks, special_tokens={})
+        code = bpe.ByteBPE(f.read(), public_tokenizers.PATTERN)
+    return code, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=code.ranks, special_tokens={})
+
+
+@pytest.mark.parametrize("block_bytes", [1, 2000, bpe.BLOCK])
+def test_bpe(odd, empty, block_bytes):
+    _, library = bpe_library()
     df, texts = odd
-    encoded = cut(bpe.encode(df, MULTI, public_tokenizers.PATTERN, block_bytes=2000))
+    encoded = cut(bpe.encode(df, MULTI, public_tokenizers.PATTERN, block_bytes=block_bytes))
     for r in encoded.collect():
         t = texts[r.doc_id if r.doc_id is not None else 3] or ""
         ids = library.encode_ordinary(t)
@@ -276,6 +384,28 @@ def test_bpe(odd, empty):
     assert bpe.encode(empty, MULTI, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_answers_are_told_by_their_hashes():
+    code, library = bpe_library()
+    words = ["unbelievable", "zzqqxx", "Überraschungen", "日本語テスト", "a"]
+    ids = {w: library.encode_ordinary(w) for w in words}
+    right = [(zlib.crc32(w.encode()), ",".join(map(str, ids[w]))) for w in words if w.encode() not in code.ranks]
+    for given in (right, right[::-1], right[:1], []):  # in order, in another, or missing
+        table = bpe.Answers(code, given)
+        assert [table[w] for w in words] == [(",".join(map(str, ids[w])), w.encode()) for w in words]
+
+
+def test_bpe_replays_a_word_once(spark, tmp_path, monkeypatch):
+    words = [f"word{i}zq" for i in range(300)]
+    spark.createDataFrame([(i, " ".join(words)) for i in range(40)], "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.option("maxPartitionBytes", 1).parquet(str(tmp_path / "d"))
+    path = str(tmp_path / "answers")
+    monkeypatch.setattr(bpe, "scratch", lambda s, name: path)
+    got = bpe.encode(docs, MULTI, public_tokenizers.PATTERN).select("ids_sha256").distinct().count()
+    answers = spark.read.parquet(path)
+    assert got == 1 and answers.count() == answers.select("task", "place").distinct().count()
+    assert answers.groupBy("task").count().agg({"count": "max"}).first()[0] <= 2 * len(words)  # each word once a task, with and without the space
+
+
 def brute_targets(sizes, weights=(5, 2, 1), cap=3):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % 3] for i, s in enumerate(order)}
@@ -313,6 +443,15 @@ def test_mixing(spark, odd, empty):
     assert Counter(r.doc_id for r in out.collect()) == Counter({r.doc_id: r.copies for r in got if r.copies})
     assert mixing.copies(empty).count() == 0 and mixing.mix(empty).count() == 0
     assert mixing.copies(odd[0]).count() == len(odd[1])
+    whole = mixing.mix(odd[0])
+    assert whole.columns == odd[0].columns and {r["_copy"] for r in whole.collect()} == {8}
+    several = spark.createDataFrame([(i, "w " * (i % 9), f"host{i % 500}") for i in range(2000)], "doc_id long, text string, source string")
+    sums = Counter()
+    for i in range(2000):
+        sums[f"host{i % 500}"] += i % 9
+    targets = brute_targets(sums)
+    for r in mixing.copies(several).collect():
+        assert r.target == pytest.approx(targets[f"host{r.doc_id % 500}"], abs=1e-6)
 
 
 def brute_pii(t):
@@ -403,85 +542,6 @@ def test_lm_rare_words_are_joined(spark, monkeypatch):
         assert got[i].base_score == pytest.approx(r.base_score, abs=1e-9) and got[i].n_known == r.n_known
 
 
-def test_lm_contexts_have_counts_of_their_own():
-    rng = np.random.default_rng(3)
-    keys = np.unique(rng.integers(1, 1 << 56, 300_000, dtype=np.uint64))  # 2.4 million nodes of the longest context
-    for _, _, states in lm._states(keys, np.ones(len(keys)), np.full(lm.FIRST[lm.DENSE], lm.UNSEEN, np.uint16)):
-        assert (states[-1] >> 8 == 2).all()  # seen once, all of them
-
-
-def test_lm_counts_and_costs(spark, monkeypatch):
-    monkeypatch.setattr(lm, "CHUNK", 500)
-    rng = random.Random(4)
-    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) for _ in range(200)]
-    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(30))) for _ in range(200)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = df.select(df.text.alias("_text"), lm.fold(df.doc_id).alias("_fold"))
-    strings = cut(lm.string_counts(rows))
-    trained = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
-    table, weights, maps = lm.train(strings)
-
-    def contexts(string, i):  # as bytes, not as numbers and hashes
-        *before, byte = string
-        return [(k, bytes(before[len(before) - min(k, len(before)) :]), byte >> (i + 1), i) for k in (*range(5), 10**6)]
-
-    def strings_of(text):
-        whole = b"\xff" * 4 + text.encode() + b"\xff"
-        for at in range(4, len(whole)):
-            start = at
-            while start > 0 and not (start < at and whole[start] in b" \xff"):
-                start -= 1
-            yield whole[min(start, at - 4) : at + 1]
-
-    counts = defaultdict(lambda: [0, 0])
-    for string in (x for t in trained for x in strings_of(t)):
-        for i in range(8):
-            for context in contexts(string, i):
-                counts[context][string[-1] >> i & 1] += 1
-
-    def bits(string):
-        total, key = 0.0, string[-1]
-        for i in range(7, -1, -1):
-            n0, n1 = np.array([counts[c] for c in contexts(string, i)], float).T
-            stretch, cell = lm._inputs(lm._packed(n0, n1)[:, None])
-            z = (weights[cell] * stretch).sum(axis=0)
-            node = np.array([1 << (7 - i) | (key & 255) >> (i + 1)])
-            p = np.clip((lm._squash(z) + lm._refined(maps, node, z)[0]) / 2, 1e-5, 1 - 1e-5)[0]
-            total -= np.log2(p if key >> i & 1 else 1 - p)
-        return total
-
-    got = {r.word % 2**64: r.cost for r in lm.string_costs(strings, spark.sparkContext.broadcast((table, weights, maps))).collect()}
-    every = {}
-    for t in texts:
-        every |= dict(zip(lm._strings([t.encode()])[1].tolist(), strings_of(t), strict=True))
-    assert set(got) == set(every) and len(set(every.values())) == len(every)
-    for word, cost in got.items():
-        assert cost == pytest.approx(bits(every[word]), rel=1e-4)
-    whole = [sum(got[k] for k in lm._strings([t.encode()])[1].tolist()) for t in texts]
-    for common in (1 << 20, 40):  # all strings sent, or most of them joined
-        monkeypatch.setattr(lm, "COMMON", common)
-        for i, r in rows_of(lm.score(df)).items():
-            assert -r.score / log10(2) == pytest.approx(whole[i], rel=1e-4)
-
-
-def test_lm_contexts_have_whole_words_and_four_bytes():
-    last = lambda text: [x[-2] for x in lm._strings([text])[:2]]  # noqa: E731  of the last byte
-    assert last(b"a bcdefghijk")[1] != last(b"a xcdefghijk")[1]  # ten bytes back
-    assert last(b"uv bcdefghijk")[1] == last(b"yz bcdefghijk")[1]  # but not before the word
-    assert last(b"ab c")[0] != last(b"xb c")[0] and last(b"xab c")[0] != last(b"ab c")[0]
-    keys, words = zip(*(last(f"{w} {x}".encode()) for w in ("ab", "xb", "cab") for x in "cd"))
-    assert len(set(words)) == len(set(keys)) == 6
-
-
-def test_lm_costs_are_probabilities():
-    table = np.full(lm.INPUTS << lm.SLOT_BITS, 128, np.uint16)
-    model = lm.Model(table, np.full(lm.GATES * lm.INPUTS * lm.SURE, 0.3, np.float32), np.tile(lm._squash(np.linspace(-8, 8, lm.BUCKETS)), 256))
-    context = np.uint64(0x616263 << 8)
-    bits = model.bits(context | np.arange(256, dtype=np.uint64))
-    assert (2.0**-bits).sum() == pytest.approx(1.0, abs=1e-6)
-    assert model.text_bits([b"abc", b"", b"abc"])[0] == pytest.approx(32, abs=1e-3)
-
-
 def test_token_count(odd, empty):
     sp = pytest.importorskip("sentencepiece")
     library = sp.SentencePieceProcessor(model_file=PIECES)
