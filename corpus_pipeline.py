@@ -5,9 +5,10 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, line_dedup, mixing, quality, simhash
-from tidemark.llm.common import documents, scratch, ship_package
+from tidemark.llm.common import documents, drop, scratch, ship_package
 
 
 def stage(f):
@@ -30,7 +31,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @stage
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in many documents stay in one; n_chars follows the text."""
-    return line_dedup.dedup_lines(docs).withColumns({"n_chars": line_dedup.text_length("text")}).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]  # they may have any names
+    kept = line_dedup.dedup_lines(docs.select("doc_id", "text", F.struct(F.lit(0), *others).alias("_row")))
+    new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": line_dedup.text_length("text")}
+    return kept.select(*(new[c] if c in new else F.col("_row")[c].alias(c) for c in docs.columns)).toDF(*docs.columns)
 
 
 @stage
@@ -52,7 +56,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     # Executors still hold the workers of other stages, so this one's are kept small.
-    return bpe.encode(docs, path, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"), block_bytes=2 << 20, memory=80_000)
+    return bpe.encode(docs, path, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"), block_bytes=12 << 20)
 
 
 STAGES = [
@@ -68,10 +72,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over all documents, each written to the shared folder and read again."""
-    docs = documents(spark, sf_dir)
+    """The stages over all documents, each written to the shared folder and read again; a stage's table goes when the next is written."""
+    docs, before = documents(spark, sf_dir), None
     for name, step in STAGES[:-1]:
         path = scratch(spark, name.replace(" ", "-"))
         step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
