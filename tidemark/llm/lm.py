@@ -261,12 +261,12 @@ def _sliced(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch
 class Sums:
     """Sums by number, added up when as much again has come."""
 
-    def __init__(self, columns: int):
-        self.columns, self.held, self.size, self.last = columns, [], 0, 1 << 16
+    def __init__(self, columns: int, kind: type = np.int64):
+        self.columns, self.kind, self.held, self.size, self.last = columns, kind, [], 0, 1 << 16
 
     def add(self, own: np.ndarray, *columns: np.ndarray, same: np.ndarray | None = None) -> None:
         """same: a column that is the same wherever the number is."""
-        self.held.append((own, same, *(c.astype(np.int32) for c in columns)))  # a task's counts are below 2^31
+        self.held.append((own, same, *(c.astype(self.kind) for c in columns)))
         self.size += len(own)
         if self.size > 2 * self.last:
             self.held = [self.whole()]
@@ -275,7 +275,7 @@ class Sums:
     def whole(self) -> tuple:
         """Numbers in order, what is the same, and sums; nothing is held any more."""
         if not self.held:
-            return (np.zeros(0, np.uint64), None, *(np.zeros(0, np.int32) for _ in range(self.columns)))
+            return (np.zeros(0, np.uint64), None, *(np.zeros(0, self.kind) for _ in range(self.columns)))
         columns = [list(x) for x in zip(*self.held, strict=True)]
         self.held, self.size = [], 0
         if len(columns[0]) == 1 and self.last == len(columns[0][0]):
@@ -288,7 +288,7 @@ class Sums:
         same = None if same[0] is None else np.concatenate(same)[order[first]]
         sums = []
         while columns:
-            sums.append(np.add.reduceat(np.concatenate(columns.pop(0))[order], first) if len(first) else np.zeros(0, np.int32))
+            sums.append(np.add.reduceat(np.concatenate(columns.pop(0))[order], first) if len(first) else np.zeros(0, self.kind))
         return (own, same, *sums)
 
 
@@ -315,16 +315,16 @@ def _count(batches):
     What a task holds is summed up before it is given out.
     """
     kinds = {HEAD: 2, SEGMENT: 2, PART: 2, WORD: 1}
-    sums = {k: Sums(n) for k, n in kinds.items()}
+    sums = {k: Sums(n, np.int32) for k, n in kinds.items()}  # of 2^30 bytes at most
 
     def out():
         for kind, n_sums in kinds.items():
             own, parts, *n = sums[kind].whole()
-            sums[kind] = Sums(n_sums)
+            sums[kind] = Sums(n_sums, np.int32)
             if not len(own):
                 continue
             if kind == HEAD:
-                keys = Sums(n_sums)
+                keys = Sums(n_sums, np.int32)
                 for at in range(0, len(own), 1 << 16):
                     of, found = head_keys(own[at : at + (1 << 16)])
                     keys.add(found, *(x[at : at + (1 << 16)][of] for x in n))
@@ -353,6 +353,7 @@ def _count(batches):
         if len(words):
             sums[WORD].add(laid.hashes(laid.word_start[words], laid.word_length[words]), np.ones(len(words), np.int64))
 
+    size = 0
     for batch, texts in itertools.chain.from_iterable(_sliced(b, 0) for b in batches):
         training = batch.column(1).to_numpy() != HELD_OUT
         sums[WORD].add(np.array([END], np.uint64), np.array([training.sum()]))
@@ -362,9 +363,11 @@ def _count(batches):
             sums[WORD].add(np.fromiter(map(word_hash, words), np.uint64, len(words)), np.ones(len(words), np.int64))
         for laid, owners in _laid(texts):
             block(laid, training[owners], torn[owners])
+            size += len(laid.data)
             del laid  # before the next is made
-            if sum(s.last for s in sums.values()) > HELD:
+            if sum(s.last for s in sums.values()) > HELD or size > 1 << 30:
                 yield from out()
+                size = 0
     yield from out()
 
 
