@@ -12,8 +12,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, root) for every node of edges but the roots; a root is its component's least node.
 
     Each round makes large stars, then small stars; the rounds grow with the
-    logarithm of the longest path. Hubs are only met in joins, which AQE can
-    split, and in sums that combine before the shuffle. Self-links and
+    logarithm of the longest path. Hubs are only met in joins of written
+    tables, which AQE can split, and in sums that combine before the shuffle. Self-links and
     repeated links do no harm; no edges give no rows. Nodes must not be null.
     """
     hi, lo = F.greatest(a, b), F.least(a, b)
@@ -25,8 +25,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        centre = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        centre = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(centre, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = cut(small.union(centre.select("u", F.col("m").alias("v"))).distinct())
