@@ -15,7 +15,7 @@ from ..operators import co_anomaly, detectors, events, metrics, rollups
 from ..schema import ALGORITHMS, SHAPES
 from ..session import cut
 from ..sources import files, parsers
-from . import adapters
+from . import adapters, report
 from .adapters import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -719,6 +719,15 @@ def chart_quota(spark, sf_dir):
     return rollups.chart_choice(co_anomaly.related(_graded_events(spark, sf_dir)), _QUOTA).select("event_id", "host", "overlay")
 
 
+_NAMES = "CASE s_suppkey % 4 WHEN 0 THEN 'h/' || s_nationkey WHEN 1 THEN 'h:' || s_nationkey WHEN 2 THEN 'h?' || s_nationkey ELSE s_name END"
+
+
+@query(f"""WITH h AS (SELECT DISTINCT {_NAMES} AS host FROM supplier), n AS (SELECT host, regexp_replace(host, '[\\\\/:*?"<>|]', '_', 'g') AS safe FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY safe ORDER BY host) AS n FROM n) SELECT host, CASE WHEN n = 1 THEN safe ELSE safe || '-' || n END AS name FROM r""")
+def report_names(spark, sf_dir):
+    return report.file_names(table(spark, sf_dir, "supplier").select(F.expr(_NAMES).alias("host")))
+
+
 @query(f"""WITH {EVENTS}, p AS (SELECT event_id, start_ts, end_ts, least(greatest(date_diff('second', start_ts, end_ts) * 0.25, 1800), 21600) AS pad FROM ev)
 SELECT event_id, start_ts - to_microseconds((pad * 1000000)::BIGINT) AS from_ts, end_ts + to_microseconds((pad * 1000000)::BIGINT) AS to_ts FROM p""")
 def chart_window(spark, sf_dir):
