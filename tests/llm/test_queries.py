@@ -108,6 +108,7 @@ def test_op8(spark, texts):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(x) for x in spans.values()]
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert r.spans == listed or r.spans.startswith(listed + ",") or not listed
+        assert r.n_all == len([x for x in r.spans.split(",") if x]) and (r.top_score is None) == (r.n_all == 0)
         more = r.spans.split(",")[len([x for x in listed.split(",") if x]) :]
         assert all(re.fullmatch(r"(iban|ssn|secret):\d+:\d+", x) for x in more if x)
 

@@ -102,6 +102,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(F.size(k).cast("long").alias(f"n_{k}") for k in base),
         F.sha2(pii.listed(F.concat(*base)), 256).alias("base_sha256"),
         pii.listed(F.concat(*(k.name for k in pii.KINDS))).alias("spans"),
+        sum((F.size(k.name) for k in pii.KINDS[1:]), F.size(pii.KINDS[0].name)).cast("long").alias("n_all"),
+        F.array_max(F.transform(F.concat(*(k.name for k in pii.KINDS)), lambda s: s["score"])).alias("top_score"),
     )
 
 
