@@ -9,10 +9,10 @@ touched neighbours. So a pre-token is replayed once for the whole corpus. The
 answers go back to the blocks that asked, as a file for each of the input's
 partitions in the shared folder, and texts are put together from them.
 
-Ids are decoded where they are made, and must give the pre-token's bytes.
-A block finds its answers by the order in which its pre-tokens come first, and
-tells the right one by a hash; if the rows should come in another order the
-second time, pre-tokens without an answer are replayed where they are.
+A block finds its answers by the order in which its pre-tokens come first. That
+an answer is the right one is seen from its bytes, which are the pre-token's; if
+the rows should come in another order the second time, the pre-tokens that have
+no answer are replayed where they are.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ import collections
 import functools
 import hashlib
 import heapq
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +45,8 @@ class ByteBPE:
     def __init__(self, ranks: bytes, pattern: str):
         self.ranks = {base64.b64decode(k): int(v) for k, v in map(bytes.split, ranks.splitlines()) if k}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
+        self.text_of = {v: str(v) for v in self.bytes_of}
+        self.width = np.dtype(np.uint16 if max(self.bytes_of) < 1 << 16 else np.uint32)  # of an id
         self.id_of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         # The rank that a pair of tokens merges to, by both ids; and for pairs of bytes as an array.
         self.merged: dict[int, int] = {}
@@ -139,11 +140,12 @@ class Asked(dict):
 
 
 class Answers(dict):
-    """The encoded pre-tokens of a block: ids as text, and decoded bytes. given: hashes of pre-tokens with their ids, in the order asked."""
+    """The encoded pre-tokens of a block: ids as text, and decoded bytes."""
 
-    def __init__(self, bpe: ByteBPE, given: list[tuple[int, str]]):
+    def __init__(self, bpe: ByteBPE, ids: list[bytes]):
         super().__init__()
-        self.bpe, self.given = bpe, iter(given)
+        self.bpe, self.ids = bpe, iter(ids)
+        self.bytes_of, self.text_of, self.width = bpe.bytes_of.__getitem__, bpe.text_of.__getitem__, bpe.width.char
 
     def __missing__(self, word: str) -> tuple[str, bytes]:
         data = word.encode()
@@ -151,9 +153,8 @@ class Answers(dict):
         if rank is not None:
             out = str(rank), data
         else:
-            check, ids = next(self.given, (-1, ""))
-            # Where an answer was made, its ids were seen to decode to the pre-token.
-            out = (ids, data) if check == zlib.crc32(data) else self.bpe.encode_word(word)
+            ids = memoryview(next(self.ids, b"")).cast(self.width).tolist()
+            out = (",".join(map(self.text_of, ids)), data) if b"".join(map(self.bytes_of, ids)) == data else self.bpe.encode_word(word)
         self[word] = out
         return out
 
@@ -174,15 +175,15 @@ def _blocks(batches, column: int, block_bytes: int) -> Iterator[tuple[bool, pa.R
             starts = False
 
 
-def _answers(path: str, task: int) -> Iterator[tuple[int, list[tuple[int, str]]]]:
+def _answers(path: str, task: int) -> Iterator[tuple[int, list[bytes]]]:
     """Blocks of a partition and their answers in the order asked, as an executor reads them from the shared folder."""
     fs, root = pyarrow.fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
     files = fs.get_file_info(pyarrow.fs.FileSelector(f"{root}/task={task}", allow_not_found=True))
-    held: list[tuple[int, str]] = []
+    held: list[bytes] = []
     block = None
     for name in sorted(f.path for f in files if f.path.endswith(".parquet")):
         with fs.open_input_file(name) as f:
-            for batch in pq.ParquetFile(f).iter_batches(columns=["block", "crc", "ids"]):
+            for batch in pq.ParquetFile(f).iter_batches(columns=["block", "ids"]):
                 own = batch.column(0).to_numpy()
                 edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
                 for a, b in zip(edges, edges[1:], strict=False):
@@ -191,7 +192,7 @@ def _answers(path: str, task: int) -> Iterator[tuple[int, list[tuple[int, str]]]
                             yield block, held
                             held = []
                         block = int(own[a])
-                        held += zip(batch.column(1).slice(a, b - a).to_pylist(), batch.column(2).slice(a, b - a).to_pylist(), strict=True)
+                        held += batch.column(1).slice(a, b - a).to_pylist()
     if block is not None:
         yield block, held
 
@@ -239,19 +240,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
 
     def replay(batches):
         bpe = encoder(ranks, pattern)
+        width = bpe.width
 
         def done(held):
             words = pa.chunked_array([b.column(3) for b in held]).combine_chunks()
             own = words.to_pylist()
             new = [i for i, w in enumerate(own) if not i or w != own[i - 1]]
-            data = [own[i].encode() for i in new]
-            lists = bpe.replay(data)
-            if [bpe.decode(x) for x in lists] != data:
-                raise ValueError("ids do not decode to what they encode")
-            back = pa.array(np.repeat(np.arange(len(new)), np.diff([*new, len(own)])))
-            crc, ids = pa.array([zlib.crc32(x) for x in data], pa.int64()).take(back), pa.array([",".join(map(str, x)) for x in lists], pa.string()).take(back)
+            lists = bpe.replay([own[i].encode() for i in new])
+            data = [np.array(x, width).tobytes() for x in lists]
+            times = np.diff([*new, len(own)])
+            ids = pa.array(data, pa.binary()).take(pa.array(np.repeat(np.arange(len(new)), times)))
             columns = [pa.chunked_array([b.column(k) for b in held]).combine_chunks() for k in range(3)]
-            return pa.RecordBatch.from_arrays([*columns, crc, ids], ["task", "block", "place", "crc", "ids"])
+            return pa.RecordBatch.from_arrays([*columns, ids], ["task", "block", "place", "ids"])
 
         held, n = [], 0
         for whole in batches:
@@ -266,7 +266,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
             yield done(held)
 
     asked = rows.mapInArrow(ask, "task int, block int, place int, word string").repartition("word").sortWithinPartitions("word")
-    answers = asked.mapInArrow(replay, "task int, block int, place int, crc long, ids string")
+    answers = asked.mapInArrow(replay, "task int, block int, place int, ids binary")
     answers.repartition("task").sortWithinPartitions("task", "block", "place").write.partitionBy("task").parquet(path)
 
     def run(batches):
