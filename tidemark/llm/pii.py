@@ -160,7 +160,9 @@ def find(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: id and spans by kind, each an array of structs (kind, start, end, score).
 
     Null and empty texts have no spans. Rows are judged one by one, so repeated
-    rows repeat their spans. Spans of different kinds may overlap.
+    rows repeat their spans. Spans of different kinds may overlap. Texts of any
+    length are read whole, in time that grows with their length. Null ids are
+    kept; other columns are not read.
     """
     rows = docs.select(docs[id].alias("_id"), F.coalesce(docs[text], F.lit("")).alias("_t"))
     return rows.select(F.col("_id").alias(id), *(_spans(F.col("_t"), k).alias(k.name) for k in KINDS))
