@@ -384,6 +384,19 @@ def test_bpe(odd, empty, block_bytes):
     assert bpe.encode(empty, MULTI, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_splits_as_the_pattern_says(odd):
+    import regex
+
+    every = [chr(c) for c in range(0x11000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(1)
+    texts = ["".join(every[:0xF800]), *("".join(rng.choices(every, k=300)) for _ in range(300)), *("".join(rng.choices(every[:0x250] + list(" '\n\t s't"), k=300)) for _ in range(300))]
+    for pattern in (public_tokenizers.PATTERN, r"\p{Lu}+|[\p{L}--a]|.", r"\d+|\D", r"a{2}|."):
+        want = regex.compile(pattern).findall
+        find = bpe.splitter(pattern)
+        assert all(find(t) == want(t) for t in [*texts, *(t for t in odd[1] if t)])
+    assert bpe.splitter(public_tokenizers.PATTERN).__name__ == "find"  # the faster one is there
+
+
 def test_bpe_answers_are_told_by_their_bytes():
     code, library = bpe_library()
     words = ["unbelievable", "zzqqxx", "Überraschungen", "日本語テスト", "a"]
