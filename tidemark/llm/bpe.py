@@ -34,7 +34,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import scratch
+from .common import scratch, settled
 
 #: Words in one replay: as many as stay in a processor's cache, which is twice as fast as all at once.
 TOGETHER = 1500
@@ -263,6 +263,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
             if starts:
                 if asked is not None:
                     yield from sent(1)
+                asked = None  # before the next is made
                 block, asked, done[0] = block + 1, Asked(bpe.ranks), 0
             for t in texts:
                 if t:
@@ -270,6 +271,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
             yield from sent(ROWS)
         if asked is not None:
             yield from sent(1)
+        asked = None
 
     def replay(batches):
         bpe = encoder(ranks, pattern)
@@ -298,8 +300,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
         if held:
             yield done(held)
 
-    asked = rows.mapInArrow(ask, "task int, block int, place int, word string").repartition("word").sortWithinPartitions("word")
-    answers = asked.mapInArrow(replay, "task int, block int, place int, ids binary")
+    asked = rows.mapInArrow(settled(ask), "task int, block int, place int, word string").repartition("word").sortWithinPartitions("word")
+    answers = asked.mapInArrow(settled(replay), "task int, block int, place int, ids binary")
     answers.repartition("task").sortWithinPartitions("task", "block", "place").write.partitionBy("task").parquet(path)
 
     def run(batches):
@@ -309,6 +311,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
         for starts, batch, texts in _blocks(batches, last, block_bytes):
             if starts:
                 block += 1
+                table = None  # before the next is made
+                if found is not None and found[0] < block:
+                    found = (-1, [])
                 while found is None or found[0] < block:
                     found = next(told, (1 << 31, []))
                 table = Answers(bpe, found[1] if found[0] == block else [])
@@ -325,8 +330,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
             if with_ids:
                 out.append(pa.array(columns[3], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(last)), *out], names)
+        found = table = None
 
-    return rows.mapInArrow(run, f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(settled(run), f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def decode(rows: DataFrame, ranks_path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -342,4 +348,4 @@ def decode(rows: DataFrame, ranks_path: str, ids: str = "ids", keep: tuple[str,
             texts = [bpe.decode(x or []).decode("utf-8", "replace") for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string())], [*keep, "decoded"])
 
-    return rows.mapInArrow(run, f"{fields}, decoded string")
+    return rows.mapInArrow(settled(run), f"{fields}, decoded string")

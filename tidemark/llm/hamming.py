@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, settled
 
 K, EVERY = 10, 20
 
@@ -88,7 +88,7 @@ def top_k(rows: DataFrame, bits: int, queries: DataFrame | None = None, k: int =
     open_ = cut(wanted.select(*(F.col(c).alias(f"q{i}") for i, c in enumerate(names))).distinct()).withColumn("kth", F.lit(None).cast("int"))
     for r in range(max(w for _, _, w in cuts) + 1):
         # The queries are few rows that become many: they are dealt out before, and never sent whole, whatever their size seems to be.
-        probes = open_.repartition(rows.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(_prober(cuts, r, len(names)), ", ".join(["seg int, value long", *(f"q{w} long" for w in words), "kth int"]))
+        probes = open_.repartition(rows.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(settled(_prober(cuts, r, len(names))), ", ".join(["seg int, value long", *(f"q{w} long" for w in words), "kth int"]))
         met = probes.hint("merge").join(index, ["seg", "value"])
         apart = [F.col(f"q{w}").bitwiseXOR(F.col(f"c{w}")) for w in words]
         total = sum((F.bit_count(x) for x in apart[1:]), F.bit_count(apart[0]))

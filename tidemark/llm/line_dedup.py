@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_CHARS, cut, scratch
+from .common import SPACE_CHARS, cut, scratch, settled
 from .mph import LineTable
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -71,7 +71,7 @@ def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS, id: str = "doc_id",
             ids = pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), counts)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64))], ["id", "lo", "hi"])
 
-    lines = rows.mapInArrow(run, "id long, lo long, hi long")
+    lines = rows.mapInArrow(settled(run), "id long, lo long, hi long")
     return lines.groupBy("lo", "hi").agg(F.countDistinct("id").alias("n"), F.max("id").alias("holder"))
 
 
@@ -153,10 +153,10 @@ def lines_to_go(docs: DataFrame, path: str, shards: int, min_chars: int, min_doc
                         go[part] |= found & (n >= min_docs) & (holder != ids[part])
             yield batch.filter(pa.array(go)).select(["_id", "_hash", "line"])
 
-    asked = rows.mapInArrow(ask, "shard int, _id long, _hash long, line long, lo long, hi long")
+    asked = rows.mapInArrow(settled(ask), "shard int, _id long, _hash long, line long, lo long, hi long")
     salted = asked.withColumn("salt", F.pmod("_hash", F.lit(SALTS)))
     at_home = salted.repartition("shard", "salt").sortWithinPartitions("shard").select("shard", "_id", "_hash", "line", "lo", "hi")
-    found = at_home.mapInArrow(probe, "_id long, _hash long, line long")
+    found = at_home.mapInArrow(settled(probe), "_id long, _hash long, line long")
     return found.groupBy("_id", "_hash").agg(F.collect_set("line").alias("_gone"))  # a document's own lines
 
 
@@ -242,4 +242,4 @@ def dedup_lines(
         columns = [pc.if_else(pc.is_valid(c), pa.array(kept, pa.string()), pa.scalar(None, pa.string())) if i == text_at else c for i, c in enumerate(batch.columns)]
         return pa.RecordBatch.from_arrays([*columns, *counts], [*names, "n_lines", "n_dropped"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(settled(run), schema)

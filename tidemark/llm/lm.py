@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, cut, stored
+from .common import SPACE_CHARS, cut, settled, stored
 
 FOLDS, HELD_OUT = 5, 1
 #: Context bytes besides the word; bytes of a segment; predictors; how many of these have a table of all contexts.
@@ -508,11 +508,11 @@ def string_counts(rows: DataFrame) -> DataFrame:
     they share strings; strings are counted by context, and a context's strings
     meet in one task.
     """
-    told = rows.select("_text", "_fold").mapInArrow(_count, _TASK_COUNTS).repartition("kind", "home")
+    told = rows.select("_text", "_fold").mapInArrow(settled(_count), _TASK_COUNTS).repartition("kind", "home")
     segments = told.groupBy("kind", "home", "id", "token").agg(*(F.sum(c).alias(c) for c in ("n", "c")))
-    counted = segments.select("kind", "id", "token", "n", "c").mapInArrow(_expand, _COUNTED)
+    counted = segments.select("kind", "id", "token", "n", "c").mapInArrow(settled(_expand), _COUNTED)
     whole = counted.repartition(F.shiftrightunsigned("id", 16)).sortWithinPartitions("id")
-    return stored(whole.mapInArrow(_state, "kind int, id long, n long, m long, c long, key long, states binary"), "lm-strings")
+    return stored(whole.mapInArrow(settled(_state), "kind int, id long, n long, m long, c long, key long, states binary"), "lm-strings")
 
 
 def short_table(counts: DataFrame) -> np.ndarray:
@@ -650,7 +650,7 @@ class Strings:
             if held:
                 yield whole()
 
-        return rows.mapInArrow(lambda batches: f(chunks(batches)), schema)
+        return rows.mapInArrow(settled(lambda batches: f(chunks(batches))), schema)
 
 
 def learn_weights(strings: Strings, sent) -> np.ndarray:
@@ -919,7 +919,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
 
     kind = rows.schema[0].dataType.simpleString()
     schema = f"id {kind}, fold int, n_tokens long, n_known long, sum double, bits double, size long, names array<long>, times array<long>"
-    told = cut(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    told = cut(rows.mapInArrow(settled(run), schema).withColumn("row", F.monotonically_increasing_id()))
     # What is not among the frequent words and strings is looked up by a join. Every string has a cost; a word without a count is unknown.
     x = F.col("x")
     # A name comes once in the rest, so what a task holds of it is even; nothing needs sorting.

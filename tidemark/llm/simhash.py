@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, settled
 from .graph import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
             fps = np.fromiter((simhash(t.as_py(), size) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], [id, "fp"])
 
-    return rows.mapInArrow(run, f"`{id}` {rows.schema[0].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(settled(run), f"`{id}` {rows.schema[0].dataType.simpleString()}, fp long")
 
 
 def _rest(fps: np.ndarray, block: int) -> np.ndarray:
@@ -228,8 +228,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     fps = cut(fingerprints(docs, id, text, size))
     distinct = cut(fps.groupBy("fp").agg(F.min(id).alias("_least")))
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // FAN_OUT))
-    keys = distinct.select("fp").repartition(tasks).mapInArrow(_variants, "key long, fp long")
-    met = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
+    keys = distinct.select("fp").repartition(tasks).mapInArrow(settled(_variants), "key long, fp long")
+    met = keys.repartition("key").sortWithinPartitions("key").mapInArrow(settled(_links), "a long, b long")
     roots = components(met)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "_least")
     named = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))

@@ -19,6 +19,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
+from .common import settled
+
 MARK = "▁"
 #: Strings remembered per worker, and the longest string that is remembered.
 MEMORY, LONGEST = 1_000_000, 64
@@ -123,4 +125,4 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text", limit: in
                 [*keep, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return rows.mapInArrow(counts, f"{fields}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(settled(counts), f"{fields}, n_bytes long, n_tokens long, over_limit boolean")
