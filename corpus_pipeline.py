@@ -56,7 +56,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     # Executors still hold the workers of other stages, so this one's are kept small.
-    return bpe.encode(docs, path, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"), block_bytes=12 << 20)
+    return bpe.encode(docs, path, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"), block_bytes=3 << 20)
 
 
 STAGES = [
