@@ -55,6 +55,13 @@ def test_fields_of_an_event(spark):
     assert got.detail == {"ALG-A1": '{"x":0.0}', "ALG-B3": '{"x":20.0}', "ALG-B5": '{"x":0.0}'}
 
 
+def test_ties_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(f"sar/h{i}/cpu/-1", "sar", "m", "ALG-A1", at(0), at(9), [float(v)], 1.0, "spike_up", {"order": float(k)}) for i in range(20) for k, v in ((9, 1), (10, 0), (8, 3), (8, 2))]
+    for given in (rows, rows[::-1], sorted(rows, key=lambda r: r[6])):
+        got = events.merge(spark.createDataFrame(given, DETECTIONS).coalesce(1), Config()).collect()
+        assert len(got) == 20 and {(tuple(r["values"]), r.detail["ALG-A1"]) for r in got} == {((2.0,), '{"order":8.0}')}
+
+
 def test_ids_beyond_a_thousand(spark):
     rows = [det(f"lsf_queue/h/q{i:04}", "run", "ALG-A1", 0, 1) for i in range(1001)]
     ids = [r.event_id for r in merged(spark, rows).orderBy("series_id").collect()]

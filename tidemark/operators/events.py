@@ -19,16 +19,21 @@ def rank_of(severity) -> F.Column:
 
 
 def merge(detections: DataFrame, config: Config) -> DataFrame:
-    """One event for each cluster of a series' detections whose gaps are at most the merge gap."""
+    """One event for each cluster of a series' detections whose gaps are at most the merge gap.
+
+    Of detections of one algorithm over the same span, the one with the least
+    figures, then values, gives the event its own: never the order of the rows.
+    """
     gap = int(float(config.param("events.merge_gap_minutes")) * 60 * SECOND)
     d = detections.withColumn("start_us", micros("start_ts")).withColumn("end_us", micros("end_ts"))
     d = gap_clusters(d, SERIES, F.lit(gap), ("start_us", "end_us", "algorithm"))
     keys = [*SERIES, "cluster"]
-    order = F.struct("start_us", "end_us")
+    least = (F.sort_array(F.map_entries("detail")), F.col("values"))
+    order = F.struct("start_us", "end_us", *least)
     details = d.groupBy(*keys, "algorithm").agg(F.min_by("detail", order).alias("detail"))
     details = details.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("algorithm", F.to_json("detail"))))).alias("detail"))
     shape_rank = F.array_position(F.array(*map(F.lit, SHAPES)), F.col("shape"))
-    longest = F.struct(F.col("start_us") - F.col("end_us"), "algorithm", "start_us")
+    longest = F.struct(F.col("start_us") - F.col("end_us"), "algorithm", "start_us", *least)
     merged = d.groupBy(*keys).agg(
         F.min("source").alias("source"),
         F.array_sort(F.collect_set("algorithm")).alias("algorithms"),
